@@ -148,8 +148,8 @@ def release(inventory: DataFrame, held: DataFrame, failed: DataFrame, as_of: Col
     gone = (F.col("status") == "PENDING") & (F.col("_failed").isNotNull() | (F.col("expires_at") <= as_of))
     marked = (
         held.join(lost, "order_id", "left")
-        .withColumn("status", F.when(gone, "RELEASED").otherwise(F.col("status")))
         .withColumn("_given_back", gone)
+        .withColumn("status", F.when(F.col("_given_back"), "RELEASED").otherwise(F.col("status")))
         .drop("_failed")
     )
     deltas = marked.where("_given_back").select("store_sku", (-F.col("quantity")).alias("quantity_delta"))

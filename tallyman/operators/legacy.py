@@ -17,6 +17,7 @@ from ..schemas import (
     ORDER_COLUMNS,
 )
 
+BROADCAST_PAGE = 10_000
 _REFRESHED = ("status", "payment_state", "updated_at")
 
 
@@ -173,9 +174,11 @@ def backfill_page(orders: DataFrame, items: DataFrame, after: str | None, limit:
     if after is not None:
         rows = rows.where(F.col("order_id") > after)
     page = rows.orderBy("order_id").limit(limit)
-    # The page is bounded by its limit, so its ids may travel to every task that reads items.
-    wanted = items.join(F.broadcast(page.select("order_id")), "order_id", "left_semi")
-    return nest_orders(page, wanted)
+    ids = page.select("order_id")
+    # The ids of a page up to this limit are a few hundred kilobytes and may travel to every task.
+    if limit <= BROADCAST_PAGE:
+        ids = F.broadcast(ids)
+    return nest_orders(page, items.join(ids, "order_id", "left_semi"))
 
 
 def progress_after(page: DataFrame, progress: dict[str, object], limit: int, as_of: Column) -> DataFrame:

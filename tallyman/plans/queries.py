@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     analytics_queries,
     event_queries,
     intake_queries,
+    inventory_queries,
     legacy_queries,
     mutation_queries,
 )

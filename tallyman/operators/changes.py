@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import iso_millis
 from ..functions.ordered import previous_value
+from ..functions.text import computed_once
 from ..schemas import ADDRESS, DETAIL, EVENT_LABELS, EVENT_SOURCE, FEED_OPS, IMAGE, ITEMS, TAGGED_IMAGE
 
 _TEXT_FIELDS = ("customer_id", "order_ts_id", "order_id", "store_id", "county_id", "status", "payment_state",
@@ -48,9 +49,8 @@ def encode_image(image: Column) -> Column:
     return F.when(image.isNotNull(), F.to_json(F.struct(*[encoded[f].alias(f) for f in _IMAGE_ORDER])))
 
 
-def decode_image(text: Column) -> Column:
-    """Typed order image from attribute-value JSON; null for a missing image."""
-    tagged = F.from_json(text, TAGGED_IMAGE)
+def _typed_image(tagged: Column) -> Column:
+    """Order image from the parsed attribute-value record; null for a missing image."""
 
     def item(x: Column) -> Column:
         m = x["M"]
@@ -74,10 +74,12 @@ def decode_image(text: Column) -> Column:
 
 
 def decode_changes(raw: DataFrame) -> DataFrame:
-    """Replace the JSON texts ``new_image`` and ``old_image`` by typed images."""
-    return raw.withColumns(
-        {"new_image": decode_image(F.col("new_image")), "old_image": decode_image(F.col("old_image"))}
-    )
+    """Replace the JSON texts ``new_image`` and ``old_image`` by typed images; each text is parsed once."""
+    parsed = computed_once(raw, "_new", F.from_json("new_image", TAGGED_IMAGE))
+    parsed = computed_once(parsed, "_old", F.from_json("old_image", TAGGED_IMAGE))
+    return parsed.withColumns(
+        {"new_image": _typed_image(F.col("_new")), "old_image": _typed_image(F.col("_old"))}
+    ).drop("_new", "_old")
 
 
 def with_ops(changes: DataFrame, ops: Sequence[str] = FEED_OPS) -> DataFrame:

@@ -63,11 +63,12 @@ def decode_records(records: DataFrame) -> DataFrame:
     """Add ``text`` (null when ``data`` is not base64) and ``error_type`` (null for a usable record)."""
     decoded = computed_once(records, "text", F.decode(F.try_to_binary("data", F.lit("base64")), "UTF-8"))
     value = F.try_parse_json("text")
-    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
     return computed_once(
         decoded,
         "error_type",
-        F.when(F.col("text").isNull(), "bad_base64").when(kind == "", "bad_json").when(kind == "VOID", "no_event"),
+        F.when(F.col("text").isNull(), "bad_base64")
+        .when(value.isNull(), "bad_json")
+        .when(F.is_variant_null(value), "no_event"),
     )
 
 

@@ -65,17 +65,26 @@ def _type_of(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
 
-def _is_object(value: Column) -> Column:
-    return _type_of(value).startswith("OBJECT<")
+def _typed(value: Column, kind: str, name: str) -> Column:
+    """Type and content of a JSON value, so that the rules look at plain columns."""
+    return F.struct(_type_of(value).alias("type"), F.try_variant_get(value, "$", kind).alias("value")).alias(name)
+
+
+def _is_object(kind: Column) -> Column:
+    return kind.startswith("OBJECT<")
+
+
+def _is_list(kind: Column) -> Column:
+    return kind.startswith("ARRAY<")
 
 
 def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL(")
 
 
-def _text_rules(field: Column | str, value: Column, least: int = 1, most: int | None = None) -> list[Column]:
-    size = F.length(F.try_variant_get(value, "$", "string"))
-    is_text = _type_of(value) == "STRING"
+def _text_rules(field: Column | str, part: Column, least: int = 1, most: int | None = None) -> list[Column]:
+    size = F.length(part["value"])
+    is_text = part["type"] == "STRING"
     rules = [
         F.when(~is_text, _error(field, "invalid_type")),
         F.when(is_text & (size < least), _error(field, "too_small")),
@@ -85,9 +94,9 @@ def _text_rules(field: Column | str, value: Column, least: int = 1, most: int |
     return rules
 
 
-def _positive_rules(field: Column | str, value: Column, whole: bool) -> list[Column]:
-    number = F.try_variant_get(value, "$", "double")
-    is_number = _is_number(_type_of(value))
+def _positive_rules(field: Column | str, part: Column, whole: bool) -> list[Column]:
+    number = part["value"]
+    is_number = _is_number(part["type"])
     rules = [F.when(~is_number, _error(field, "invalid_type"))]
     if whole:
         rules.append(F.when(is_number & (number != F.floor(number)), _error(field, "invalid_type")))
@@ -95,18 +104,43 @@ def _positive_rules(field: Column | str, value: Column, whole: bool) -> list[Col
     return rules
 
 
+_TOP_TEXTS = ("customer_id", "store_id", "county_id")
+_ADDRESS_RULES = {"street": (1, None), "city": (1, None), "state": (2, 2), "zip": (5, 10)}
+_ITEM_KINDS = {"sku": "string", "name": "string", "quantity": "double", "unit_price": "double"}
+
+
+def _facts(doc: Column) -> Column:
+    """Types and contents of all parts of a request the rules refer to."""
+    items, address = _get(doc, "items"), _get(doc, "shipping_address")
+    entries = F.transform(
+        F.try_variant_get(items, "$", "array<variant>"),
+        lambda x: F.struct(
+            _type_of(x).alias("type"), *[_typed(_get(x, name), kind, name) for name, kind in _ITEM_KINDS.items()]
+        ),
+    )
+    return F.struct(
+        _type_of(doc).alias("type"),
+        *[_typed(_get(doc, name), "string", name) for name in _TOP_TEXTS],
+        _type_of(items).alias("items_type"),
+        entries.alias("items"),
+        _type_of(address).alias("address_type"),
+        *[_typed(_get(address, name), "string", name) for name in _ADDRESS_RULES],
+    )
+
+
 def _item_rules(item: Column, index: Column) -> Column:
+    place = F.concat(F.lit("items."), index.cast("string"))
+
     def path(name: str) -> Column:
-        return F.concat(F.lit("items."), index.cast("string"), F.lit(f".{name}"))
+        return F.concat(place, F.lit(f".{name}"))
 
-    whole_item = F.concat(F.lit("items."), index.cast("string"))
     fields = F.array(
-        *_text_rules(path("sku"), _get(item, "sku")),
-        *_text_rules(path("name"), _get(item, "name")),
-        *_positive_rules(path("quantity"), _get(item, "quantity"), whole=True),
-        *_positive_rules(path("unit_price"), _get(item, "unit_price"), whole=False),
+        *_text_rules(path("sku"), item["sku"]),
+        *_text_rules(path("name"), item["name"]),
+        *_positive_rules(path("quantity"), item["quantity"], whole=True),
+        *_positive_rules(path("unit_price"), item["unit_price"], whole=False),
     )
-    return F.when(_is_object(item), fields).otherwise(F.array(_error(whole_item, "invalid_type")))
+    return F.when(_is_object(item["type"]), fields).otherwise(F.array(_error(place, "invalid_type")))
 
 
 def validate_requests(parsed: DataFrame, key: str = "idempotency_key") -> DataFrame:
@@ -115,26 +149,25 @@ def validate_requests(parsed: DataFrame, key: str = "idempotency_key") -> DataFr
     A missing idempotency key rejects the request before its body is looked at. Keys of unusual length only
     clear ``key_well_formed``. Keys of the body the record does not know are ignored.
     """
-    doc, text = F.col("document"), F.col(key)
-    items, address = _get(doc, "items"), _get(doc, "shipping_address")
-    is_list = _type_of(items).startswith("ARRAY<")
-    entries = F.try_variant_get(items, "$", "array<variant>")
-    item_errors = F.when(is_list, F.flatten(F.transform(entries, _item_rules))).otherwise(F.array().cast(ERRORS))
-    address_fields = F.array(
-        *_text_rules("shipping_address.street", _get(address, "street")),
-        *_text_rules("shipping_address.city", _get(address, "city")),
-        *_text_rules("shipping_address.state", _get(address, "state"), 2, 2),
-        *_text_rules("shipping_address.zip", _get(address, "zip"), 5, 10),
+    known = computed_once(parsed, "_facts", _facts(F.col("document")))
+    facts, text = F.col("_facts"), F.col(key)
+    is_list = _is_list(facts["items_type"])
+    item_errors = F.when(is_list, F.flatten(F.transform(facts["items"], _item_rules))).otherwise(
+        F.array().cast(ERRORS)
     )
+    address_fields = [
+        rule for name, (least, most) in _ADDRESS_RULES.items()
+        for rule in _text_rules(f"shipping_address.{name}", facts[name], least, most)
+    ]
     in_body = F.array_compact(
         F.concat(
-            F.array(*[rule for f in ("customer_id", "store_id", "county_id") for rule in _text_rules(f, _get(doc, f))]),
+            F.array(*[rule for name in _TOP_TEXTS for rule in _text_rules(name, facts[name])]),
             F.array(
                 F.when(~is_list, _error("items", "invalid_type")),
-                F.when(is_list & (F.size(entries) == 0), _error("items", "too_small")),
+                F.when(is_list & (F.size(facts["items"]) == 0), _error("items", "too_small")),
             ),
             item_errors,
-            F.when(_is_object(address), address_fields).otherwise(
+            F.when(_is_object(facts["address_type"]), F.array(*address_fields)).otherwise(
                 F.array(_error("shipping_address", "invalid_type"))
             ),
         )
@@ -143,12 +176,13 @@ def validate_requests(parsed: DataFrame, key: str = "idempotency_key") -> DataFr
         F.when(text.isNull() | (text == ""), F.array(_error("idempotency_key", "required")))
         .when(F.col("parse_error") == "required", F.array(_error("body", "required")))
         .when(F.col("parse_error") == "invalid_json", F.array(_error("body", "invalid_json")))
-        .when(~_is_object(doc), F.array(_error("", "invalid_type")))
+        .when(~_is_object(facts["type"]), F.array(_error("", "invalid_type")))
         .otherwise(in_body)
         .cast(ERRORS)
     )
     return (
-        computed_once(parsed, "errors", errors)
+        computed_once(known, "errors", errors)
+        .drop("_facts")
         .withColumn("is_valid", F.size("errors") == 0)
         .withColumn("key_well_formed", is_idempotency_key(text))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import items_text
 from ..operators import analytics, changes, events
 from ..schemas import EVENT_SOURCE, LAKE_COLUMNS
-from ..session import working_path
+from ..session import cut_lineage, working_path
 from ..sources import feeds, lake, model
 from .registry import query
 
@@ -31,7 +31,9 @@ SELECT event_id, op, CASE WHEN has_new THEN order_id END AS new_order_id, new_st
 FROM changes_v
 """)
 def cdc_decode_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = changes.decode_changes(feeds.encode_changes(model.changes(spark, sf_dir)))
+    # The feed travels as text: write it out, then decode what was written.
+    feed = cut_lineage(feeds.encode_changes(model.changes(spark, sf_dir)), "feed")
+    decoded = changes.decode_changes(feed)
     new, old = F.col("new_image"), F.col("old_image")
     return decoded.select(
         "event_id", "op",

@@ -9,6 +9,7 @@ from ..functions.hashing import rolling_hash
 from ..functions.keys import is_customer_id, is_iso_datetime, is_order_id, is_uuid, sortable_id, iso_millis
 from ..functions.text import items_text
 from ..operators import intake, pricing
+from ..session import cut_lineage
 from ..sources import model
 from .access_queries import shown
 from .registry import query
@@ -90,7 +91,11 @@ FROM checked_v r WHERE kind = 17
 WINDOW w AS (PARTITION BY customer_id ORDER BY received_at, request_id)
 """)
 def requests_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome = intake.idempotent_intake(intake.accepted(validated(spark, sf_dir)))
+    # The outcome joins the requests with their own firsts: parse them once.
+    keys = intake.accepted(validated(spark, sf_dir)).select(
+        "request_id", "received_at", "customer_id", "idempotency_key"
+    )
+    outcome = intake.idempotent_intake(cut_lineage(keys, "accepted"))
     return outcome.select("request_id", "first_request_id", "created", "status_code", "message")
 
 
@@ -116,7 +121,7 @@ WHERE errors = '' AND send = 1 AND kind NOT IN (17)
 """)
 def orders_from_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = intake.accepted(validated(spark, sf_dir).where("key_well_formed or length(idempotency_key) > 8"))
-    first = intake.idempotent_intake(valid).where("created")
+    first = intake.idempotent_intake(cut_lineage(valid, "accepted")).where("created")
     return intake.build_orders(first).select("customer_id", "status", "order_ts", "request_id", shown("total"))
 
 

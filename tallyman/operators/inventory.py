@@ -31,24 +31,28 @@ def availability(lines: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def snapshot_check(lines: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Per order whether every line fits the stock as it is now, with the lines that do not.
+    """Per order whether every line fits the stock as it is now, and how many do not.
 
     Orders do not see each other here; ``reserve_in_order`` lets them compete.
     """
-    failing = F.when(
-        ~F.col("sufficient"), F.struct("sku", F.col("quantity").alias("requested"), "available")
-    )
     return (
         availability(lines, inventory)
         .groupBy("order_id")
         .agg(
             F.bool_and("sufficient").alias("reserved"),
-            F.array_sort(F.collect_list(failing)).alias("failed_items"),
+            F.count_if(~F.col("sufficient")).alias("failed_lines"),
         )
         .withColumn("error", F.when(~F.col("reserved"), F.lit(SHORTAGE)))
     )
 
 
+def shortages(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The failing lines behind ``snapshot_check``, one row each: what was asked and what there is."""
+    return availability(lines, inventory).where(~F.col("sufficient")).select(
+        "order_id", "sku", F.col("quantity").alias("requested"), "available"
+    )
+
+
 # Buckets that never decrease along order time: the minute, then the order id without its last digits.
 def _order_buckets() -> list[Column]:
     return [F.date_trunc("minute", "order_ts"), F.substring("order_id", 1, 20)]

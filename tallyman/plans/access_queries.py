@@ -86,12 +86,12 @@ SELECT {_LIST_SQL}, order_ts FROM orders_v WHERE status = '{STATUS}'
 ORDER BY order_ts DESC, order_id DESC LIMIT 100
 """)
 def status_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = access.status_queue(model.order_heads(spark, sf_dir), STATUS, tie="orderkey")
+    kept = access.status_queue(model.order_heads(spark, sf_dir, statuses=(STATUS,)), STATUS, tie="orderkey")
     return shown_all(_with_items(spark, sf_dir, kept, 100), LIST_COLUMNS, "order_ts")
 
 
 def _history(spark: SparkSession, sf_dir: str, token: str | None) -> DataFrame:
-    heads = model.order_heads(spark, sf_dir).where(F.col("customer_id") == CUSTOMER)
+    heads = model.order_heads(spark, sf_dir, customer_id=CUSTOMER)
     if token:
         # Heads up to the token's time; the exact boundary is applied to the documents below.
         last_time = access.parse_token(token)[1].split("#")[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics
+from ..schemas import TO_PICK_STATUSES
 from ..sources import model
 from .registry import query
 
@@ -32,7 +33,7 @@ FROM lines_v JOIN heads_v USING (orderkey)
 WHERE status IN ('CONFIRMED', 'PROCESSING') GROUP BY store_id, sku
 """)
 def store_pick_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.store_pick_list(model.line_facts(spark, sf_dir))
+    return analytics.store_pick_list(model.line_facts(spark, sf_dir, statuses=TO_PICK_STATUSES))
 
 
 @query("sales_by_day", ("orders_v",), """

@@ -38,18 +38,20 @@ def inventory_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("reservation_snapshot", ("heads_v", "lines_v", "inventory_v"), _CHECKED + """
-SELECT order_id, bool_and(available >= quantity) AS reserved,
-       coalesce(string_agg(CASE WHEN available < quantity THEN sku || ':' || quantity || ':' || available END, ',' ORDER BY sku), '') AS failed_items,
+SELECT order_id, bool_and(available >= quantity) AS reserved, count(*) FILTER (available < quantity) AS failed_lines,
        CASE WHEN NOT bool_and(available >= quantity) THEN 'Insufficient inventory' END AS error
 FROM checked GROUP BY order_id
 """)
 def reservation_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = inventory.snapshot_check(_open_lines(spark, sf_dir), model.inventory(spark, sf_dir))
-    parts = F.transform(
-        "failed_items",
-        lambda x: F.concat_ws(":", x["sku"], x["requested"].cast("string"), x["available"].cast("string")),
-    )
-    return checked.select("order_id", "reserved", F.array_join(parts, ",").alias("failed_items"), "error")
+    return inventory.snapshot_check(_open_lines(spark, sf_dir), model.inventory(spark, sf_dir))
+
+
+@query("reservation_shortages", ("heads_v", "lines_v", "inventory_v"), _CHECKED + """
+SELECT order_id, sku, quantity AS requested, CAST(available AS INTEGER) AS available
+FROM checked WHERE available < quantity
+""")
+def reservation_shortages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.shortages(_open_lines(spark, sf_dir), model.inventory(spark, sf_dir))
 
 
 @query("inventory_cumulative_demand", ("heads_v", "lines_v"), """

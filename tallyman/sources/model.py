@@ -64,12 +64,29 @@ def _payment_state(status: Column) -> Column:
     )
 
 
-def order_heads(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
-    """Orders without lines, one row per order key. ``since`` reaches the scan as a date filter."""
+# Source code of each status, so that a status filter reaches the scan.
+SOURCE_STATUS = {
+    "PENDING": "O", "PROCESSING": "P", "CONFIRMED": "F", "SHIPPED": "F", "DELIVERED": "F", "CANCELLED": "F",
+    "FAILED": "F",
+}
+
+
+def order_heads(
+    spark: SparkSession,
+    sf_dir: str,
+    since: Column | None = None,
+    statuses: tuple[str, ...] | None = None,
+    customer_id: str | None = None,
+) -> DataFrame:
+    """Orders without lines, one row per order key. The restrictions reach the scan as filters."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     if since is not None:
         first_date = (since - F.expr("interval 1 day")).cast("timestamp_ntz")
         orders = orders.where(F.col("o_orderdate") >= first_date)
+    if statuses is not None:
+        orders = orders.where(F.col("o_orderstatus").isin(*sorted({SOURCE_STATUS[s] for s in statuses})))
+    if customer_id is not None:
+        orders = orders.where(F.col("o_custkey") == int(customer_id.removeprefix("CUST-")))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(
@@ -92,6 +109,8 @@ def order_heads(spark: SparkSession, sf_dir: str, since: Column | None = None) -
     )
     if since is not None:
         heads = heads.where(F.col("order_ts") >= since)
+    if statuses is not None:
+        heads = heads.where(F.col("status").isin(*statuses))
     return heads.select(
         "*",
         _payment_state(F.col("status")).alias("payment_state"),
@@ -103,29 +122,36 @@ def order_heads(spark: SparkSession, sf_dir: str, since: Column | None = None) -
     )
 
 
-def order_lines(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
-    """One row per order document and sku. ``keys`` (column ``orderkey``) restricts the orders read."""
+def _raw_lines(spark: SparkSession, sf_dir: str, keys: DataFrame | None) -> DataFrame:
     raw = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"), "l_quantity"
     )
-    if keys is not None:
-        raw = raw.join(keys, "orderkey", "left_semi")
+    return raw if keys is None else raw.join(keys, "orderkey", "left_semi")
+
+
+def _oversized(raw: DataFrame) -> DataFrame:
+    """Order keys with more lines than one document takes, and the number of documents they get."""
+    return (
+        raw.groupBy("orderkey")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > LINES_PER_DOCUMENT)
+        .select("orderkey", F.ceil(F.col("n") / LINES_PER_DOCUMENT).cast("int").alias("parts"))
+    )
+
+
+def order_lines(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
+    """One row per order document and sku. ``keys`` (column ``orderkey``) restricts the orders read."""
+    raw = _raw_lines(spark, sf_dir, keys)
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("partkey"),
         F.col("p_name").alias("name"),
         F.col("p_retailprice").cast("decimal(18,2)").alias("unit_price"),
     )
-    oversized = (
-        raw.groupBy("orderkey")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > LINES_PER_DOCUMENT)
-        .select("orderkey", F.ceil(F.col("n") / LINES_PER_DOCUMENT).alias("parts"))
-    )
     lines = (
         raw.groupBy("orderkey", "partkey")
         .agg(F.sum("l_quantity").cast("int").alias("quantity"))
         .join(part, "partkey")
-        .join(oversized, "orderkey", "left")
+        .join(_oversized(raw), "orderkey", "left")
     )
     part_no = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64("partkey"), F.col("parts")).cast("int")
@@ -144,7 +170,12 @@ def order_lines(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None)
 
 
 def documents(spark: SparkSession, sf_dir: str, heads: DataFrame, few: bool = False) -> DataFrame:
-    """Attach items and totals to heads. ``few`` says that heads are bounded by a small limit."""
+    """Attach items and totals to heads. ``few`` says that heads are bounded by a small limit.
+
+    Heads are spread over their document numbers first, so that the join follows the partitioning the
+    nesting left behind: nested items are not moved again, and the documents of one key do not meet in one
+    task.
+    """
     keys = F.broadcast(heads.select("orderkey")) if few else None
     nested = (
         order_lines(spark, sf_dir, keys)
@@ -156,12 +187,21 @@ def documents(spark: SparkSession, sf_dir: str, heads: DataFrame, few: bool = Fa
             F.sum("total_price").cast("decimal(18,2)").alias("subtotal"),
         )
     )
-    part_no = F.coalesce("part_no", F.lit(0))
-    joined = heads.join(nested, "orderkey", "left").select(
-        *heads.columns,
-        order_id_of(F.col("orderkey"), part_no).alias("order_id"),
-        F.coalesce("items", F.array().cast(ITEMS)).cast(ITEMS).alias("items"),
-        F.coalesce("subtotal", F.lit(0).cast("decimal(18,2)")).alias("subtotal"),
+    spread = (
+        heads.join(_oversized(_raw_lines(spark, sf_dir, keys)), "orderkey", "left")
+        .withColumn("part_no", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    )
+    part_no = F.col("part_no")
+    joined = (
+        spread.join(nested, ["orderkey", "part_no"], "left")
+        # A key with several documents has no empty ones.
+        .where(F.col("parts").isNull() | F.col("subtotal").isNotNull())
+        .select(
+            *heads.columns,
+            order_id_of(F.col("orderkey"), part_no).alias("order_id"),
+            F.coalesce("items", F.array().cast(ITEMS)).cast(ITEMS).alias("items"),
+            F.coalesce("subtotal", F.lit(0).cast("decimal(18,2)")).alias("subtotal"),
+        )
     )
     tax, total = tax_and_total(F.col("subtotal"))
     return joined.select(
@@ -180,9 +220,9 @@ def orders(spark: SparkSession, sf_dir: str, since: Column | None = None) -> Dat
 
 def line_facts(spark: SparkSession, sf_dir: str, statuses: tuple[str, ...] | None = None) -> DataFrame:
     """Flat lines with the order attributes that stock and picking operators need."""
-    heads = order_heads(spark, sf_dir).select("orderkey", "store_id", "status", "order_ts", "customer_id")
-    if statuses is not None:
-        heads = heads.where(F.col("status").isin(*statuses))
+    heads = order_heads(spark, sf_dir, statuses=statuses).select(
+        "orderkey", "store_id", "status", "order_ts", "customer_id"
+    )
     return (
         order_lines(spark, sf_dir)
         .join(heads, "orderkey")

@@ -25,15 +25,19 @@ class Intake:
         The batch's keys go to the stored keys, of which two columns are read; the stored side is not
         shuffled while the planner finds the batch small enough to send around.
         """
-        checked = validate_requests(parse_requests(batch))
-        rejected(checked).write.mode("overwrite").parquet(f"{self.root}/rejected/batch_id={batch_id}")
-        first = idempotent_intake(accepted(checked)).where("created")
-        orders = f"{self.root}/orders"
-        if path_exists(self.spark, orders):
-            stored = self.spark.read.parquet(orders).where(f"batch_id < {int(batch_id)}").select(*KEYS)
-            taken = stored.join(first.select(*KEYS), KEYS, "left_semi")
-            first = first.join(taken, KEYS, "left_anti")
-        build_orders(first).write.mode("overwrite").parquet(f"{orders}/batch_id={batch_id}")
+        # Several results are taken from the batch: parse it once.
+        checked = validate_requests(parse_requests(batch)).drop("document").persist()
+        try:
+            rejected(checked).write.mode("overwrite").parquet(f"{self.root}/rejected/batch_id={batch_id}")
+            first = idempotent_intake(accepted(checked)).where("created")
+            orders = f"{self.root}/orders"
+            if path_exists(self.spark, orders):
+                stored = self.spark.read.parquet(orders).where(f"batch_id < {int(batch_id)}").select(*KEYS)
+                taken = stored.join(first.select(*KEYS), KEYS, "left_semi")
+                first = first.join(taken, KEYS, "left_anti")
+            build_orders(first).write.mode("overwrite").parquet(f"{orders}/batch_id={batch_id}")
+        finally:
+            checked.unpersist()
 
     def start(self, requests: DataFrame, checkpoint: str, interval: str | None = FEED_INTERVAL) -> StreamingQuery:
         writer = requests.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint)

@@ -169,14 +169,22 @@ def order_lines(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None)
     )
 
 
-def documents(spark: SparkSession, sf_dir: str, heads: DataFrame, few: bool = False) -> DataFrame:
-    """Attach items and totals to heads. ``few`` says that heads are bounded by a small limit.
+def documents(
+    spark: SparkSession, sf_dir: str, heads: DataFrame, few: bool = False, selective: bool = False
+) -> DataFrame:
+    """Attach items and totals to heads.
+
+    ``few`` says that heads are bounded by a small limit, so their keys may travel to the line scan.
+    ``selective`` says that they are a small share of all orders: lines of other orders are dropped before
+    they are aggregated, by whatever join the planner finds fitting.
 
     Heads are spread over their document numbers first, so that the join follows the partitioning the
     nesting left behind: nested items are not moved again, and the documents of one key do not meet in one
     task.
     """
-    keys = F.broadcast(heads.select("orderkey")) if few else None
+    keys = heads.select("orderkey") if few or selective else None
+    if few:
+        keys = F.broadcast(keys)
     nested = (
         order_lines(spark, sf_dir, keys)
         .groupBy("orderkey", "part_no")
@@ -214,8 +222,8 @@ def documents(spark: SparkSession, sf_dir: str, heads: DataFrame, few: bool = Fa
 
 
 def orders(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
-    """All order documents."""
-    return documents(spark, sf_dir, order_heads(spark, sf_dir, since))
+    """All order documents, or those of the orders from ``since`` on."""
+    return documents(spark, sf_dir, order_heads(spark, sf_dir, since), selective=since is not None)
 
 
 def line_facts(spark: SparkSession, sf_dir: str, statuses: tuple[str, ...] | None = None) -> DataFrame:

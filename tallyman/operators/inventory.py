@@ -53,9 +53,10 @@ def shortages(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
-# Buckets that never decrease along order time: the minute, then the order id without its last digits.
 def _order_buckets() -> list[Column]:
-    return [F.date_trunc("minute", "order_ts"), F.substring("order_id", 1, 20)]
+    """Buckets that never decrease along ``order_ts, order_id``: the minute, then time and id without its last digits."""
+    exact = F.struct(F.col("order_ts").alias("at"), F.substring("order_id", 1, 20).alias("id"))
+    return [F.date_trunc("minute", "order_ts"), exact]
 
 
 def cumulative_demand(lines: DataFrame) -> DataFrame:

@@ -15,7 +15,10 @@ _SUMMARY = ("order_id", "customer_id", "status", "payment_state", "updated_at")
 
 
 def _light_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders without their lines: enough for status and payment changes."""
+    """Orders without their lines: enough for status and payment changes.
+
+    One row per order key, under the id of its first document.
+    """
     heads = model.order_heads(spark, sf_dir)
     return heads.withColumn("order_id", model.order_id_of(F.col("orderkey"), F.lit(0)))
 

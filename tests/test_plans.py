@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
@@ -69,6 +70,18 @@ def test_an_order_key_with_very_many_lines_becomes_several_documents(spark, sf_d
     assert [r.order_id for r in listed.collect()] == [r.order_id for r in want.collect()]
 
 
+def test_cumulative_demand_follows_time_before_id(spark):
+    # Later orders have smaller ids within the same minute, and ids that differ early.
+    lines = spark.range(200).select(
+        F.lit("S#a").alias("store_sku"), F.format_string("%06d%024d", 999 - F.col("id"), F.col("id")).alias("order_id"),
+        (F.lit("2024-01-01").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, cast(id div 2 as int))")).alias("order_ts"),
+        (F.col("id") % 7 + 1).cast("int").alias("quantity"))
+    window = Window.partitionBy("store_sku").orderBy("order_ts", "order_id").rowsBetween(Window.unboundedPreceding, 0)
+    want = lines.withColumn("cumulative", F.sum("quantity").over(window))
+    got = inventory.cumulative_demand(lines).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_cumulative_demand_on_one_hot_stock_row(spark):
     lines = spark.range(3000).select(
         F.lit("S#hot").alias("store_sku"), F.concat(F.lit("o"), F.lpad(F.col("id").cast("string"), 29, "0")).alias("order_id"),

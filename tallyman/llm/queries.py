@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
-from . import minhash_dedup, substring_dedup
-from .shared import table
+from . import bpe, decontaminate, language_id, minhash_dedup, substring_dedup
+from .shared import held_out, table
+
+WORD_BPE = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +38,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return bpe.encode_documents(documents, public_tokenizers.path(WORD_BPE), with_ids=False)
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = language_id.fit(documents.filter(~out))
+    return language_id.predict(documents, model).withColumn("held_out", out)
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(documents, benchmark, with_spans=False).drop("items")
+
+
 @query("op10_minhash_dedup")
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, decontaminate, language_id, minhash_dedup, substring_dedup
+from . import bpe, decontaminate, language_id, minhash_dedup, substring_dedup, toxicity
 from .shared import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -58,6 +58,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents, benchmark, with_spans=False).drop("items")
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 4, 2)
+    scorer = toxicity.fit(documents, labels.filter(~out))
+    return toxicity.score(documents, scorer).withColumn("held_out", out)
+
+
 @query("op10_minhash_dedup")
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)

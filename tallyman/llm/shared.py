@@ -11,7 +11,16 @@ from ..session import cut_lineage
 HOT_SHARE = 1 / 2000
 
 
+# Rows and bytes that a Python worker is given at a time.
+BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in BATCH_SETTINGS.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

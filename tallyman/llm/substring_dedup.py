@@ -33,7 +33,7 @@ from .tokens import Words, range_hashes, split_words, text_blocks
 WINDOW = 20
 MINIMISER_WORDS = 4
 HOT_MINIMISER = 1 / 4000
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 _RUN_BASE = 0xD1342543DE82EF95
 _WINDOW_BASE = 0xAEF17502108EF2D9
 

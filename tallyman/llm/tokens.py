@@ -10,13 +10,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Text handled at a time. A longer single text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+# Bytes hashed at a time; the work arrays take about 40 times as much.
+_HASHED_BYTES = 1 << 20
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+# What a byte becomes before words are cut at blanks.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BLANK = np.where(SPACE, 32, np.arange(256)).astype(np.uint8)
+PLAIN_WORDS = np.arange(256, dtype=np.uint8)
+PLAIN_WORDS[9:14] = 32
+LOWER_WORDS = PLAIN_WORDS[LOWER]
+LETTER_WORDS = np.array([LOWER[b] if chr(LOWER[b]).isalnum() or b >= 128 else 32 for b in range(256)], np.uint8)
 
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -42,8 +46,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """A hash of each slice ``codes[start:end]`` that does not depend on where the slice stands."""
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * powers(base, len(codes)), out=total[1:])
+    total = np.empty(len(codes) + 1, np.uint64)
+    total[0] = 0
+    np.multiply(codes, powers(base, len(codes)), out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     inverse = powers(pow(base, -1, 1 << 64), len(codes) + 1)
     return mixed((total[ends] - total[starts]) * inverse[starts])
 
@@ -57,15 +63,23 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        return range_hashes(_BYTE_CODES[self.buffer], self.starts, self.ends)
+        found = np.empty(len(self.starts), np.uint64)
+        low = 0
+        while low < len(found):
+            high = max(low + 1, int(np.searchsorted(self.ends, self.starts[low] + _HASHED_BYTES, "right")))
+            first, last = self.starts[low], self.ends[high - 1]
+            codes = _BYTE_CODES[self.buffer[first:last]]
+            found[low:high] = range_hashes(codes, self.starts[low:high] - first, self.ends[low:high] - first)
+            low = high
+        return found
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words between the six ASCII white-space characters; the buffer then has one blank for each run of them."""
-    codes = (_BLANK[LOWER] if lower else _BLANK)[data]
+def split_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = PLAIN_WORDS) -> Words:
+    """Words between bytes that ``fold`` makes blank; the buffer then has one blank for each run of them."""
+    codes = fold[data]
     blank = codes == 32
     first = np.zeros(len(codes) + 1, bool)
     first[offsets] = True
@@ -75,7 +89,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> W
     before[:1] = True
     before[1:] = blank[:-1]
     keep = ~(blank & (before | first))
-    kept_before = np.zeros(len(codes) + 1, np.int64)
+    kept_before = np.zeros(len(codes) + 1, np.int32 if len(codes) < 2**31 else np.int64)
     np.cumsum(keep, out=kept_before[1:])
     if not keep.all():
         # A text whose leading blanks are gone starts at the next byte that is kept.

@@ -10,10 +10,10 @@ Links between different texts are looked for without pairing the members of a bu
 2. every class is compared with the smallest class of each of its buckets, and the confirmed pairs are joined into
    components;
 3. only buckets that still hold more than one component matter. Their members in different components are compared,
-   after a sketch of one bit a coordinate has ruled out those that are far below the threshold.
+   after a long sketch, made for these members alone, has ruled out those that are clearly below the threshold.
 
-Definitions: null texts and texts without words have no shingles and link with nothing. A null id forms no class. Rows
-that repeat an id are one document with the union of their links.
+Definitions: null texts and texts without words have no shingles and link with nothing, nor do rows without an id. Every
+row is returned. Ids are taken to be unique; if rows repeat an id, links are confirmed on its smallest text.
 """
 
 from __future__ import annotations
@@ -23,19 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .shared import components, lookup_join
-from .tokens import LOWER, mixed, range_hashes, split_words, text_blocks
+from .tokens import LOWER, LOWER_WORDS, mixed, range_hashes, split_words, text_blocks
 
 SHINGLE = 5
 BANDS = 20
 BAND_ROWS = 4
-SKETCH_BITS = 128
+# Coordinates of the long sketch, of which four bits each are kept, 16 in an integer.
+LONG_SKETCH = 512
+# A pair is verified unless its sketches differ by so many deviations more than at the threshold.
+DEVIATIONS = 4.5
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>, bits_1 long, bits_2 long"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, set_1 long, set_2 long, bands array<long>"
 
 
 def _second_permutation(x: np.ndarray) -> np.ndarray:
@@ -54,8 +57,9 @@ def circulant_signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     scattered = (shingles >> np.uint64(32)).astype(np.uint32)
     shifts = np.arange(coordinates, dtype=np.uint32) * np.uint32(0x9E3779B1)
     low = np.full(coordinates, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(scattered), 2048):
-        part = scattered[None, at : at + 2048] + shifts[:, None]
+    step = max(64, (1 << 17) // coordinates)
+    for at in range(0, len(scattered), step):
+        part = scattered[None, at : at + step] + shifts[:, None]
         np.minimum(low, _second_permutation(part).min(axis=1), out=low)
     return low
 
@@ -68,52 +72,44 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _sketches(size: int, bands: int, rows: int):
-    coordinates = max(bands * rows, SKETCH_BITS // 2)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in text_blocks(batch, "text"):
-                words = split_words(data, offsets, lower=True)
+                words = split_words(data, offsets, LOWER_WORDS)
                 hashes = words.hashes()
-                counts, sets, bits, banded = [], [], [], []
+                counts, sets, banded = [], [], []
                 for start, end in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
                     if start == end:
                         counts.append(0)
                         sets.append((0, 0))
-                        bits.append((0, 0))
                         banded.append(None)
                         continue
                     shingles = _shingles(hashes[start:end], size)
-                    signature = circulant_signature(shingles, coordinates)
+                    signature = circulant_signature(shingles, bands * rows)
                     counts.append(len(shingles))
                     sets.append((np.bitwise_xor.reduce(mixed(shingles)), np.bitwise_xor.reduce(mixed(shingles * shingles))))
-                    # Two bits of each of the first coordinates; a value's low bits do not depend on its being low.
-                    flags = np.stack([signature[: SKETCH_BITS // 2] & 1, (signature[: SKETCH_BITS // 2] >> 1) & 1])
-                    bits.append(tuple(np.packbits(flags.astype(bool), axis=1).view(np.uint64)[:, 0]))
-                    keys = signature[: bands * rows].reshape(bands, rows).astype(np.uint64)
+                    keys = signature.reshape(bands, rows).astype(np.uint64)
                     key = np.arange(bands, dtype=np.uint64)
                     for column in keys.T:
                         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
                     banded.append(key.view(np.int64))
-                pairs = [np.array(x, np.uint64).reshape(-1, 2).view(np.int64) for x in (sets, bits)]
+                digests = np.array(sets, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(batch.schema.get_field_index("doc_id")).slice(low, high - low).cast(pa.int64()),
                         pa.array(counts, pa.int64()),
-                        pa.array(pairs[0][:, 0]),
-                        pa.array(pairs[0][:, 1]),
+                        pa.array(digests[:, 0]),
+                        pa.array(digests[:, 1]),
                         pa.array(banded, pa.list_(pa.int64())),
-                        pa.array(pairs[1][:, 0]),
-                        pa.array(pairs[1][:, 1]),
                     ],
-                    names=["doc_id", "n_shingles", "set_1", "set_2", "bands", "bits_1", "bits_2"],
+                    names=["doc_id", "n_shingles", "set_1", "set_2", "bands"],
                 )
 
     return run
 
 
 def sketch(documents: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """Shingle count, a 128-bit digest of the shingle set, band keys and a bit sketch for each document."""
+    """Shingle count, a 128-bit digest of the shingle set and band keys of each document."""
     return documents.select("doc_id", "text").mapInArrow(_sketches(size, bands, rows), SKETCH_SCHEMA)
 
 
@@ -139,17 +135,54 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose whole shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    texts = cut_lineage(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b")
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(size, percent), "a long, b long")
 
 
+def _long_sketches(size: int):
+    columns = LONG_SKETCH // 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in text_blocks(batch, "text"):
+                words = split_words(data, offsets, LOWER_WORDS)
+                hashes = words.hashes()
+                packed = np.zeros((high - low, columns), np.int64)
+                for i, (start, end) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)):
+                    signature = circulant_signature(_shingles(hashes[start:end], size), LONG_SKETCH)
+                    nibbles = (signature & 15).astype(np.uint8).reshape(-1, 2)
+                    packed[i] = (nibbles[:, 0] << 4 | nibbles[:, 1]).view(np.int64)
+                ids = batch.column(batch.schema.get_field_index("doc_id")).slice(low, high - low)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *(pa.array(packed[:, k]) for k in range(columns))],
+                    names=["class_id", *(f"part_{k}" for k in range(columns))],
+                )
+
+    return run
+
+
+def long_sketches(texts: DataFrame, size: int) -> DataFrame:
+    parts = ", ".join(f"part_{k} long" for k in range(LONG_SKETCH // 16))
+    return texts.select("doc_id", "text").mapInArrow(_long_sketches(size), f"class_id long, {parts}")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two long sketches differ in few enough coordinates."""
+    differ = F.lit(0)
+    for k in range(LONG_SKETCH // 16):
+        bits = F.col(f"x.part_{k}").bitwiseXOR(F.col(f"y.part_{k}"))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(bits)
+    share = (100 - percent) / 100 * 15 / 16
+    allowed = LONG_SKETCH * share + DEVIATIONS * np.sqrt(LONG_SKETCH * share * (1 - share))
+    return differ <= int(np.ceil(allowed))
+
+
 def near_duplicates(
     documents: DataFrame, percent: int = 80, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS
 ) -> DataFrame:
@@ -164,64 +197,45 @@ def near_duplicates(
     keyed = filled.withColumn("set_key", F.xxhash64(*whole_set))
     classes = cut_lineage(
         keyed.groupBy("set_key", *whole_set).agg(
-            F.min("doc_id").alias("class_id"),
-            F.count("*").alias("n_rows"),
-            F.first("bands").alias("bands"),
-            F.first("bits_1").alias("bits_1"),
-            F.first("bits_2").alias("bits_2"),
+            F.min("doc_id").alias("class_id"), F.count("*").alias("n_rows"), F.first("bands").alias("bands")
         ),
         "classes",
     )
-    members = cut_lineage(
-        classes.select("class_id", "bits_1", "bits_2", F.posexplode("bands").alias("band", "key")).withColumn(
-            "bucket", F.xxhash64("band", "key")
-        ).select("bucket", "class_id", "bits_1", "bits_2"),
-        "members",
-    )
+    members = classes.select("class_id", F.posexplode("bands").alias("band", "key"))
+    members = cut_lineage(members.select(F.xxhash64("band", "key").alias("bucket"), "class_id"), "members")
     buckets = members.groupBy("bucket").agg(F.min("class_id").alias("first_id"), F.count("*").alias("n_rows"))
-    shared = buckets.filter("n_rows > 1")
-    starred = lookup_join(members.select("bucket", "class_id"), shared, "bucket", total)
+    starred = cut_lineage(lookup_join(members, buckets.filter("n_rows > 1"), "bucket", total), "stars")
     pairs = starred.filter("class_id != first_id").select(F.col("class_id").alias("a"), F.col("first_id").alias("b"))
     pairs = cut_lineage(pairs.distinct(), "pairs")
-    links = cut_lineage(confirmed(pairs, documents, size, percent), "confirmed")
+    wanted = starred.select(F.col("class_id").alias("doc_id")).distinct()
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    texts = cut_lineage(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
+    links = cut_lineage(confirmed(pairs, texts, size, percent), "confirmed")
 
-    groups = components(links)
-    labelled = cut_lineage(
-        members.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn(
-            "component", F.coalesce("component", "class_id")
-        ),
-        "labelled",
-    )
+    groups = components(links).withColumnRenamed("id", "class_id")
+    labelled = starred.select("bucket", "class_id").join(groups, "class_id", "left")
+    labelled = cut_lineage(labelled.withColumn("component", F.coalesce("component", "class_id")), "labelled")
     split = labelled.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_rows")
     )
     open_buckets = split.filter("low != high").drop("high", "low")
     rest = cut_lineage(lookup_join(labelled, open_buckets, "bucket", total), "open")
-    # A bit of two sketches differs with half the probability that the coordinates do.
-    mean = SKETCH_BITS * (100 - percent) / 200
-    allowed = int(np.ceil(mean + 6 * np.sqrt(2 * mean)))
+    involved = rest.select(F.col("class_id").alias("doc_id")).distinct()
+    sketches = cut_lineage(long_sketches(texts.join(involved, "doc_id", "left_semi"), size), "sketches")
+    rest = cut_lineage(rest.join(sketches, "class_id"), "open")
     here, there = rest.alias("x"), rest.alias("y")
-    crossing = here.join(
-        there,
-        (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.component") > F.col("y.component"))
-        & (
-            F.bit_count(F.col("x.bits_1").bitwiseXOR(F.col("y.bits_1")))
-            + F.bit_count(F.col("x.bits_2").bitwiseXOR(F.col("y.bits_2")))
-            <= allowed
-        ),
-    ).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
-    crossing = cut_lineage(crossing.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(crossing, documents, size, percent)
+    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") > F.col("y.component")) & _may_link(percent)
+    crossing = here.join(there, met).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
+    tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    crossing = cut_lineage(crossing.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = confirmed(crossing, texts, size, percent)
     found = components(links.unionByName(more)).withColumnRenamed("id", "class_id")
     resolved = classes.join(found, "class_id", "left").select(
         "set_key", F.coalesce("component", "class_id").alias("component_id"), "n_rows"
     )
-    grouped = lookup_join(
-        keyed.select("doc_id", "n_shingles", "set_key"), resolved.groupBy("set_key").agg(
-            F.min("component_id").alias("component_id"), F.sum("n_rows").alias("n_rows")
-        ), "set_key", total
-    ).drop("set_key")
+    # Two sets with one key are not told apart here; their digests differ only by chance of 2 ** -64.
+    resolved = resolved.groupBy("set_key").agg(F.min("component_id").alias("component_id"), F.sum("n_rows").alias("n_rows"))
+    grouped = lookup_join(keyed.select("doc_id", "n_shingles", "set_key"), resolved, "set_key", total).drop("set_key")
     alone = sketched.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, decontaminate, language_id, minhash_dedup, substring_dedup, toxicity
+from . import bpe, decontaminate, language_id, lm_score, minhash_dedup, substring_dedup, toxicity
 from .shared import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -52,6 +52,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents, model).withColumn("held_out", out)
 
 
+@query("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lm_score.score(documents, ~held_out(F.col("doc_id"), 7, 2))
+
+
 @query("op7_decontaminate")
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False).drop("text_key")
 
 
 @query("op2_bpe")

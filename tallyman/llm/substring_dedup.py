@@ -5,11 +5,14 @@ neighbouring windows mostly share one, and such a run of windows (a super-k-mer)
 of the minimiser, where all equal windows meet. There a sort by hash, place and a comparison of the words themselves
 finds for each window whether it occurs earlier. Only the removed word ranges go back to the documents.
 
-- Strings that repeat within a block of text are decided before the shuffle: all but the first are removed whole.
-- A minimiser shared by more than ``HOT_MINIMISER`` of all strings is hot. Its windows travel one by one to the bucket
-  of their own hash, so a common passage with many different surroundings spreads out. There are never more
-  hot minimisers than the inverse of the share.
-- The number of buckets follows the size of the corpus, so a bucket stays near ``BUCKET_BYTES``.
+Documents are dealt into chunks by hash, and every step works on one chunk or one bucket at a time:
+
+1. Strings that repeat within a chunk are decided there: all but the first are removed whole.
+2. The chunk asks in how many strings of the corpus each of its minimisers occurs. Windows of a minimiser that
+   occurs in a single string cannot repeat, so that string stays at home.
+3. The other strings go to their bucket. If a minimiser has more than ``HOT_STRINGS`` strings, its windows travel one
+   by one to the bucket of their own hash, so a common passage with many different surroundings spreads out.
+4. The chunk removes the ranges that the buckets found.
 
 Definitions: the order is by id (null first), then by text hash, then by start. Rows with the same id and text are one
 document and get the same result; rows with the same id and other texts are documents of their own. A null text has no
@@ -19,21 +22,20 @@ words. Words are the runs between ASCII white space, unchanged; kept words are j
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .packing import pack, unpack
-from .tokens import Words, range_hashes, split_words, text_blocks
+from .tokens import Words, mixed, range_hashes, split_words
 
 WINDOW = 20
 MINIMISER_WORDS = 4
-HOT_MINIMISER = 1 / 4000
-BUCKET_BYTES = 6 << 20
+HOT_STRINGS = 1000
+CHUNK_BYTES = 6 << 20
 _RUN_BASE = 0xD1342543DE82EF95
 _WINDOW_BASE = 0xAEF17502108EF2D9
 
@@ -48,13 +50,18 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _runs(words: Words, window: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, end word and minimiser of each run of windows that share one."""
+def _runs(words: Words, window: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end word and minimiser of each run of windows that share one, and whether it may repeat a window.
+
+    A window that a run repeats holds the minimiser twice. A minimiser that stands once is shared by no more windows than
+    a window has word runs, so only longer runs, or runs in which some word run returns soon, may repeat one.
+    """
     n = len(words.starts)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     at = np.arange(n - part + 1)
-    low = _sliding_min(range_hashes(words.hashes(), at, at + part, _RUN_BASE), window - part + 1)
+    short = range_hashes(words.hashes(), at, at + part, _RUN_BASE)
+    low = _sliding_min(short, window - part + 1)
     text = words.text_of_word()
     inside = text[: n - window + 1] == text[window - 1 :]
     opens = inside.copy()
@@ -64,7 +71,13 @@ def _runs(words: Words, window: int, part: int) -> tuple[np.ndarray, np.ndarray,
     breaks = opens | ~inside
     after = np.append(np.flatnonzero(breaks), n - window + 1)
     last = after[np.searchsorted(after, first, "right")] - 1
-    return first, last + window, low[first]
+    returns = np.zeros(len(short) + 1, np.int32)
+    for distance in range(1, min(2 * window, len(short))):
+        returns[1 + distance :] |= short[distance:] == short[:-distance]
+    np.cumsum(returns, out=returns)
+    end = last + window
+    doubled = (end - first > 2 * window - part) | (returns[end - part + 1] > returns[first])
+    return first, end, low[first], doubled
 
 
 def _alone(first: np.ndarray, end: np.ndarray, key: np.ndarray, words: Words, window: int, hot: np.ndarray):
@@ -83,83 +96,133 @@ def _alone(first: np.ndarray, end: np.ndarray, key: np.ndarray, words: Words, wi
     )
 
 
-def _count_minimisers(window: int, part: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in text_blocks(batch, "text"):
-                words = split_words(data, offsets)
-                first, end, key = _runs(words, window, part)
-                if not len(first):
-                    continue
-                whole = range_hashes(words.hashes(), first, end, _WINDOW_BASE)
-                key = key[np.unique(whole, return_index=True)[1]]
-                values, counts = np.unique(key, return_counts=True)
-                often = counts >= max(2, len(key) * HOT_MINIMISER / 2)
-                text_bytes = int((words.ends[end - 1] - words.starts[first]).sum())
-                # The row without a minimiser holds the block's totals.
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None, *values[often].view(np.int64).tolist()], pa.int64()),
-                        pa.array([len(key), *counts[often].tolist()], pa.int64()),
-                        pa.array([text_bytes, *[0] * int(often.sum())], pa.int64()),
-                    ],
-                    names=["minimiser", "n_rows", "n_bytes"],
-                )
+def _order(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.lexsort((start, text, doc))
 
-    return run
 
+class Chunk:
+    """The texts of one chunk and their distinct super-k-mers in corpus order."""
+
+    def __init__(self, table: pa.Table, window: int, part: int):
+        self.window = window
+        raw = [pc.fill_null(c.cast(pa.large_binary()), b"") for c in table.column("text").chunks]
+        raw = pa.concat_arrays(raw or [pa.array([], pa.large_binary())])
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8) if len(raw) else np.zeros(0, np.uint8)
+        self.words = words = split_words(data[ends[0] : ends[-1]], ends - ends[0])
+        self.doc = table.column("doc").to_numpy()
+        self.text_key = table.column("text_key").to_numpy()
+        first, end, key, doubled = _runs(words, window, part)
+        text = words.text_of_word()[first]
+        doc, text_key = self.doc[text], self.text_key[text]
+        start = (first - words.bounds[text]).astype(np.int32)
+        order = _order(doc, text_key, start)
+        first, end, key, doubled, doc, text_key, start = (
+            x[order] for x in (first, end, key, doubled, doc, text_key, start)
+        )
+        self.whole = words.buffer.tobytes()
+        place: dict[bytes, int] = {}
+        opens, closes = words.starts[first].tolist(), words.ends[end - 1].tolist()
+        earliest = np.array([place.setdefault(self.whole[a:b], i) for i, (a, b) in enumerate(zip(opens, closes, strict=True))], np.int64)
+        again = earliest != np.arange(len(first))
+        other = ~((doc == doc[earliest]) & (text_key == text_key[earliest]) & (start == start[earliest]))
+        removed, kept = again & other, ~again
+        self.decided = doc[removed], text_key[removed], start[removed], (start + (end - first).astype(np.int32))[removed]
+        self.first, self.end, self.key, self.doubled = first[kept], end[kept], key[kept], doubled[kept]
+
+    def minimisers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct minimisers, the place of each string's one, and how many strings have each.
+
+        A string that may repeat a window counts twice.
+        """
+        keys, which = np.unique(self.key, return_inverse=True)
+        return keys, which, np.bincount(which, 1 + self.doubled, minlength=len(keys))
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _message(bucket: list[int], chunk: int, packed: list[bytes]) -> pa.Table:
+    return pa.table(
+        {"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array([chunk] * len(packed), pa.int64()), "packed": pa.array(packed, pa.binary())}
+    )
 
-def _order(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.lexsort((start, text, doc))
 
+_MESSAGE = "bucket long, chunk long, packed binary"
 
-def _message(bucket: np.ndarray | list[int], runs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(runs, pa.binary())], names=["bucket", "runs"])
-
-
-def _send(window: int, part: int, hot: np.ndarray, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = batch.column(batch.schema.get_field_index("doc")).to_numpy(zero_copy_only=False)
-            keys = batch.column(batch.schema.get_field_index("text_key")).to_numpy(zero_copy_only=False)
-            for low, high, data, offsets in text_blocks(batch, "text"):
-                words = split_words(data, offsets)
-                first, end, key = _alone(*_runs(words, window, part), words, window, hot)
-                if not len(first):
-                    continue
-                text = words.text_of_word()[first]
-                doc, text_key = docs[low:high][text], keys[low:high][text]
-                start = (first - words.bounds[text]).astype(np.int32)
-                order = _order(doc, text_key, start)
-                whole = words.buffer.tobytes()
-                opens, closes = words.starts[first[order]].tolist(), words.ends[end[order] - 1].tolist()
-                strings = [whole[a:b] for a, b in zip(opens, closes, strict=True)]
-                place = {}
-                earliest = np.array([place.setdefault(s, i) for i, s in enumerate(strings)])
-                doc, text_key, start = doc[order], text_key[order], start[order]
-                size = (end - first)[order].astype(np.int32)
-                again = earliest != np.arange(len(order))
-                removed = again & ~((doc == doc[earliest]) & (text_key == text_key[earliest]) & (start == start[earliest]))
-                if removed.any():  # negative buckets carry ranges that are already decided
-                    decided = pack(doc[removed], text_key[removed], start[removed], (start + size)[removed])
-                    yield _message([-1 - int(key[0] % np.uint64(buckets))], [decided])
-                kept = np.flatnonzero(~again)
-                bucket = (key[order][kept] % np.uint64(buckets)).astype(np.int64)
-                by_bucket = np.argsort(bucket, kind="stable")
-                kept, bucket = kept[by_bucket], bucket[by_bucket]
-                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-                blobs = []
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    rows = kept[a:b]
-                    joined = b"\n".join([strings[i] for i in rows.tolist()])
-                    blobs.append(pack(doc[rows], text_key[rows], start[rows], joined))
-                yield _message(bucket[cuts[:-1]], blobs)
+
+def _ask(window: int, part: int, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys, _, counts = Chunk(table, window, part).minimisers()
+        edges = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
+        rows = np.flatnonzero(np.diff(edges)).tolist()
+        blobs = []
+        for b in rows:
+            asked = slice(edges[b], edges[b + 1])
+            blobs.append(pack(np.diff(keys[asked], prepend=np.uint64(0)), counts[asked].astype(np.uint32)))
+        return _message(rows, table.column("chunk")[0].as_py(), blobs)
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The number of strings for each minimiser that a chunk asked for, in the order of its question."""
+    parts = [unpack(x) for x in table.column("packed").to_pylist()]
+    keys = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps, _ in parts])
+    distinct, which = np.unique(keys, return_inverse=True)
+    sums = np.bincount(which, np.concatenate([c for _, c in parts]), minlength=len(distinct))[which]
+    edges = np.cumsum([0, *(len(c) for _, c in parts)])
+    # Only whether a minimiser is alone, shared or hot matters.
+    kind = (sums > 1).astype(np.uint8) + (sums > HOT_STRINGS)
+    packed = [pack(kind[a:b].astype(np.uint8)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "packed": pa.array(packed, pa.binary())})
+
+
+def _in_order(answers: pa.Table) -> np.ndarray:
+    blobs = answers.column("packed").to_pylist()
+    order = np.argsort(answers.column("bucket").to_numpy(), kind="stable").tolist()
+    return np.concatenate([unpack(blobs[i])[0] for i in order] or [np.zeros(0, np.uint8)])
+
+
+def _send(window: int, part: int, buckets: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return _message([], 0, [])
+        chunk = Chunk(table, window, part)
+        words = chunk.words
+        _, which, _ = chunk.minimisers()
+        kind = _in_order(answers)[which] if len(which) else np.zeros(0, np.uint8)
+        shared = kind > 0
+        hot = np.unique(chunk.key[kind == 2])
+        first, end, key = _alone(chunk.first[shared], chunk.end[shared], chunk.key[shared], words, window, hot)
+        bucket = _bucket_of(mixed(key), buckets)
+        order = np.argsort(bucket, kind="stable")
+        first, end, bucket = first[order], end[order], bucket[order]
+        text = words.text_of_word()[first]
+        doc, text_key, start = chunk.doc[text], chunk.text_key[text], (first - words.bounds[text]).astype(np.int32)
+        opens, closes = words.starts[first].tolist(), words.ends[end - 1].tolist()
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = np.flatnonzero(np.diff(edges)).tolist()
+        blobs = []
+        for b in rows:
+            sent = slice(edges[b], edges[b + 1])
+            joined = b"\n".join([chunk.whole[x:y] for x, y in zip(opens[sent], closes[sent], strict=True)])
+            blobs.append(pack(doc[sent], text_key[sent], start[sent], joined))
+        number = table.column("chunk")[0].as_py()
+        if len(chunk.decided[0]):  # negative buckets carry ranges that are already decided
+            rows.append(-1 - number)
+            blobs.append(pack(*chunk.decided))
+        return _message(rows, number, blobs)
 
     return run
 
 
 def repeated_windows(doc, text_key, start, strings: bytes, window: int):
-    """Word ranges covered by windows that occur earlier, among super-k-mers separated by line ends."""
+    """Word ranges covered by windows that occur earlier, among super-k-mers separated by line ends.
+
+    Returns for each range the string's number, its document (two columns), and the first and end word.
+    """
     data = np.frombuffer(strings, np.uint8)
     line_ends = np.flatnonzero(data == 10)
     words = split_words(data, np.concatenate([[0], line_ends + 1, [len(data)]]))
@@ -200,96 +263,85 @@ def repeated_windows(doc, text_key, start, strings: bytes, window: int):
     stops = repeated.copy()
     stops[:-1] &= ~repeated[1:] | (owner[1:] != owner[:-1])
     a, b = np.flatnonzero(begins), np.flatnonzero(stops)
-    return doc[owner[a]], text_key[owner[a]], place[a].astype(np.int32), (place[b] + window).astype(np.int32)
+    found = owner[a]
+    return found, doc[found], text_key[found], place[a].astype(np.int32), (place[b] + window).astype(np.int32)
 
 
 def _meet(window: int):
-    names = ("doc", "text_key", "from_word", "to_word")
-
     def run(group: pa.Table) -> pa.Table:
-        parts = list(zip(*(unpack(x) for x in group.column("runs").to_pylist()), strict=True))
+        bucket, chunks = group.column("bucket")[0].as_py(), group.column("chunk").to_numpy()
+        if bucket < 0:
+            return _message([bucket] * len(chunks), int(chunks[0]), group.column("packed").to_pylist())
+        parts = list(zip(*(unpack(x) for x in group.column("packed").to_pylist()), strict=True))
         doc, text_key, start = (np.concatenate(p) for p in parts[:3])
-        if group.column("bucket")[0].as_py() < 0:
-            found = (doc, text_key, start, np.concatenate(parts[3]))
-        else:
-            found = repeated_windows(doc, text_key, start, b"\n".join(parts[3]), window)
-        return pa.table(dict(zip(names, found, strict=True)))
+        owner, *found = repeated_windows(doc, text_key, start, b"\n".join(parts[3]), window)
+        chunk = np.repeat(chunks, [len(p) for p in parts[0]])[owner]
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(chunk[order], prepend=-1)), len(order))
+        blobs = [pack(*(x[order[a:b]] for x in found)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = pa.array(chunk[order[cuts[:-1]]], pa.int64())
+        return pa.table({"bucket": pa.array([bucket] * len(blobs), pa.int64()), "chunk": rows, "packed": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        starts = batch.column(batch.schema.get_field_index("starts")).to_pylist()
-        ends = batch.column(batch.schema.get_field_index("ends")).to_pylist()
+def _finish(with_text: bool):
+    def run(table: pa.Table, ranges: pa.Table) -> pa.Table:
+        texts = table.column("text").to_pylist()
+        places = list(zip(table.column("doc").to_pylist(), table.column("text_key").to_pylist(), strict=True))
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for blob in ranges.column("packed").to_pylist():
+            for doc, text_key, a, b in zip(*(x.tolist() for x in unpack(blob)), strict=True):
+                found.setdefault((doc, text_key), []).append((a, b))
         n_words, n_removed, kept_texts, digests = [], [], [], []
-        for text, a, b in zip(texts, starts, ends, strict=True):
+        for place, text in zip(places, texts, strict=True):
             words = (text or "").encode("utf-8", "surrogatepass").split()
             total = len(words)
-            if a:
-                keep = np.zeros(total + 1, np.int32)
-                np.add.at(keep, a, 1)
-                np.add.at(keep, b, -1)
-                gone = np.cumsum(keep[:-1]) > 0
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            if place in found:
+                steps = np.zeros(total + 1, np.int32)
+                a, b = np.array(found[place]).T
+                np.add.at(steps, a, 1)
+                np.add.at(steps, b, -1)
+                words = [w for w, depth in zip(words, np.cumsum(steps[:-1]).tolist(), strict=True) if not depth]
             kept = b" ".join(words)
             n_words.append(total)
             n_removed.append(total - len(words))
-            kept_texts.append(kept)
             digests.append(hashlib.sha256(kept).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
-                pa.array(n_words, pa.int64()),
-                pa.array(n_removed, pa.int64()),
-                pa.array(kept_texts, pa.binary()).cast(pa.string()),
-                pa.array(digests, pa.string()),
-            ],
-            names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
-        )
+            if with_text:
+                kept_texts.append(kept)
+        columns = {
+            "doc_id": table.column("doc_id"),
+            "text_key": table.column("text_key"),
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_sha256": pa.array(digests, pa.string()),
+        }
+        if with_text:
+            columns["kept_text"] = pa.array(kept_texts, pa.binary()).cast(pa.string())
+        return pa.table(columns)
 
+    return run
 
-def removed_ranges(documents: DataFrame, window: int = WINDOW, part: int = MINIMISER_WORDS) -> DataFrame:
-    """Word ranges to remove: ``doc``, ``text_key``, ``from_word``, ``to_word`` (ranges may overlap).
 
-    ``doc`` is the id with the smallest integer for null, ``text_key`` the text's hash.
+def dedup(documents: DataFrame, window: int = WINDOW, part: int = MINIMISER_WORDS, with_text: bool = True) -> DataFrame:
+    """Documents without repeated windows: ``doc_id``, ``text_key`` (hash of the text), ``n_words``, ``n_removed``,
+    ``kept_sha256`` and, if asked for, ``kept_text``.
     """
-    texts = documents.select("text")
-    counted = texts.mapInArrow(_count_minimisers(window, part), "minimiser long, n_rows long, n_bytes long")
-    counted = counted.groupBy("minimiser").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
-    counted = cut_lineage(counted, "minimisers")
-    totals = counted.filter("minimiser IS NULL").first()
-    strings, size = (totals["n_rows"], totals["n_bytes"]) if totals else (0, 0)
-    # At most 1 / HOT_MINIMISER rows, as each has that share of all strings.
-    hot_rows = counted.filter((F.col("n_rows") >= max(2, strings * HOT_MINIMISER)) & F.col("minimiser").isNotNull())
-    hot = np.array([r[0] for r in hot_rows.select("minimiser").collect()], np.int64).view(np.uint64)
-    buckets = max(64, -(-size // BUCKET_BYTES))
-
-    sent = _keyed(documents).select("doc", "text_key", "text").mapInArrow(
-        _send(window, part, hot, buckets), "bucket long, runs binary"
-    )
-    return sent.groupBy("bucket").applyInArrow(
-        _meet(window), "doc long, text_key long, from_word int, to_word int"
-    )
-
-
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(8, -(-size // CHUNK_BYTES))
+    dealt = documents.select(
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"),
-        "doc_id",
+        F.xxhash64("text").alias("text_key"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         "text",
     )
-
-
-def dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents without repeated windows: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text``, ``kept_sha256``."""
-    ranges = removed_ranges(documents, window)
-    by_document = ranges.groupBy("doc", "text_key").agg(
-        F.collect_list(F.struct("from_word", "to_word")).alias("ranges")
+    in_chunks = dealt.groupBy("chunk")
+    asked = in_chunks.applyInArrow(_ask(window, part, chunks), _MESSAGE)
+    answered = asked.groupBy("bucket").applyInArrow(_answer, _MESSAGE)
+    sent = in_chunks.cogroup(answered.groupBy("chunk")).applyInArrow(_send(window, part, chunks), _MESSAGE)
+    met = sent.groupBy("bucket").applyInArrow(_meet(window), _MESSAGE)
+    schema = "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string"
+    return in_chunks.cogroup(met.groupBy("chunk")).applyInArrow(
+        _finish(with_text), schema + (", kept_text string" if with_text else "")
     )
-    joined = _keyed(documents).join(by_document, ["doc", "text_key"], "left")
-    return joined.select(
-        "doc_id", "text", F.col("ranges.from_word").alias("starts"), F.col("ranges.to_word").alias("ends")
-    ).mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

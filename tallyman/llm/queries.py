@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, decontaminate, language_id, lm_score, minhash_dedup, substring_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, substring_dedup, toxicity
 from .shared import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -64,6 +64,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents, benchmark, with_spans=False).drop("items")
 
 
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

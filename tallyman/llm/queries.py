@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, substring_dedup, toxicity
+from . import (
+    bpe,
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    lm_score,
+    minhash_dedup,
+    substring_dedup,
+    toxicity,
+)
 from .shared import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -52,12 +63,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents, model).withColumn("held_out", out)
 
 
+@query("op4_license_scan", license_scan.oracle())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op5_lm_score")
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return lm_score.score(documents, ~held_out(F.col("doc_id"), 7, 2))
 
 
+@query("op6_chat_format", chat_format.ORACLE)
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.preference_samples(chat_format.neighbours(table(spark, sf_dir, "conversations")))
+
+
 @query("op7_decontaminate")
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

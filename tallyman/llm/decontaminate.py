@@ -78,12 +78,16 @@ def scan(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tup
 _current: dict[str, ahocorasick.Automaton | None] = {}
 
 
+def _automaton(shared, block: str, window: int) -> ahocorasick.Automaton | None:
+    if block not in _current:
+        _current.clear()
+        _current[block] = automaton_of(shared.value, window)
+    return _current[block]
+
+
 def _scanner(shared, block: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if block not in _current:
-            _current.clear()
-            _current[block] = automaton_of(shared.value, window)
-        automaton = _current[block]
+        automaton = _automaton(shared, block, window)
         for batch in batches:
             at = batch.schema.get_field_index
             starts = batch.column(at("starts")).to_pylist()
@@ -152,6 +156,16 @@ def _report(with_spans: bool):
     return run
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcast items, about ``block_bytes`` of text at a time."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
+
+
 def contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -164,9 +178,6 @@ def contamination(
     Columns: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` (of the ids, sorted and joined by
     commas), ``contaminated``, ``items`` and, if asked for, ``spans``.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
     none = F.array()
     rows = documents.select(
         "doc_id",
@@ -177,12 +188,29 @@ def contamination(
         none.cast("array<string>").alias("items"),
     )
     schema = "doc_id long, text string, n_words long, starts array<int>, ends array<int>, items array<string>"
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        shared = documents.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
+    for shared in _blocks(benchmark, block_bytes):
         rows = rows.mapInArrow(_scanner(shared, uuid.uuid4().hex, window), schema)
     report = (
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
         + (", spans array<struct<from: int, to: int>>" if with_spans else "")
     )
     return rows.mapInArrow(_report(with_spans), report)
+
+
+def _clean(shared, block: str, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(shared, block, window)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            lines = (f" {b' '.join(words_of(t)).decode('latin-1')} " for t in texts)
+            clean = [automaton is None or next(automaton.iter(line), None) is None for line in lines]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any benchmark passage, with all their columns."""
+    for shared in _blocks(benchmark, block_bytes):
+        documents = documents.mapInArrow(_clean(shared, uuid.uuid4().hex, window), documents.schema)
+    return documents

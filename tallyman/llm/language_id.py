@@ -238,3 +238,18 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(
         _predict(shared), "doc_id long, lang_pred string, score double, rejected boolean"
     )
+
+
+def _accepted(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array(~shared.value.predict(texts)[2]))
+
+    return run
+
+
+def accepted(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents that the classifier does not reject, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return documents.mapInArrow(_accepted(shared), documents.schema)

@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
 from . import (
     bpe,
     chat_format,
@@ -21,7 +20,7 @@ from . import (
     substring_dedup,
     toxicity,
 )
-from .shared import held_out, table
+from .shared import held_out, prepared, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -34,7 +33,7 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(configure(spark), sf_dir)
+            return build(prepared(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:

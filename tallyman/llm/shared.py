@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import configure, cut_lineage
 
 # A key with more than this share of all rows is hot; so there are never more hot keys than its inverse.
 HOT_SHARE = 1 / 2000
@@ -18,10 +18,15 @@ BATCH_SETTINGS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> SparkSession:
+    """Apply the library's runtime settings and bound the batches that Python workers get."""
     for key, value in BATCH_SETTINGS.items():
         spark.conf.set(key, value)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -29,17 +34,13 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def rounded(share_of: int) -> int:
-    return max(1, int(share_of * HOT_SHARE))
-
-
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of rows with a table that has one row for each key and the key's frequency ``n_rows``.
 
     Keys with more than ``HOT_SHARE`` of the ``total`` rows are at most ``1 / HOT_SHARE``, whatever the size of
     the data; only their entries are broadcast. All others are joined by a shuffle without a large key.
     """
-    limit = rounded(total)
+    limit = max(1, int(total * HOT_SHARE))
     hot = lookup.filter(F.col("n_rows") > limit).drop("n_rows")
     cold = lookup.filter(F.col("n_rows") <= limit).drop("n_rows")
     flagged = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")

@@ -285,7 +285,7 @@ def _meet(window: int):
     return run
 
 
-def _finish(with_text: bool):
+def _finish(with_text: bool, carried: int):
     def run(table: pa.Table, ranges: pa.Table) -> pa.Table:
         texts = table.column("text").to_pylist()
         places = list(zip(table.column("doc").to_pylist(), table.column("text_key").to_pylist(), strict=True))
@@ -308,7 +308,7 @@ def _finish(with_text: bool):
             n_removed.append(total - len(words))
             digests.append(hashlib.sha256(kept).hexdigest())
             if with_text:
-                kept_texts.append(kept)
+                kept_texts.append(text if len(words) == total else kept.decode("utf-8", "surrogatepass"))
         columns = {
             "doc_id": table.column("doc_id"),
             "text_key": table.column("text_key"),
@@ -317,15 +317,24 @@ def _finish(with_text: bool):
             "kept_sha256": pa.array(digests, pa.string()),
         }
         if with_text:
-            columns["kept_text"] = pa.array(kept_texts, pa.binary()).cast(pa.string())
+            columns["kept_text"] = pa.array(kept_texts, pa.string())
+        for k in range(carried):
+            columns[f"carried_{k}"] = table.column(f"carried_{k}")
         return pa.table(columns)
 
     return run
 
 
-def dedup(documents: DataFrame, window: int = WINDOW, part: int = MINIMISER_WORDS, with_text: bool = True) -> DataFrame:
+def dedup(
+    documents: DataFrame,
+    window: int = WINDOW,
+    part: int = MINIMISER_WORDS,
+    with_text: bool = True,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """Documents without repeated windows: ``doc_id``, ``text_key`` (hash of the text), ``n_words``, ``n_removed``,
-    ``kept_sha256`` and, if asked for, ``kept_text``.
+    ``kept_sha256`` (of the kept words) and, if asked for, ``kept_text``: the text itself if nothing was removed,
+    else the kept words. Columns named in ``carry`` follow.
     """
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(8, -(-size // CHUNK_BYTES))
@@ -335,6 +344,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, part: int = MINIMISER_WORD
         F.xxhash64("text").alias("text_key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
+        *(F.col(name).alias(f"carried_{k}") for k, name in enumerate(carry)),
     )
     in_chunks = dealt.groupBy("chunk")
     asked = in_chunks.applyInArrow(_ask(window, part, chunks), _MESSAGE)
@@ -342,6 +352,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, part: int = MINIMISER_WORD
     sent = in_chunks.cogroup(answered.groupBy("chunk")).applyInArrow(_send(window, part, chunks), _MESSAGE)
     met = sent.groupBy("bucket").applyInArrow(_meet(window), _MESSAGE)
     schema = "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string"
-    return in_chunks.cogroup(met.groupBy("chunk")).applyInArrow(
-        _finish(with_text), schema + (", kept_text string" if with_text else "")
-    )
+    kinds = dict(documents.dtypes)
+    schema += (", kept_text string" if with_text else "") + "".join(f", carried_{k} {kinds[c]}" for k, c in enumerate(carry))
+    kept = in_chunks.cogroup(met.groupBy("chunk")).applyInArrow(_finish(with_text, len(carry)), schema)
+    return kept.withColumnsRenamed({f"carried_{k}": name for k, name in enumerate(carry)})

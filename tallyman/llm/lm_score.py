@@ -155,9 +155,9 @@ class Automaton:
         value = self.arcs[0][tokens.grams[0][2]]
         for k in range(1, len(self.arcs)):
             owner = tokens.grams[k][2]
-            reached = owner >= 0
-            explicit = reached & (self.counts[k][owner] > 0)
-            fails = np.flatnonzero(reached & ~explicit)
+            reached = np.flatnonzero(owner >= 0)
+            found = self.counts[k][owner[reached]] > 0
+            explicit, fails = reached[found], reached[~found]
             value[fails] += self.failures[k - 1][tokens.grams[k - 1][2][fails - 1]]
             value[explicit] = self.arcs[k][owner[explicit]]
         value[tokens.starts] = 0

@@ -170,6 +170,14 @@ def long_sketches(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(_long_sketches(size), f"class_id long, {parts}")
 
 
+def _meet_first(bands: int) -> Column:
+    """Whether two members share no bucket of an earlier band, so that each pair is looked at once."""
+    earlier = F.lit(False)
+    for k in range(bands - 1):
+        earlier = earlier | ((F.col("x.band") > k) & (F.col(f"x.key_{k}") == F.col(f"y.key_{k}")))
+    return ~earlier
+
+
 def _may_link(percent: int) -> Column:
     """Whether two long sketches differ in few enough coordinates."""
     differ = F.lit(0)
@@ -202,7 +210,7 @@ def near_duplicates(
         "classes",
     )
     members = classes.select("class_id", F.posexplode("bands").alias("band", "key"))
-    members = cut_lineage(members.select(F.xxhash64("band", "key").alias("bucket"), "class_id"), "members")
+    members = cut_lineage(members.select(F.xxhash64("band", "key").alias("bucket"), "band", "class_id"), "members")
     buckets = members.groupBy("bucket").agg(F.min("class_id").alias("first_id"), F.count("*").alias("n_rows"))
     starred = cut_lineage(lookup_join(members, buckets.filter("n_rows > 1"), "bucket", total), "stars")
     pairs = starred.filter("class_id != first_id").select(F.col("class_id").alias("a"), F.col("first_id").alias("b"))
@@ -213,7 +221,7 @@ def near_duplicates(
     links = cut_lineage(confirmed(pairs, texts, size, percent), "confirmed")
 
     groups = components(links).withColumnRenamed("id", "class_id")
-    labelled = starred.select("bucket", "class_id").join(groups, "class_id", "left")
+    labelled = starred.select("bucket", "band", "class_id").join(groups, "class_id", "left")
     labelled = cut_lineage(labelled.withColumn("component", F.coalesce("component", "class_id")), "labelled")
     split = labelled.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_rows")
@@ -222,9 +230,11 @@ def near_duplicates(
     rest = cut_lineage(lookup_join(labelled, open_buckets, "bucket", total), "open")
     involved = rest.select(F.col("class_id").alias("doc_id")).distinct()
     sketches = cut_lineage(long_sketches(texts.join(involved, "doc_id", "left_semi"), size), "sketches")
-    rest = cut_lineage(rest.join(sketches, "class_id"), "open")
+    keys = classes.select("class_id", *(F.col("bands")[k].alias(f"key_{k}") for k in range(bands - 1)))
+    rest = cut_lineage(rest.join(sketches.join(keys, "class_id"), "class_id"), "open")
     here, there = rest.alias("x"), rest.alias("y")
-    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") > F.col("y.component")) & _may_link(percent)
+    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") > F.col("y.component"))
+    met = met & _meet_first(bands) & _may_link(percent)
     crossing = here.join(there, met).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
     tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     crossing = cut_lineage(crossing.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -17,8 +17,6 @@ from ..schemas import (
     ORDER_COLUMNS,
 )
 
-BROADCAST_PAGE = 10_000
-ITEMS_PER_DOCUMENT = 5_000
 _REFRESHED = ("status", "payment_state", "updated_at")
 
 
@@ -136,46 +134,17 @@ def not_deleted(orders: DataFrame) -> DataFrame:
     return orders.where(F.col("status") != LEGACY_DELETED)
 
 
-def nest_orders(orders: DataFrame, items: DataFrame, per_document: int = ITEMS_PER_DOCUMENT) -> DataFrame:
-    """Order documents from the flat tables. Items are nested before the join; no items give an empty array.
-
-    An order with more than ``per_document`` items does not fit one record: further items go to continuation
-    documents, whose sort key has ``#<number>`` appended and which carry no totals, so that sums over
-    documents stay right. Time and order id are read from their sort keys as from any other.
-    """
-    oversized = (
-        items.groupBy("order_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > per_document)
-        .select("order_id", F.ceil(F.col("n") / per_document).cast("int").alias("_parts"))
-    )
-    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("sku"), F.col("_parts")).cast("int")
-    )
-    nested = (
-        items.join(oversized, "order_id", "left")
-        .groupBy("order_id", part.alias("_part"))
-        .agg(
-            F.sort_array(F.collect_list(F.struct("sku", "name", "quantity", "unit_price", "total_price")))
-            .cast(ITEMS).alias("items")
-        )
-    )
-    spread = (
-        not_deleted(orders).join(oversized, "order_id", "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    )
-    # The first document stays even without items: it carries the order.
-    joined = spread.join(nested, ["order_id", "_part"], "left").where(
-        (F.col("_part") == 0) | F.col("items").isNotNull()
+def nest_orders(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Order documents from the flat tables, one for each order. No items give an empty array."""
+    nested = items.groupBy("order_id").agg(
+        F.sort_array(F.collect_list(F.struct("sku", "name", "quantity", "unit_price", "total_price")))
+        .cast(ITEMS).alias("items")
     )
-    first = F.col("_part") == 0
+    joined = not_deleted(orders).join(nested, "order_id", "left")
     address = F.struct(*[F.col(f"shipping_{p}").alias(p) for p in ("street", "city", "state", "zip")])
-    key = sort_key(F.col("created_at"), F.col("order_id"))
     return joined.select(
         "customer_id",
-        F.when(first, key)
-        .otherwise(F.concat(key, F.lit("#"), F.lpad(F.col("_part").cast("string"), 8, "0")))
-        .alias("order_ts_id"),
+        sort_key(F.col("created_at"), F.col("order_id")).alias("order_ts_id"),
         "order_id",
         F.col("created_at").alias("order_ts"),
         "store_id",
@@ -183,9 +152,9 @@ def nest_orders(orders: DataFrame, items: DataFrame, per_document: int = ITEMS_P
         "status",
         "payment_state",
         F.coalesce("items", F.array().cast(ITEMS)).alias("items"),
-        F.when(first, F.col("subtotal").try_cast("decimal(18,2)")).alias("subtotal"),
-        F.when(first, F.col("tax").try_cast("decimal(21,4)")).alias("tax"),
-        F.when(first, F.col("total").try_cast("decimal(23,4)")).alias("total"),
+        F.col("subtotal").try_cast("decimal(18,2)").alias("subtotal"),
+        F.col("tax").try_cast("decimal(21,4)").alias("tax"),
+        F.col("total").try_cast("decimal(23,4)").alias("total"),
         address.cast(ADDRESS).alias("shipping_address"),
         F.concat(F.lit("backfill-"), "order_id").alias("idempotency_key"),
         "created_at",
@@ -204,17 +173,12 @@ def backfill_page(orders: DataFrame, items: DataFrame, after: str | None, limit:
     if after is not None:
         rows = rows.where(F.col("order_id") > after)
     page = rows.orderBy("order_id").limit(limit)
-    ids = page.select("order_id")
-    # The ids of a page up to this limit are a few hundred kilobytes and may travel to every task.
-    if limit <= BROADCAST_PAGE:
-        ids = F.broadcast(ids)
-    return nest_orders(page, items.join(ids, "order_id", "left_semi"))
+    return nest_orders(page, items.join(page.select("order_id"), "order_id", "left_semi"))
 
 
 def progress_after(page: DataFrame, progress: dict[str, object], limit: int, as_of: Column) -> DataFrame:
     """One progress row after a page: COMPLETED when the page is empty, else IN_PROGRESS with the new position."""
-    # Orders are counted by their first documents, which alone have no number in the sort key.
-    rows = F.count_if(F.size(F.split("order_ts_id", "#")) == 2)
+    rows = F.count(F.lit(1))
     done = F.lit(progress.get("total_processed") or 0).cast("bigint")
     last = F.lit(progress.get("last_processed_id")).cast("string")
     return page.agg(rows.alias("n"), F.max("order_id").alias("last")).select(

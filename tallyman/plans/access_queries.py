@@ -126,9 +126,7 @@ SELECT * FROM (
   FROM orders_v) WHERE rank <= 5
 """)
 def top_orders_per_county(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = model.order_heads(spark, sf_dir).withColumn(
-        "order_id", model.order_id_of(F.col("orderkey"), F.lit(0))
-    )
+    heads = model.order_heads(spark, sf_dir).withColumn("order_id", model.order_id_of(F.col("orderkey")))
     ranked = access.top_per_group(heads.select("county_id", "order_id", "order_ts", "status"), "county_id", 5)
     return ranked.select("county_id", "order_id", "order_ts", "status", "rank")
 
@@ -142,7 +140,10 @@ LEFT JOIN orders_v o ON o.order_id = w.order_id
 """)
 def orders_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = model.cancel_requests(spark, sf_dir).select("order_id")
-    return shown_all(access.get_by_order_id(model.orders(spark, sf_dir), wanted), DETAIL_COLUMNS, "found")
+    heads = model.order_heads(spark, sf_dir).withColumn("order_id", model.order_id_of(F.col("orderkey")))
+    heads = heads.join(wanted, "order_id", "left_semi").drop("order_id")
+    found = access.get_by_order_id(model.documents(spark, sf_dir, heads, selective=True), wanted)
+    return shown_all(found, DETAIL_COLUMNS, "found")
 
 
 @query("orders_by_composite_key", ("orders_v",), """
@@ -156,7 +157,10 @@ LEFT JOIN orders_v o ON o.customer_id = w.customer_id AND o.order_ts_id = w.orde
 """)
 def orders_by_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = model.messages(spark, sf_dir).select("customer_id", "order_ts_id")
-    found = access.get_by_sort_key(model.orders(spark, sf_dir), wanted)
+    heads = model.order_heads(spark, sf_dir)
+    key = sort_key(F.col("order_ts"), model.order_id_of(F.col("orderkey")))
+    heads = heads.withColumn("order_ts_id", key).join(wanted, ["customer_id", "order_ts_id"], "left_semi")
+    found = access.get_by_sort_key(model.documents(spark, sf_dir, heads.drop("order_ts_id"), selective=True), wanted)
     return found.select("customer_id", "order_ts_id", "order_id", "status", shown("total"), "found")
 
 
@@ -168,7 +172,7 @@ def orders_live_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.keys import expires_at_epoch
 
     as_of = model.latest_order_time(spark, sf_dir)
-    heads = model.order_heads(spark, sf_dir).withColumn("order_id", model.order_id_of(F.col("orderkey"), F.lit(0)))
+    heads = model.order_heads(spark, sf_dir).withColumn("order_id", model.order_id_of(F.col("orderkey")))
     return access.live_at(heads, as_of).select(
         "order_id", "order_ts", "ttl", expires_at_epoch(as_of, 30).alias("expiry_from_now")
     )
@@ -187,7 +191,7 @@ FROM heads_v
 def sort_key_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.keys import sort_key_parts
 
-    heads = model.order_heads(spark, sf_dir).withColumn("order_id", model.order_id_of(F.col("orderkey"), F.lit(0)))
+    heads = model.order_heads(spark, sf_dir).withColumn("order_id", model.order_id_of(F.col("orderkey")))
     keyed = heads.select("order_id", sort_key(F.col("order_ts"), F.col("order_id")).alias("order_ts_id"))
     time_part, id_part = sort_key_parts(F.col("order_ts_id"))
     return keyed.select("order_id", "order_ts_id", time_part.alias("time_part"), id_part.alias("id_part"))

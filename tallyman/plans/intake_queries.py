@@ -176,7 +176,7 @@ FROM (SELECT CASE orderkey % 4 WHEN 0 THEN order_id
 """)
 def id_format_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("orderkey")
-    order_id = model.order_id_of(key, F.lit(0))
+    order_id = model.order_id_of(key)
     digest = F.md5(order_id.cast("binary"))
     uuid = F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     some_id = (

@@ -20,7 +20,7 @@ def _light_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per order key, under the id of its first document.
     """
     heads = model.order_heads(spark, sf_dir)
-    return heads.withColumn("order_id", model.order_id_of(F.col("orderkey"), F.lit(0)))
+    return heads.withColumn("order_id", model.order_id_of(F.col("orderkey")))
 
 
 

@@ -3,8 +3,8 @@
 Orders come in two halves: *heads* (everything but the lines) and *documents* (heads with their nested
 items). Queries that list a few orders pick the heads first and attach items to those only.
 
-A group of lines larger than ``LINES_PER_DOCUMENT`` becomes several order documents with their own ids, so
-that no nested array grows with the data even when one order key holds a large share of all lines.
+An order is one document whatever its size. Totals and counts come from flat lines behind a partial aggregate; items are
+nested only where a query returns them.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from ..functions.keys import iso_millis, sort_key, store_sku
 from ..operators.pricing import tax_and_total
 from ..schemas import ADDRESS, IMAGE, ITEMS
 
-LINES_PER_DOCUMENT = 100
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,9 +25,9 @@ def padded(prefix: str, value: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"))
 
 
-def order_id_of(key: Column, part: Column) -> Column:
-    """``ORD-`` and 26 digits: twenty of the key, six of the document part."""
-    return F.concat(F.lit("ORD-"), F.lpad(key.cast("string"), 20, "0"), F.lpad(part.cast("string"), 6, "0"))
+def order_id_of(key: Column) -> Column:
+    """``ORD-`` and 26 digits: twenty of the key, then six zeros."""
+    return F.concat(F.lit("ORD-"), F.lpad(key.cast("string"), 20, "0"), F.lit("000000"))
 
 
 def _order_ts() -> Column:
@@ -129,38 +127,23 @@ def _raw_lines(spark: SparkSession, sf_dir: str, keys: DataFrame | None) -> Data
     return raw if keys is None else raw.join(keys, "orderkey", "left_semi")
 
 
-def _oversized(raw: DataFrame) -> DataFrame:
-    """Order keys with more lines than one document takes, and the number of documents they get."""
-    return (
-        raw.groupBy("orderkey")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > LINES_PER_DOCUMENT)
-        .select("orderkey", F.ceil(F.col("n") / LINES_PER_DOCUMENT).cast("int").alias("parts"))
-    )
-
-
 def order_lines(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
-    """One row per order document and sku. ``keys`` (column ``orderkey``) restricts the orders read."""
-    raw = _raw_lines(spark, sf_dir, keys)
+    """One row per order and sku. ``keys`` (column ``orderkey``) restricts the orders read."""
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("partkey"),
         F.col("p_name").alias("name"),
         F.col("p_retailprice").cast("decimal(18,2)").alias("unit_price"),
     )
     lines = (
-        raw.groupBy("orderkey", "partkey")
+        _raw_lines(spark, sf_dir, keys)
+        .groupBy("orderkey", "partkey")
         .agg(F.sum("l_quantity").cast("int").alias("quantity"))
         .join(part, "partkey")
-        .join(_oversized(raw), "orderkey", "left")
-    )
-    part_no = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("partkey"), F.col("parts")).cast("int")
     )
     return lines.select(
         "orderkey",
-        part_no.alias("part_no"),
         "partkey",
-        order_id_of(F.col("orderkey"), part_no).alias("order_id"),
+        order_id_of(F.col("orderkey")).alias("order_id"),
         padded("SKU-", F.col("partkey"), 12).alias("sku"),
         "name",
         "quantity",
@@ -178,16 +161,15 @@ def documents(
     ``selective`` says that they are a small share of all orders: lines of other orders are dropped before
     they are aggregated, by whatever join the planner finds fitting.
 
-    Heads are spread over their document numbers first, so that the join follows the partitioning the
-    nesting left behind: nested items are not moved again, and the documents of one key do not meet in one
-    task.
+    The join follows the partitioning that the nesting left behind, so nested items are not moved again. Items
+    that a query does not use are not collected.
     """
     keys = heads.select("orderkey") if few or selective else None
     if few:
         keys = F.broadcast(keys)
     nested = (
         order_lines(spark, sf_dir, keys)
-        .groupBy("orderkey", "part_no")
+        .groupBy("orderkey")
         .agg(
             F.sort_array(
                 F.collect_list(F.struct("sku", "name", "quantity", "unit_price", "total_price"))
@@ -195,21 +177,11 @@ def documents(
             F.sum("total_price").cast("decimal(18,2)").alias("subtotal"),
         )
     )
-    spread = (
-        heads.join(_oversized(_raw_lines(spark, sf_dir, keys)), "orderkey", "left")
-        .withColumn("part_no", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    )
-    part_no = F.col("part_no")
-    joined = (
-        spread.join(nested, ["orderkey", "part_no"], "left")
-        # A key with several documents has no empty ones.
-        .where(F.col("parts").isNull() | F.col("subtotal").isNotNull())
-        .select(
-            *heads.columns,
-            order_id_of(F.col("orderkey"), part_no).alias("order_id"),
-            F.coalesce("items", F.array().cast(ITEMS)).cast(ITEMS).alias("items"),
-            F.coalesce("subtotal", F.lit(0).cast("decimal(18,2)")).alias("subtotal"),
-        )
+    joined = heads.join(nested, "orderkey", "left").select(
+        *heads.columns,
+        order_id_of(F.col("orderkey")).alias("order_id"),
+        F.coalesce("items", F.array().cast(ITEMS)).cast(ITEMS).alias("items"),
+        F.coalesce("subtotal", F.lit(0).cast("decimal(18,2)")).alias("subtotal"),
     )
     tax, total = tax_and_total(F.col("subtotal"))
     return joined.select(
@@ -261,43 +233,51 @@ def changes(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -
     source = orders(spark, sf_dir) if source is None else source
     key, created = F.col("orderkey"), F.col("created_at")
 
-    def at(seq: int) -> Column:
-        return created + F.expr(f"interval {seq} minutes")
-
     pending = F.lit("PENDING")
     status, payment = F.col("status"), F.col("payment_state")
-    none = F.lit(None).cast(IMAGE)
-    first = _image(pending, pending, at(1))
-    paid = _image(pending, payment, at(2))
-    settled = _image(status, payment, at(3))
-    touched = _image(status, payment, at(4))
 
-    def record(seq: int, op: str, new: Column, old: Column) -> Column:
+    def step(seq: int, op: str, new: int | None, old: int | None) -> Column:
         return F.struct(
-            F.lit(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), at(seq).alias("changed_at"),
-            new.alias("new_image"), old.alias("old_image"),
+            F.lit(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"),
+            F.lit(new).cast("int").alias("new"), F.lit(old).cast("int").alias("old"),
         )
 
+    # Only what tells the steps apart goes through the generator; the images are built behind it.
     steps = F.array_compact(
         F.array(
-            record(1, "INSERT", first, none),
-            record(2, "MODIFY", paid, first),
-            record(3, "MODIFY", settled, paid),
-            F.when(key % 13 == 0, record(3, "MODIFY", settled, paid)),
-            F.when(key % 11 == 0, record(4, "MODIFY", touched, settled)),
-            F.when(key % 101 == 0, record(5, "MODIFY", none, none)),
-            F.when(key % 97 == 0, record(6, "REMOVE", none, settled)),
+            step(1, "INSERT", 1, None),
+            step(2, "MODIFY", 2, 1),
+            step(3, "MODIFY", 3, 2),
+            F.when(key % 13 == 0, step(3, "MODIFY", 3, 2)),
+            F.when(key % 11 == 0, step(4, "MODIFY", 4, 3)),
+            F.when(key % 101 == 0, step(5, "MODIFY", None, None)),
+            F.when(key % 97 == 0, step(6, "REMOVE", None, 3)),
         )
     )
-    return source.select("orderkey", "order_id", F.explode(steps).alias("c")).select(
+
+    def minutes(count: Column) -> Column:
+        return created + F.make_dt_interval(mins=count)
+
+    def image(version: Column) -> Column:
+        """The order after its first, second, third or fourth change; null without a version."""
+        return F.when(
+            version.isNotNull(),
+            _image(
+                F.when(version <= 2, pending).otherwise(status),
+                F.when(version == 1, pending).otherwise(payment),
+                minutes(version),
+            ),
+        ).cast(IMAGE)
+
+    return source.withColumn("c", F.explode(steps)).select(
         "orderkey",
         "order_id",
         F.concat_ws(":", "order_id", F.col("c.seq").cast("string")).alias("event_id"),
         "c.seq",
         "c.op",
-        "c.changed_at",
-        "c.new_image",
-        "c.old_image",
+        minutes(F.col("c.seq").cast("int")).alias("changed_at"),
+        image(F.col("c.new")).alias("new_image"),
+        image(F.col("c.old")).alias("old_image"),
     )
 
 
@@ -376,7 +356,7 @@ def _unknown_id(key: Column) -> Column:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue messages for every tenth order, the ones with ``% 30 = 0`` naming an unknown order."""
     heads = order_heads(spark, sf_dir).where(F.col("orderkey") % 10 == 0)
-    known = order_id_of(F.col("orderkey"), F.lit(0))
+    known = order_id_of(F.col("orderkey"))
     order_id = F.when(F.col("orderkey") % 30 == 0, _unknown_id(F.col("orderkey"))).otherwise(known)
     return heads.select(
         order_id.alias("order_id"),
@@ -392,7 +372,7 @@ def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cancel requests for every seventh order; some saw an older status, some name unknown orders."""
     key = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").where(key % 7 == 0).select(
-        F.when(key % 49 == 0, _unknown_id(key)).otherwise(order_id_of(key, F.lit(0))).alias("order_id"),
+        F.when(key % 49 == 0, _unknown_id(key)).otherwise(order_id_of(key)).alias("order_id"),
         F.when(key % 21 == 0, F.lit("PENDING")).alias("seen_status"),
     )
 
@@ -401,7 +381,7 @@ def payment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes for every second order: approved unless ``% 20 = 0``, amount zero where ``% 70 = 0``."""
     key = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").where(key % 2 == 0).select(
-        order_id_of(key, F.lit(0)).alias("order_id"),
+        order_id_of(key).alias("order_id"),
         (key % 20 != 0).alias("approved"),
         F.when(key % 70 == 0, F.lit(0)).otherwise(F.lit(100)).cast("decimal(23,4)").alias("amount"),
         (F.expr("cast(o_orderdate as timestamp)") + F.expr("interval 4 days")).alias("settled_at"),
@@ -427,7 +407,7 @@ def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(key % 16 == 0, step(4, "PENDING", "FAILED")),
         )
     )
-    target = F.when(key % 52 == 0, _unknown_id(key)).otherwise(order_id_of(key, F.lit(0)))
+    target = F.when(key % 52 == 0, _unknown_id(key)).otherwise(order_id_of(key))
     return (
         table(spark, sf_dir, "orders")
         .where(key % 4 == 0)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from tallyman.plans.queries import ORACLE, QUERIES
 from tools.check_queries import compare, connect
 
-QUERIES, ORACLE = queries(), oracle_sql()
 WITHOUT_SQL = {
     "sortable_ids", "lake_write", "notifications_out", "reservation_fcfs", "inventory_after_reserve",
 }
@@ -18,6 +18,10 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(queries())
+
+
 def test_only_listed_queries_lack_sql():
     assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
 

@@ -72,13 +72,14 @@ def decode_records(records: DataFrame) -> DataFrame:
     )
 
 
-def flatten_events(records: DataFrame, now: Column) -> DataFrame:
+def flatten_events(records: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lake rows of base64 records: the lake columns plus ``record_id``, ``result``, ``error_type``, ``data``.
 
-    Failed records keep their data and have no lake values. Times stay text here, in the lake's format.
+    Failed records keep their data and have no lake values. Times stay text here, in the lake's format. Columns in
+    ``keep`` go along unchanged.
     """
     decoded = decode_records(records)
-    parsed = computed_once(decoded, "e", F.from_json("text", RAW_EVENT))
+    parsed = computed_once(decoded, "e", F.from_json("text", RAW_EVENT, {"allowNonNumericNumbers": "false"}))
     event, inner = F.col("e"), F.col("e.detail")
 
     def field(name: str) -> Column:
@@ -110,6 +111,7 @@ def flatten_events(records: DataFrame, now: Column) -> DataFrame:
         F.when(usable, "Ok").otherwise("ProcessingFailed").alias("result"),
         "error_type",
         "data",
+        *keep,
         *[F.when(usable, values[name]).alias(name) for name in LAKE_COLUMNS],
     )
 
@@ -118,10 +120,10 @@ def lake_rows(flattened: DataFrame) -> DataFrame:
     return flattened.where(F.col("result") == "Ok").select(*LAKE_COLUMNS)
 
 
-def quarantined(flattened: DataFrame, now: Column) -> DataFrame:
+def quarantined(flattened: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Failed records with their original data, by error type and date."""
     return flattened.where(F.col("result") != "Ok").select(
-        "record_id", "data", "error_type", F.date_format(now, "yyyy-MM-dd").alias("date")
+        "record_id", "data", "error_type", F.date_format(now, "yyyy-MM-dd").alias("date"), *keep
     )
 
 

@@ -12,14 +12,17 @@ PAYMENT_FAILED = "Payment processing failed"
 
 
 def classify_messages(messages: DataFrame, orders: DataFrame) -> DataFrame:
-    """Add ``outcome``: eligible, not_found, or already_processed, and the order's status."""
-    current = orders.select("order_id", F.col("status").alias("current_status"))
+    """Add ``outcome``: eligible, not_found, or already_processed, and the order's status.
+
+    An order without a status exists and is not PENDING.
+    """
+    current = orders.select("order_id", F.col("status").alias("current_status"), F.lit(True).alias("_present"))
     return messages.join(current, "order_id", "left").withColumn(
         "outcome",
-        F.when(F.col("current_status").isNull(), "not_found")
-        .when(F.col("current_status") != "PENDING", "already_processed")
-        .otherwise("eligible"),
-    )
+        F.when(F.col("_present").isNull(), "not_found")
+        .when(F.col("current_status") == "PENDING", "eligible")
+        .otherwise("already_processed"),
+    ).drop("_present")
 
 
 def settle_orders(

@@ -26,16 +26,20 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str]
     """Insert rows whose key the target does not hold; within the batch the first row of a key wins.
 
     ``order`` must be unique within a key. The outcome has every incoming row's key and ``order`` value,
-    ``created`` and ``stored_status``.
+    ``created`` and ``stored_status``. A stored row counts as present whatever its status. Rows with a null in their
+    key are never created.
     """
     keys = list(keys)
     first = incoming.groupBy(*keys).agg(F.min(order).alias("_first"), F.min_by("status", order).alias("_won"))
-    existing = target.select(*keys, F.col("status").alias("_held"))
-    ranked = incoming.join(first, keys).join(existing, keys, "left")
-    created = F.col("_held").isNull() & (F.col(order) == F.col("_first"))
+    existing = target.select(*keys, F.col("status").alias("_held"), F.lit(True).alias("_present"))
+    ranked = incoming.join(first, keys, "left").join(existing, keys, "left")
+    created = F.coalesce(F.col("_present").isNull() & (F.col(order) == F.col("_first")), F.lit(False))
     new_rows = ranked.where(created).select(*target.columns)
     outcome = ranked.select(
-        *keys, order, created.alias("created"), F.coalesce("_held", "_won").alias("stored_status")
+        *keys,
+        order,
+        created.alias("created"),
+        F.when(F.col("_present"), F.col("_held")).otherwise(F.col("_won")).alias("stored_status"),
     )
     return Mutation(target.unionByName(new_rows), outcome)
 
@@ -186,11 +190,11 @@ def cancel_orders(target: DataFrame, requests: DataFrame, as_of: Column) -> Muta
     ``seen_status`` of a request is the status its sender read; null means the current one. Outcomes: 200
     cancelled, 404 unknown order, 409 not cancellable (with the status), 409 changed since it was read.
     """
-    current = target.select("order_id", F.col("status").alias("current_status"))
+    current = target.select("order_id", F.col("status").alias("current_status"), F.lit(True).alias("_present"))
     seen = F.coalesce("seen_status", "current_status")
-    found = F.col("current_status").isNotNull()
-    cancellable = seen.isin(*CANCELLABLE_STATUSES)
-    unchanged = seen == F.col("current_status")
+    found = F.col("_present").isNotNull()
+    cancellable = F.coalesce(seen.isin(*CANCELLABLE_STATUSES), F.lit(False))
+    unchanged = seen.eqNullSafe(F.col("current_status"))
     outcome = requests.join(current, "order_id", "left").select(
         "order_id",
         F.when(~found, 404).when(cancellable & unchanged, 200).otherwise(409).alias("status_code"),

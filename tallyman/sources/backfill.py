@@ -45,7 +45,7 @@ class Backfill:
         return self.spark.read.schema(BACKFILL_PROGRESS).json(self._progress_path(steps - 1)).first().asDict()
 
     def _save(self, progress: dict[str, object], **changes: object) -> dict[str, object]:
-        row = {**progress, **changes, "updated_at": dt.datetime.now()}
+        row = {**progress, **changes, "updated_at": dt.datetime.now(dt.UTC)}
         frame = self.spark.createDataFrame([row], BACKFILL_PROGRESS)
         frame.coalesce(1).write.mode("overwrite").json(self._progress_path(self._steps()))
         return row
@@ -72,18 +72,23 @@ class Backfill:
     def documents(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/documents")
 
-    def _write_range(self, number: int, low: str | None, high: str) -> int:
+    def _write_range(self, number: int, low: str | None, high: str | None) -> tuple[int, str | None]:
+        """Write the documents of one range; returns their number and largest id."""
+
         def inside(df: DataFrame) -> DataFrame:
-            kept = df.where(F.col("order_id") <= high)
+            kept = df if high is None else df.where(F.col("order_id") <= high)
             return kept if low is None else kept.where(F.col("order_id") > low)
 
         path = self.documents_path(number)
         nest_orders(inside(self.orders), inside(self.items)).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path).count()
+        written = self.spark.read.parquet(path).agg(F.count("*"), F.max("order_id")).first()
+        return written[0], written[1]
 
     def run(self, action: str = "CONTINUE", max_ranges: int | None = None) -> dict[str, object]:
-        """Process the ranges that are left, or the next ``max_ranges``.
+        """Process the ranges that are left, or the next ``max_ranges``; then whatever lies above the last range.
 
+        Orders with larger ids that arrive later make a range of their own in the run that finds them; the job is
+        completed when there are none.
         The result has status, processed_in_this_run, total_processed, last_processed_id and has_more.
         """
         if action not in ACTIONS:
@@ -92,17 +97,17 @@ class Backfill:
         if action == "STATUS":
             return self._result(progress, 0, progress["status"] == "IN_PROGRESS")
         if progress["status"] == "NOT_STARTED":
-            progress = self._save(progress, status="IN_PROGRESS", started_at=dt.datetime.now())
+            progress = self._save(progress, status="IN_PROGRESS", started_at=dt.datetime.now(dt.UTC))
         processed = 0
         try:
             uppers = self.bounds()
             last = progress["last_processed_id"]
             left = [n for n, upper in enumerate(uppers) if last is None or upper > last]
             if not left:
-                return self._result(self._save(progress, status="COMPLETED", error=None), 0, False)
+                return self._later(progress, last or (uppers[-1] if uppers else None))
             todo = left if max_ranges is None else left[:max_ranges]
             for n in todo:
-                written = self._write_range(n, uppers[n - 1] if n else None, uppers[n])
+                written, _ = self._write_range(n, uppers[n - 1] if n else None, uppers[n])
                 processed += written
                 progress = self._save(
                     progress, status="IN_PROGRESS", error=None, last_processed_id=uppers[n],
@@ -113,6 +118,19 @@ class Backfill:
             self._save(progress, status="FAILED", error=str(error)[:1000])
             raise
 
+    def _later(self, progress: dict[str, object], last: str | None) -> dict[str, object]:
+        rows = not_deleted(self.orders)
+        rows = rows if last is None else rows.where(F.col("order_id") > last)
+        if rows.limit(1).count() == 0:
+            return self._result(self._save(progress, status="COMPLETED", error=None), 0, False)
+        # The folder's number follows the steps taken, so that no earlier result is replaced.
+        written, newest = self._write_range(self.ranges + self._steps(), last, None)
+        progress = self._save(
+            progress, status="IN_PROGRESS", error=None, last_processed_id=newest,
+            total_processed=progress["total_processed"] + written,
+        )
+        return self._result(progress, written, False)
+
     @staticmethod
     def _result(progress: dict[str, object], processed: int, has_more: bool) -> dict[str, object]:
         return {

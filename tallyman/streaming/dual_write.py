@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.legacy import upsert_items, upsert_orders
 from ..session import path_exists
-from .feeds import FEED_INTERVAL, start
+from .feeds import FEED_INTERVAL, run_of, start
 
 
 class DualWrite:
@@ -55,20 +55,29 @@ class DualWrite:
         """Log one micro-batch; a batch that runs again replaces its own folder. Skipped while the flag is off."""
         if not self._flag():
             return
-        batch.write.mode("overwrite").parquet(f"{self._log(self.version())}/batch_id={batch_id}")
+        folder = f"{self._log(self.version())}/run={run_of(batch)}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
 
     def start(self, changes: DataFrame, checkpoint: str, interval: str | None = FEED_INTERVAL) -> StreamingQuery:
         writer = changes.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint)
         return start(writer, interval)
 
     def state(self) -> tuple[DataFrame, DataFrame]:
-        """Current orders (with ``last_seq``) and items."""
+        """Current orders (with ``last_seq``) and items.
+
+        A batch that was logged while the snapshot was being written lies in the log before it, so that is read too;
+        records that the snapshot holds are told by their number.
+        """
         version = self.version()
         orders = self.spark.read.parquet(self._snapshot(version, "orders"))
         items = self.spark.read.parquet(self._snapshot(version, "items"))
-        if not path_exists(self.spark, self._log(version)):
+        logs = [p for p in (self._log(version - 1), self._log(version)) if path_exists(self.spark, p)]
+        if not logs:
             return orders, items
-        log = self.spark.read.parquet(self._log(version))
+        log = self.spark.read.parquet(logs[0])
+        for path in logs[1:]:
+            log = log.unionByName(self.spark.read.parquet(path))
+        log = log.drop("run", "batch_id")
         known = orders.select("order_id", "last_seq")
         fresh = log.join(known, "order_id", "left").where(F.col("seq") > F.coalesce("last_seq", F.lit(-1)))
         newest = fresh.groupBy("order_id").agg(F.max("seq").alias("_seq"))
@@ -82,7 +91,7 @@ class DualWrite:
         return merged, upsert_items(items, fresh.drop("last_seq"))
 
     def compact(self) -> int:
-        """Write the current state as the next snapshot; run it between micro-batches."""
+        """Write the current state as the next snapshot. Batches may be logged meanwhile."""
         version = self.version()
         if not path_exists(self.spark, self._log(version)):
             return version

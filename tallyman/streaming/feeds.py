@@ -23,6 +23,11 @@ def start(writer, interval: str | None) -> StreamingQuery:
     return writer.trigger(processingTime=interval).start()
 
 
+def run_of(batch: DataFrame) -> str:
+    """The id of the stream a micro-batch belongs to, which its checkpoint keeps; ``none`` outside of a stream."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
 def deduplicated(changes: DataFrame, delay: str = DEDUP_DELAY) -> DataFrame:
     """Drop repeated deliveries that arrive within ``delay`` of each other."""
     return changes.withWatermark("changed_at", delay).dropDuplicatesWithinWatermark(["event_id"])

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.intake import accepted, build_orders, idempotent_intake, parse_requests, rejected, validate_requests
 from ..session import path_exists
-from .feeds import FEED_INTERVAL, start
+from .feeds import FEED_INTERVAL, run_of, start
 
 KEYS = ["customer_id", "idempotency_key"]
 
 
 class Intake:
-    """Order requests to order rows under ``root``: ``orders`` and ``rejected``, one folder per batch."""
+    """Order requests to order rows under ``root``: ``orders`` and ``rejected``, one folder per run and batch.
+
+    A run is a checkpoint: batch numbers start again with a new one, and its folders are its own.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -25,17 +29,20 @@ class Intake:
         The batch's keys go to the stored keys, of which two columns are read; the stored side is not
         shuffled while the planner finds the batch small enough to send around.
         """
+        run = run_of(batch)
         # Several results are taken from the batch: parse it once.
         checked = validate_requests(parse_requests(batch)).drop("document").persist()
         try:
-            rejected(checked).write.mode("overwrite").parquet(f"{self.root}/rejected/batch_id={batch_id}")
+            rejected(checked).write.mode("overwrite").parquet(f"{self.root}/rejected/run={run}/batch_id={batch_id}")
             first = idempotent_intake(accepted(checked)).where("created")
             orders = f"{self.root}/orders"
             if path_exists(self.spark, orders):
-                stored = self.spark.read.parquet(orders).where(f"batch_id < {int(batch_id)}").select(*KEYS)
+                stored = self.spark.read.parquet(orders).where(
+                    (F.col("run") != run) | (F.col("batch_id") < int(batch_id))
+                ).select(*KEYS)
                 taken = stored.join(first.select(*KEYS), KEYS, "left_semi")
                 first = first.join(taken, KEYS, "left_anti")
-            build_orders(first).write.mode("overwrite").parquet(f"{orders}/batch_id={batch_id}")
+            build_orders(first).write.mode("overwrite").parquet(f"{orders}/run={run}/batch_id={batch_id}")
         finally:
             checked.unpersist()
 

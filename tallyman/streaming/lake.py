@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import flatten_events, lake_rows, quarantined, split_failed, with_partitions
 from ..sources.lake import PARTITIONS, ROWS_PER_FILE
-from .feeds import LAKE_INTERVAL, start, with_attempt
+from .feeds import LAKE_INTERVAL, run_of, start, with_attempt
 
 RECORD = "record_id string, data string"
 
@@ -41,7 +41,7 @@ def quarantine(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch that runs again replaces its own folder.
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/run={run_of(batch)}/batch_id={batch_id}")
 
     failed = quarantined(flatten_events(records, stamp), stamp).withColumn("timestamp", stamp)
     attempted = with_attempt(failed.withColumn("attempt", F.lit(0)))
@@ -58,11 +58,7 @@ def redrive(
     """
     split = split_failed(failed, as_of)
     again = repair(split.where(F.col("destination") == "retry").drop("destination"))
-    counts = again.select("record_id", F.col("attempt").alias("_attempt"))
-    flattened = flatten_events(again.select("record_id", "data"), as_of)
-    still = (
-        quarantined(flattened, as_of).join(counts, "record_id")
-        .withColumn("attempt", F.col("_attempt")).drop("_attempt").withColumn("timestamp", as_of)
-    )
+    flattened = flatten_events(again.select("record_id", "data", "attempt"), as_of, keep=("attempt",))
+    still = quarantined(flattened, as_of, keep=("attempt",)).withColumn("timestamp", as_of)
     dead = split.where(F.col("destination") == "dead_letter").drop("destination")
     return lake_rows(flattened), with_attempt(still), dead

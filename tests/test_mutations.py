@@ -157,3 +157,19 @@ def test_settle(spark):
     assert {r.order_id: (r.status, r.reason) for r in changed.outcome.collect()} == {
         "ok": ("CONFIRMED", None), "short": ("FAILED", "Inventory reservation failed"),
         "declined": ("FAILED", "Payment processing failed")}
+
+
+def test_a_stored_row_without_status_is_present(spark):
+    stored = spark.createDataFrame([("a", None, None)], "order_id string, status string, updated_at timestamp")
+    incoming = spark.createDataFrame([("a", "PENDING", None, 1), ("b", "PENDING", None, 2), (None, "PENDING", None, 3)],
+                                     "order_id string, status string, updated_at timestamp, n int")
+    result = mutations.insert_if_absent(stored, incoming, ["order_id"], "n")
+    assert {(r.order_id, r.created, r.stored_status) for r in result.outcome.collect()} == {
+        ("a", False, None), ("b", True, "PENDING"), (None, False, None)}
+    assert sorted(r.order_id for r in result.table.collect()) == ["a", "b"]
+    requests = spark.createDataFrame([("a", None), ("z", None)], "order_id string, seen_status string")
+    codes = mutations.cancel_orders(stored, requests, F.current_timestamp()).outcome.collect()
+    assert {(r.order_id, r.status_code) for r in codes} == {("a", 409), ("z", 404)}
+    messages = spark.createDataFrame([("a",), ("z",)], "order_id string")
+    assert {(r.order_id, r.outcome) for r in fulfilment.classify_messages(messages, stored).collect()} == {
+        ("a", "already_processed"), ("z", "not_found")}

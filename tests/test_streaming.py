@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import datetime as dt
 import json
 
@@ -141,6 +142,57 @@ def test_intake_across_batches(spark, tmp_path):
     assert [r.request_id for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == ["r3"]
 
 
+def test_intake_with_a_fresh_checkpoint_keeps_earlier_orders(spark, tmp_path):
+    body = {"customer_id": "C", "store_id": "S", "county_id": "K",
+            "items": [{"sku": "A", "name": "a", "quantity": 1, "unit_price": 2.5}],
+            "shipping_address": {"street": "s", "city": "c", "state": "TX", "zip": "12345"}}
+    job = intake.Intake(spark, str(tmp_path / "out"))
+    for n, keys in enumerate((("key-00000001", "key-00000002"), ("key-00000002", "key-00000003"))):
+        rows = [(f"r{n}{k}", AT + dt.timedelta(minutes=n), k, json.dumps(body)) for k in keys]
+        spark.createDataFrame(rows, feeds.REQUEST_ROW).write.json(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(feeds.REQUEST_ROW).json(str(tmp_path / f"in{n}"))
+        drain(job.start(stream, str(tmp_path / f"cp{n}"), interval=None))
+    assert sorted(r.idempotency_key for r in job.orders().collect()) == [f"key-0000000{k}" for k in (1, 2, 3)]
+
+
+def test_a_batch_logged_during_compaction_is_kept(spark, sf_dir, feed_dir, tmp_path):
+    orders, items = model.legacy_orders(spark, sf_dir), model.legacy_items(spark, sf_dir)
+    job = dual_write.DualWrite(spark, str(tmp_path / "tables"))
+    job.initialize(orders, items)
+    feed = feeds.read_changes(spark, feed_dir)
+    job.write_batch(feed.where("seq <= 2"), 0)
+    version = job.version
+    assert job.compact() == 1
+    job.version = lambda: 0  # the batch saw the old version
+    job.write_batch(feed.where("seq > 2"), 1)
+    job.version = version
+    got_orders, got_items = job.state()
+    assert same(legacy.upsert_orders(orders, feed), got_orders.drop("last_seq"))
+    assert same(legacy.upsert_items(items, feed), got_items)
+
+
+def test_redrive_keeps_repeated_and_null_record_ids(spark):
+    good = base64.b64encode(b'{"order_id": "x", "total": "NaN"}').decode()
+    rows = [("a", "*", "bad_base64", "d", AT, 1), ("a", "*", "bad_base64", "d", AT, 2), (None, "*", "bad_base64", "d", AT, 1),
+            (None, good, "bad_base64", "d", AT, 1)]
+    failed = spark.createDataFrame(rows, "record_id string, data string, error_type string, date string, timestamp timestamp, attempt int")
+    fixed, still, dead = stream_lake.redrive(failed, lambda df: df, now())
+    assert sorted(((r.record_id or ""), r.attempt) for r in still.collect()) == [("", 2), ("a", 2), ("a", 3)]
+    assert [r.total for r in fixed.collect()] == [None] and dead.count() == 0
+
+
+def test_a_failing_batch_is_retried_whole(spark, tmp_path):
+    spark.createDataFrame([("r1", "*"), ("r2", "*")], stream_lake.RECORD).write.json(str(tmp_path / "in"))
+    start = lambda path: stream_lake.quarantine(
+        stream_lake.stream_records(spark, str(tmp_path / "in")), path, str(tmp_path / "cp"), now(), interval=None)
+    blocked = tmp_path / "blocked"
+    blocked.write_text("a file where the folder should be")
+    with pytest.raises(Exception):
+        drain(start(str(blocked)))
+    drain(start(str(tmp_path / "out")))
+    assert {r.record_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"r1", "r2"}
+
+
 def test_rate_alarm_stream(spark, tmp_path):
     rows = [("k", AT + dt.timedelta(seconds=20 * n)) for n in range(12)] + [("calm", AT), ("k", AT + dt.timedelta(hours=1))]
     hits = spark.createDataFrame(rows, "key string, ts timestamp")
@@ -175,6 +227,11 @@ def test_backfill_runs_resumes_and_is_idempotent(spark, sf_dir, tmp_path):
     done = job.run()
     assert done["status"] == "COMPLETED" and done["processed_in_this_run"] == 0
     assert same(want, job.documents().drop("range"))
+    # Orders that arrive later with larger ids are copied too.
+    more = orders.limit(3).withColumn("order_id", F.concat(F.lit("Z"), "order_id"))
+    grown = backfill.Backfill(spark, str(tmp_path / "out"), orders.unionByName(more), items, ranges=5)
+    assert grown.run()["processed_in_this_run"] == 3 and grown.run()["status"] == "COMPLETED"
+    assert job.documents().count() == want.count() + 3
     with pytest.raises(ValueError):
         job.run("RESET")
 

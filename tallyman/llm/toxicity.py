@@ -29,44 +29,43 @@ from pyspark.sql import functions as F
 
 from .tokens import LETTER_WORDS, Words, mixed, powers, split_words, text_blocks
 
-MAX_TRAINING_ROWS = 4000
+MAX_TRAINING_ROWS = 2500
 ORDER = 6
 SHARED_ORDER = 2
 STANDS_OUT = 4.0
 THRESHOLD = 0.3
 REMEMBERED_WORDS = 1 << 20
+SPELLED_AT_ONCE = 1 << 15
 # Characters of a word that are spelled; the rest of a longer one, rarely a word at all, counts as one more ending.
 LONGEST_SPELLING = 64
 _BASE = 0x9E3779B97F4A7C15
 _EDGE = 32
 
 
-def spelled(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of the chosen words, each with its end mark: hash of each run of characters up to ``ORDER``.
-
-    Returns the word's place in ``which`` for each character, and for each order the hashes of the run that ends
-    there and of the run without its last character.
-    """
-    starts = words.starts[which]
-    sizes = np.minimum(words.ends[which] - starts, LONGEST_SPELLING)
-    owner = np.repeat(np.arange(len(which)), sizes + 1)
-    first = np.cumsum(sizes + 1) - sizes - 1
-    inner = np.arange(len(owner)) - first[owner]
-    place = starts[owner] + inner
-    last = inner == sizes[owner]
-    codes = np.where(last, _EDGE, words.buffer[np.minimum(place, len(words.buffer) - 1)]).astype(np.uint64) + np.uint64(1)
-    factor = powers(_BASE, ORDER)
-    key = codes.copy()
-    runs, contexts = np.empty((ORDER, len(owner)), np.uint64), np.empty((ORDER, len(owner)), np.uint64)
-    for k in range(ORDER):
-        if k:
-            before = np.full(len(codes), _EDGE + 1, np.uint64)
-            before[k:] = codes[:-k]
-            before[inner < k] = _EDGE + 1
-            key = key + before * factor[k]
-        runs[k] = mixed(key + np.uint64(k << 56))
-        contexts[k] = mixed(key - codes + np.uint64(k << 56 | 1 << 60))
-    return owner, runs, contexts
+class Spelled:
+    """Characters of the chosen words, each word with its end mark; ``owner`` is the word's place among the chosen."""
+
+    def __init__(self, words: Words, which: np.ndarray):
+        starts = words.starts[which]
+        sizes = np.minimum(words.ends[which] - starts, LONGEST_SPELLING)
+        self.owner = np.repeat(np.arange(len(which), dtype=np.int32), sizes + 1)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        self.inner = np.arange(len(self.owner)) - first[self.owner]
+        place = np.minimum(starts[self.owner] + self.inner, len(words.buffer) - 1)
+        codes = np.where(self.inner == sizes[self.owner], _EDGE, words.buffer[place])
+        self.codes = codes.astype(np.uint64) + np.uint64(1)
+
+    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each order, hashes of the run that ends at each character, and of that run without the character."""
+        factor = powers(_BASE, ORDER)
+        key = self.codes.copy()
+        for k in range(ORDER):
+            if k:
+                before = np.full(len(key), _EDGE + 1, np.uint64)
+                before[k:] = self.codes[:-k]
+                before[self.inner < k] = _EDGE + 1
+                key += before * factor[k]
+            yield mixed(key + np.uint64(k << 56)), mixed(key - self.codes + np.uint64(k << 56 | 1 << 60))
 
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +87,19 @@ class Spelling:
 
     def differences(self, words: Words, which: np.ndarray) -> np.ndarray:
         """Log-likelihood of each chosen word as toxic less that as ordinary."""
-        owner, runs, contexts = spelled(words, which)
-        p = np.full((len(owner), 2), 1 / 257)
-        for k in range(len(self.runs)):
-            at, there = _lookup(self.contexts[k], contexts[k])
-            p *= np.where(there[:, None], self.masses[k][at], 1.0)
-            at, there = _lookup(self.runs[k], runs[k])
-            p += np.where(there[:, None], self.shares[k][at], 0.0)
-        value = np.log(p[:, 1]) - np.log(p[:, 0])
-        return np.bincount(owner, value, minlength=len(which))
+        found = np.empty(len(which))
+        for low in range(0, len(which), SPELLED_AT_ONCE):
+            part = which[low : low + SPELLED_AT_ONCE]
+            letters = Spelled(words, part)
+            p = np.full((len(letters.owner), 2), 1 / 257)
+            for k, (runs, contexts) in enumerate(letters.runs()):
+                at, there = _lookup(self.contexts[k], contexts)
+                p *= np.where(there[:, None], self.masses[k][at], 1.0)
+                at, there = _lookup(self.runs[k], runs)
+                p += np.where(there[:, None], self.shares[k][at], 0.0)
+            value = np.log(p[:, 1]) - np.log(p[:, 0])
+            found[low : low + SPELLED_AT_ONCE] = np.bincount(letters.owner, value, minlength=len(part))
+        return found
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -106,12 +109,19 @@ def _discount(counts: np.ndarray) -> float:
 
 def estimate(words: Words, which: np.ndarray, times: np.ndarray) -> Spelling:
     """Tables from distinct words and how often each occurs in either class (a column each)."""
-    owner, runs, contexts = spelled(words, which)
     model = Spelling()
-    distinct, place = np.unique(runs[ORDER - 1], return_inverse=True)
-    counts = np.stack([np.bincount(place, times[owner, c], minlength=len(distinct)) for c in (0, 1)], 1)
+    letters = Spelled(words, which)
+    # One row for each distinct run of the highest order; shorter runs end in it.
+    for longest, _ in letters.runs():
+        pass
+    distinct, place = np.unique(longest, return_inverse=True)
+    del longest
+    counts = np.stack([np.bincount(place, times[letters.owner, c], minlength=len(distinct)) for c in (0, 1)], 1)
     first = np.zeros(len(distinct), np.int64)
     first[place] = np.arange(len(place))
+    del place
+    runs, contexts = zip(*((r[first], c[first]) for r, c in letters.runs()), strict=True)
+    first = np.arange(len(distinct))
     for k in range(ORDER - 1, -1, -1):
         if k < SHARED_ORDER:
             counts = np.repeat(counts.max(axis=1, keepdims=True), 2, axis=1)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .tokens import LETTER_WORDS, Words, mixed, powers, split_words, text_blocks
 
-MAX_TRAINING_ROWS = 2500
+MAX_TRAINING_ROWS = 2000
 ORDER = 6
 SHARED_ORDER = 2
 STANDS_OUT = 4.0
@@ -170,9 +170,9 @@ class Memory:
 @dataclass
 class Scorer:
     spelling: Spelling
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray  # of the features, then the constant
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))  # of the features, then a last one
     constant: float | None = None  # the score of all texts where there is no model
 
     def features(self, words: Words, memory: Memory) -> np.ndarray:
@@ -202,22 +202,28 @@ def _words_of(texts: list[str]) -> Words:
     return split_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), LETTER_WORDS)
 
 
-def train(ordinary: list[str], toxic: list[str], toxic_share: float) -> Scorer:
-    """Models from two thirds of the texts, the logistic layer from the rest."""
-    if len(ordinary) < 3 or len(toxic) < 3:
-        return Scorer(Spelling(), np.zeros(4), np.ones(4), np.zeros(5), toxic_share)
-    learnt = [[t for i, t in enumerate(texts) if i % 3] for texts in (ordinary, toxic)]
-    rest = [[t for i, t in enumerate(texts) if i % 3 == 0] for texts in (ordinary, toxic)]
-    words = _words_of(learnt[0] + learnt[1])
+def _spelling_of(ordinary: list[str], toxic: list[str]) -> Spelling:
+    words = _words_of(ordinary + toxic)
     _, which, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    border = words.bounds[len(learnt[0])]
+    border = words.bounds[len(ordinary)]
     times = np.stack([np.bincount(part, minlength=len(which)) for part in (place[:border], place[border:])], 1)
-    spelling = estimate(words, which, times.astype(float))
-    scorer = Scorer(spelling, np.zeros(4), np.ones(4), np.zeros(5))
-    memory = Memory()
-    x = np.concatenate([scorer.features(_words_of(texts), memory) for texts in rest])
-    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
-    weight = np.where(y == 1, toxic_share / len(rest[1]), (1 - toxic_share) / len(rest[0])) * len(y)
+    return estimate(words, which, times.astype(float))
+
+
+def train(ordinary: list[str], toxic: list[str], toxic_share: float) -> Scorer:
+    """Models from all texts, the logistic layer from features of texts that their model has not seen."""
+    if len(ordinary) < 3 or len(toxic) < 3:
+        return Scorer(Spelling(), constant=toxic_share)
+    # Each third is read by models of the other two; the model that is kept learns from all.
+    x, y = [], []
+    for fold in range(3):
+        part = Scorer(_spelling_of(*([t for i, t in enumerate(c) if i % 3 != fold] for c in (ordinary, toxic))))
+        for mark, texts in enumerate((ordinary, toxic)):
+            x.append(part.features(_words_of(texts[fold::3]), Memory()))
+            y.append(np.full(len(x[-1]), float(mark)))
+    scorer = Scorer(_spelling_of(ordinary, toxic))
+    x, y = np.concatenate(x), np.concatenate(y)
+    weight = np.where(y == 1, toxic_share / len(toxic), (1 - toxic_share) / len(ordinary)) * len(y)
     scorer.mean, scorer.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([(x - scorer.mean) / scorer.scale, np.ones(len(y))])
     w = np.zeros(5)

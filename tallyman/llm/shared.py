@@ -48,6 +48,10 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> Dat
     return spread.unionByName(rows.join(F.broadcast(hot), key))
 
 
+# Links that one task of a round takes; rounds have fewer and fewer.
+LINKS_PER_TASK = 200_000
+
+
 def _state(links: DataFrame) -> tuple[int, int]:
     row = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     return row[0], row[1]
@@ -64,6 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = cut_lineage(links.distinct(), "links")
     state = _state(links)
     while state[0]:
+        tasks = 1 + state[0] // LINKS_PER_TASK
         ends = links.select("a", "b", F.lit(0).alias("larger")).unionByName(
             links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("larger"))
         )
@@ -72,14 +77,14 @@ def components(edges: DataFrame) -> DataFrame:
         )
         above = links.select(F.col("b").alias("node"), F.col("a").alias("other"))
         hung = lookup_join(above, lowest, "node", state[0]).select(F.col("other").alias("a"), F.col("low").alias("b"))
-        large = cut_lineage(hung.distinct(), "links")
+        large = cut_lineage(hung.distinct().coalesce(tasks), "links")
 
         smallest = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n_rows"))
         pulled = lookup_join(large, smallest, "a", large.count())
         small = pulled.select(
             F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")
         )
-        links = cut_lineage(small.distinct(), "links")
+        links = cut_lineage(small.distinct().coalesce(tasks), "links")
         before, state = state, _state(links)
         if state == before:
             break

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +23,28 @@ BATCH_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Let Spark send this package to the Python workers, unless PYTHONPATH tells them where it is."""
+    package = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if package.parent in on_path or context.applicationId in _shipped:
+        return
+    # The driver serves the archive to the executors; only the driver reads this file.
+    archive = Path(tempfile.mkdtemp(prefix="tallyman-")) / "tallyman_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Apply the library's runtime settings and bound the batches that Python workers get."""
+    """Apply the library's runtime settings, bound the batches that Python workers get, and send them this package."""
+    _ship(spark)
     for key, value in BATCH_SETTINGS.items():
         spark.conf.set(key, value)
     return configure(spark)

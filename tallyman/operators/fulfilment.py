@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import INVENTORY_FAILED, PAYMENT_FAILED
 from .mutations import Mutation, set_status
 
-INVENTORY_FAILED = "Inventory reservation failed"
-PAYMENT_FAILED = "Payment processing failed"
-
 
 def classify_messages(messages: DataFrame, orders: DataFrame) -> DataFrame:
     """Add ``outcome``: eligible, not_found, or already_processed, and the order's status.

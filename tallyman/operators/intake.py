@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.hashing import request_hash
 from ..functions.keys import is_idempotency_key, sort_key, sortable_id
 from ..functions.text import computed_once
-from ..schemas import ADDRESS, ORDER_COLUMNS, REQUEST_ITEM
+from ..schemas import ADDRESS, ALREADY_EXISTS, ORDER_COLUMNS, REQUEST_ITEM, VALIDATION_FAILED
 from .pricing import price_orders
 
 ERRORS = "array<struct<field:string,code:string>>"
-ALREADY_EXISTS = "Order already exists (idempotent)"
+# What the records hold: whole numbers of 32 bits, prices of eight decimals, order values of 18 digits.
+MOST_QUANTITY = 2**31 - 1
+LEAST_PRICE, MOST_PRICE = 1e-8, 1e15
+MOST_VALUE = 9e15
 
 
 def _get(value: Column, name: str, kind: str = "variant") -> Column:
@@ -38,7 +41,7 @@ def parse_requests(requests: DataFrame, body: str = "body") -> DataFrame:
             _get(x, "sku", "string").alias("sku"),
             _get(x, "name", "string").alias("name"),
             _get(x, "quantity", "int").alias("quantity"),
-            _get(x, "unit_price", "decimal(18,2)").alias("unit_price"),
+            _get(x, "unit_price", "decimal(26,8)").alias("unit_price"),
         ),
     ).cast(f"array<{REQUEST_ITEM}>")
     address = _get(doc, "shipping_address")
@@ -95,12 +98,16 @@ def _text_rules(field: Column | str, part: Column, least: int = 1, most: int | N
 
 
 def _positive_rules(field: Column | str, part: Column, whole: bool) -> list[Column]:
+    """Numbers above zero that the record can hold."""
     number = part["value"]
+    least, most = (1, MOST_QUANTITY) if whole else (LEAST_PRICE, MOST_PRICE)
     is_number = _is_number(part["type"])
     rules = [F.when(~is_number, _error(field, "invalid_type"))]
     if whole:
         rules.append(F.when(is_number & (number != F.floor(number)), _error(field, "invalid_type")))
-    rules.append(F.when(is_number & (number <= 0), _error(field, "too_small")))
+    small = (number <= 0) if whole else (number < least)
+    rules.append(F.when(is_number & small, _error(field, "too_small")))
+    rules.append(F.when(is_number & (number > most), _error(field, "too_big")))
     return rules
 
 
@@ -128,6 +135,15 @@ def _facts(doc: Column) -> Column:
     )
 
 
+def _value(items: Column) -> Column:
+    """About what the items cost together."""
+    return F.aggregate(
+        items,
+        F.lit(0.0),
+        lambda total, x: total + F.coalesce(x["quantity"]["value"] * x["unit_price"]["value"], F.lit(0.0)),
+    )
+
+
 def _item_rules(item: Column, index: Column) -> Column:
     place = F.concat(F.lit("items."), index.cast("string"))
 
@@ -165,6 +181,7 @@ def validate_requests(parsed: DataFrame, key: str = "idempotency_key") -> DataFr
             F.array(
                 F.when(~is_list, _error("items", "invalid_type")),
                 F.when(is_list & (F.size(facts["items"]) == 0), _error("items", "too_small")),
+                F.when(is_list & (_value(facts["items"]) > MOST_VALUE), _error("items", "too_big")),
             ),
             item_errors,
             F.when(_is_object(facts["address_type"]), F.array(*address_fields)).otherwise(
@@ -195,7 +212,7 @@ def accepted(validated: DataFrame) -> DataFrame:
 
 def rejected(validated: DataFrame) -> DataFrame:
     """Invalid requests with their raw text and an error report."""
-    report = F.to_json(F.struct(F.lit("Validation failed").alias("message"), F.col("errors").alias("details")))
+    report = F.to_json(F.struct(F.lit(VALIDATION_FAILED).alias("message"), F.col("errors").alias("details")))
     return validated.where(~F.col("is_valid")).select(
         "request_id", "received_at", "idempotency_key", "body", "errors", report.alias("report")
     )

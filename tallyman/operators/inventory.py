@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import sortable_id
 from ..functions.ordered import running_totals
-from ..schemas import RESERVATION_MINUTES
+from ..schemas import RESERVATION_MINUTES, SHORTAGE
 from ..session import cut_lineage
 
-SHORTAGE = "Insufficient inventory"
-
 
 def stock_on_hand(inventory: DataFrame) -> DataFrame:
     """``store_sku`` and what can still be promised; missing numbers count as zero."""
@@ -54,7 +52,10 @@ def shortages(lines: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def _order_buckets() -> list[Column]:
-    """Buckets that never decrease along ``order_ts, order_id``: the minute, then time and id without its last digits."""
+    """Buckets that never decrease along ``order_ts, order_id``: the minute, then time and id without its last digits.
+
+    Ids have one width, so their first 20 characters follow their order.
+    """
     exact = F.struct(F.col("order_ts").alias("at"), F.substring("order_id", 1, 20).alias("id"))
     return [F.date_trunc("minute", "order_ts"), exact]
 

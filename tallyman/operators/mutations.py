@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CANCELLABLE_STATUSES
+from ..schemas import CANCELLABLE_STATUSES, CANCELLED, DECLINED, NOT_CANCELLABLE, NOT_FOUND, STATUS_CHANGED
 
 # Updates of one key are folded in blocks of this many sequence numbers, never all in one array.
 FOLD_BLOCK = 16384
@@ -198,10 +198,10 @@ def cancel_orders(target: DataFrame, requests: DataFrame, as_of: Column) -> Muta
     outcome = requests.join(current, "order_id", "left").select(
         "order_id",
         F.when(~found, 404).when(cancellable & unchanged, 200).otherwise(409).alias("status_code"),
-        F.when(~found, "Order not found")
-        .when(~cancellable, "Order cannot be cancelled")
-        .when(~unchanged, "Order status changed, please retry")
-        .otherwise("Order cancelled successfully").alias("message"),
+        F.when(~found, NOT_FOUND)
+        .when(~cancellable, NOT_CANCELLABLE)
+        .when(~unchanged, STATUS_CHANGED)
+        .otherwise(CANCELLED).alias("message"),
         F.when(found & ~cancellable, seen).alias("current_status"),
     )
     granted = (
@@ -226,7 +226,7 @@ def apply_payments(target: DataFrame, results: DataFrame) -> Mutation:
     outcome = results.select(
         "order_id",
         F.when(approved, "CAPTURED").otherwise("FAILED").alias("payment_result"),
-        F.when(~approved, F.lit("Payment declined")).alias("error"),
+        F.when(~approved, F.lit(DECLINED)).alias("error"),
         "settled_at",
     )
     joined = target.join(

@@ -27,9 +27,9 @@ def price_items(items: Column) -> Column:
 
 
 def subtotal(items: Column) -> Column:
-    """Sum of the line totals, exact and independent of the item order."""
-    zero = F.lit(0).cast("decimal(28,2)")
-    added = F.aggregate(items, zero, lambda acc, x: (acc + line_total(x)).cast("decimal(28,2)"))
+    """Sum of quantity times price, independent of the item order and rounded once at the end."""
+    zero = F.lit(0).cast("decimal(38,8)")
+    added = F.aggregate(items, zero, lambda acc, x: (acc + x["quantity"] * x["unit_price"]).cast("decimal(38,8)"))
     return added.cast("decimal(18,2)")
 
 
@@ -40,7 +40,7 @@ def tax_and_total(amount: Column, tax_rate: str = TAX_RATE) -> tuple[Column, Col
 
 def price_orders(requests: DataFrame, tax_rate: str = TAX_RATE) -> DataFrame:
     """Add line totals, subtotal, tax and total to rows that carry an ``items`` array."""
-    priced = requests.withColumn("items", price_items(F.col("items")))
-    priced = priced.withColumn("subtotal", subtotal(F.col("items")))
+    priced = requests.withColumn("subtotal", subtotal(F.col("items")))
+    priced = priced.withColumn("items", price_items(F.col("items")))
     tax, total = tax_and_total(F.col("subtotal"), tax_rate)
     return priced.withColumns({"tax": tax, "total": total})

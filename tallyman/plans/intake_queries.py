@@ -117,10 +117,11 @@ SELECT customer_id, 'PENDING' AS status, received_at AS order_ts, request_id,
                  ELSE total END AS DOUBLE) AS total
 FROM checked_v c
 JOIN (SELECT * FROM lines_v QUALIFY row_number() OVER (PARTITION BY orderkey ORDER BY sku) = 1) f USING (orderkey)
-WHERE errors = '' AND send = 1 AND kind NOT IN (17)
+WHERE errors = '' AND send = 1
+QUALIFY kind <> 17 OR row_number() OVER (PARTITION BY kind, customer_id ORDER BY received_at, request_id) = 1
 """)
 def orders_from_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = intake.accepted(validated(spark, sf_dir).where("key_well_formed or length(idempotency_key) > 8"))
+    valid = intake.accepted(validated(spark, sf_dir))
     first = intake.idempotent_intake(cut_lineage(valid, "accepted")).where("created")
     return intake.build_orders(first).select("customer_id", "status", "order_ts", "request_id", shown("total"))
 

@@ -26,6 +26,18 @@ DEAD_LETTER_DAYS = 14
 ARCHIVE_DAYS = 90
 RATE_LIMIT = 2000
 
+# ---- fixed values: response texts ----
+ALREADY_EXISTS = "Order already exists (idempotent)"
+VALIDATION_FAILED = "Validation failed"
+NOT_FOUND = "Order not found"
+NOT_CANCELLABLE = "Order cannot be cancelled"
+STATUS_CHANGED = "Order status changed, please retry"
+CANCELLED = "Order cancelled successfully"
+DECLINED = "Payment declined"
+INVENTORY_FAILED = "Inventory reservation failed"
+PAYMENT_FAILED = "Payment processing failed"
+SHORTAGE = "Insufficient inventory"
+
 # ---- fixed values: event type and display label ----
 EVENT_LABELS = {
     "ORDER_CREATED": "Order Created",
@@ -44,7 +56,8 @@ ITEM = "struct<sku:string,name:string,quantity:int,unit_price:decimal(18,2),tota
 ITEMS = f"array<{ITEM}>"
 ADDRESS = "struct<street:string,city:string,state:string,zip:string>"
 
-REQUEST_ITEM = "struct<sku:string,name:string,quantity:int,unit_price:decimal(18,2)>"
+# Prices keep the digits they were sent with until totals are rounded.
+REQUEST_ITEM = "struct<sku:string,name:string,quantity:int,unit_price:decimal(26,8)>"
 REQUEST = (
     "customer_id string, store_id string, county_id string, "
     f"items array<{REQUEST_ITEM}>, shipping_address {ADDRESS}"

@@ -124,3 +124,18 @@ def test_paging_visits_every_order_once(spark):
         if token is None:
             break
     assert seen == sorted((r[1] for r in rows), reverse=True)
+
+
+def test_numbers_that_records_cannot_hold_are_errors_not_nulls(spark):
+    def item(**changes):
+        return json.dumps({**REQUEST, "items": [{**ITEM, **changes}]})
+
+    rows = [(item(quantity=3_000_000_000), "key-00000001"), (item(unit_price=1e17), "key-00000002"),
+            (item(quantity=3, unit_price=0.004), "key-00000003"), (item(quantity=3, unit_price=1.005), "key-00000004"),
+            (item(quantity=2_000_000_000, unit_price=1e14), "key-00000005")]
+    validated = checked(spark, rows)
+    assert [[(e.field, e.code) for e in r.errors] for r in validated.orderBy("request_id").collect()] == [
+        [("items.0.quantity", "too_big")], [("items", "too_big"), ("items.0.unit_price", "too_big")], [], [],
+        [("items", "too_big")]]
+    built = intake.build_orders(intake.accepted(validated)).orderBy("request_id").collect()
+    assert [float(r.subtotal) for r in built] == [0.01, 3.02] and all(r.total is not None for r in built)

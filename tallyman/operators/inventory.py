@@ -71,21 +71,28 @@ def reserve_in_order(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """First come, first served reservation: per order ``reserved``, as if orders were tried one by one.
 
     An order takes stock only if all its lines fit, so a rejected order must not count against later ones.
-    Each round looks at the undecided lines with two bounds on the demand ahead of them: at least that of
+    Before any ordering, orders with a line above what its stock row holds are rejected, and lines of stock rows that
+    suffice for everybody are set aside; only orders with lines of contended stock rows compete. Each round looks at the undecided lines with two bounds on the demand ahead of them: at least that of
     the orders accepted earlier, at most that plus all undecided ones. An order whose lines fit under the
     upper bound is accepted; one with a line that misses even the lower bound is rejected. The earliest
     undecided order is always decided, so the rounds end; decided lines leave the working set.
     """
     merged = lines.groupBy("order_id", "order_ts", "store_sku").agg(F.sum("quantity").alias("quantity"))
     stock = stock_on_hand(inventory)
-    work = cut_lineage(
-        merged.join(stock, "store_sku", "left").select(
-            "order_id", "order_ts", "store_sku", "quantity",
-            F.coalesce("available", F.lit(0)).cast("bigint").alias("room"),
-            F.lit(None).cast("boolean").alias("reserved"),
-        )
+    demand = merged.groupBy("store_sku").agg(F.sum("quantity").alias("demand"))
+    rooms = demand.join(stock, "store_sku", "left").select(
+        "store_sku", "demand", F.coalesce("available", F.lit(0)).cast("bigint").alias("room")
+    )
+    asked = merged.join(rooms, "store_sku").withColumn("contended", F.col("demand") > F.col("room"))
+    first = asked.groupBy("order_id").agg(
+        F.when(F.bool_or(F.col("quantity") > F.col("room")), F.lit(False))
+        .when(~F.bool_or("contended"), F.lit(True)).alias("reserved")
     )
-    decided: DataFrame | None = None
+    judged = cut_lineage(asked.join(first, "order_id"))
+    decided = judged.where(F.col("reserved").isNotNull()).select("order_id", "reserved").distinct()
+    work = judged.where(F.col("reserved").isNull() & F.col("contended")).drop("demand", "contended")
+    if work.isEmpty():
+        return decided
     while True:
         # ``room`` already excludes orders accepted in earlier rounds that come before the line.
         work = work.withColumns(
@@ -114,7 +121,7 @@ def reserve_in_order(lines: DataFrame, inventory: DataFrame) -> DataFrame:
             open_lines.join(verdicts.select("order_id", verdict.alias("reserved")), "order_id").drop("ahead")
         )
         done = judged.where(F.col("reserved").isNotNull()).select("order_id", "reserved").distinct()
-        decided = done if decided is None else decided.unionByName(done)
+        decided = decided.unionByName(done)
         if judged.where(F.col("reserved").isNull()).isEmpty():
             return decided
         work = judged.where(F.col("reserved").isNull() | F.col("reserved"))

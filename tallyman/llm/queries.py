@@ -17,6 +17,7 @@ from . import (
     license_scan,
     lm_score,
     minhash_dedup,
+    oracles,
     substring_dedup,
     toxicity,
 )
@@ -43,7 +44,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False).drop("text_key")
 
@@ -78,13 +79,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.preference_samples(chat_format.neighbours(table(spark, sf_dir, "conversations")))
 
 
-@query("op7_decontaminate")
+@query("op7_decontaminate", oracles.decontaminate())
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(documents, benchmark, with_spans=False).drop("items")
 
 
-@query("op8_embedding_dedup")
+@query("op8_embedding_dedup", oracles.EMBEDDING_DEDUP)
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +98,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, scorer).withColumn("held_out", out)
 
 
-@query("op10_minhash_dedup")
+@query("op10_minhash_dedup", oracles.MINHASH_DEDUP)
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)

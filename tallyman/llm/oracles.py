@@ -87,8 +87,8 @@ JOIN (SELECT id, min(other) AS low FROM reach GROUP BY id) r ON r.id = w.doc_id
 EMBEDDING_DEDUP = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
-    AND len(list_filter(embedding, e -> e <> 0)) > 0
+  WHERE vec_id IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0
+    AND len([e FOR e IN embedding IF e <> 0]) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
   WHERE list_cosine_similarity(a.x, b.x) >= 0.9

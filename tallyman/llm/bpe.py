@@ -34,6 +34,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .tokens import release_memory
+
 READ_SYMBOLS = 4096
 CACHED_WORDS = 400_000
 CACHED_WORD_LENGTH = 64
@@ -265,6 +267,8 @@ def _run(shared, with_ids: bool):
                 flat = np.concatenate(packed) if packed else np.zeros(0, np.int32)
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
+        codec.known.clear()
+        release_memory()
 
     return run
 

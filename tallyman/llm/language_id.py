@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import release_memory
+
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 RUNS = (1, 2, 3, 4)
 MAX_TRAINING_ROWS = 4000
 REJECT_SHARE = 0.0005
-REJECT_BELOW = 0.4
+REJECT_BELOW = 0.35
 BLOCK_BYTES = 1 << 20
 
 _ASCII_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -225,6 +227,7 @@ def _predict(shared):
                     "rejected": pa.array(rejected, pa.bool_()),
                 }
             )
+        release_memory()
 
     return run
 
@@ -245,6 +248,7 @@ def _accepted(shared):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array(~shared.value.predict(texts)[2]))
+        release_memory()
 
     return run
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .shared import components, lookup_join
-from .tokens import LOWER, LOWER_WORDS, mixed, range_hashes, split_words, text_blocks
+from .tokens import LOWER, LOWER_WORDS, mixed, range_hashes, release_memory, split_words, text_blocks
 
 SHINGLE = 5
 BANDS = 20
@@ -104,6 +104,7 @@ def _sketches(size: int, bands: int, rows: int):
                     ],
                     names=["doc_id", "n_shingles", "set_1", "set_2", "bands"],
                 )
+        release_memory()
 
     return run
 

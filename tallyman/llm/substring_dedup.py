@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import pack, unpack
-from .tokens import Words, mixed, range_hashes, split_words
+from .tokens import Words, mixed, range_hashes, release_memory, split_words
 
 WINDOW = 20
 MINIMISER_WORDS = 4
 HOT_STRINGS = 1000
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 _RUN_BASE = 0xD1342543DE82EF95
 _WINDOW_BASE = 0xAEF17502108EF2D9
 
@@ -161,6 +161,7 @@ def _ask(window: int, part: int, buckets: int):
         for b in rows:
             asked = slice(edges[b], edges[b + 1])
             blobs.append(pack(np.diff(keys[asked], prepend=np.uint64(0)), counts[asked].astype(np.uint32)))
+        release_memory()
         return _message(rows, table.column("chunk")[0].as_py(), blobs)
 
     return run
@@ -213,6 +214,8 @@ def _send(window: int, part: int, buckets: int):
         if len(chunk.decided[0]):  # negative buckets carry ranges that are already decided
             rows.append(-1 - number)
             blobs.append(pack(*chunk.decided))
+        del chunk, words
+        release_memory()
         return _message(rows, number, blobs)
 
     return run
@@ -320,6 +323,7 @@ def _finish(with_text: bool, carried: int):
             columns["kept_text"] = pa.array(kept_texts, pa.string())
         for k in range(carried):
             columns[f"carried_{k}"] = table.column(f"carried_{k}")
+        release_memory()
         return pa.table(columns)
 
     return run

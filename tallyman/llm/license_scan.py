@@ -18,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import computed_once
+from ..session import cut_lineage
+
 # Known texts up to this number are broadcast.
 BROADCAST_TEXTS = 5000
 
@@ -39,6 +42,8 @@ EQUIVALENT_SPELLINGS = (
 )
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n©]*(?:©|\(c\)|all rights reserved|copyright +(?:\(c\)|©|[0-9<\[{]|by ))[^\n]*$"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f©]+"
+# The same without the line feed.
+PUNCTUATION_IN_LINES = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f©]+"
 
 # Public licence texts and notices.
 KNOWN_TEXTS = (
@@ -103,14 +108,19 @@ required.
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; empty for texts without letters and digits."""
+def canonical_lines(text: Column) -> Column:
+    """The canonical form with its line feeds; lines may keep a blank at either end."""
     form = F.lower(text)
     marked = form.contains("copyright") | form.contains("(c)") | form.contains("©") | form.contains("all rights reserved")
     form = F.when(marked, F.regexp_replace(form, COPYRIGHT_LINE, "")).otherwise(form)
     for spelling, common in EQUIVALENT_SPELLINGS:
         form = F.replace(form, F.lit(spelling), F.lit(common))
-    return F.trim(F.regexp_replace(form, PUNCTUATION, " "))
+    return F.regexp_replace(form, PUNCTUATION_IN_LINES, " ")
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form; empty for texts without letters and digits."""
+    return F.trim(F.regexp_replace(canonical_lines(text), "[ \n]+", " "))
 
 
 def _digest(form: Column) -> Column:
@@ -127,6 +137,11 @@ def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFr
     )
 
 
+def _fits(line: Column, longest: int | None, sizes: list[int] | None) -> Column:
+    """Whether a known form has this length; for long lists, whether it is not longer than all of them."""
+    return F.length(line).isin(sizes) if sizes else F.length(line) <= (longest or 0)
+
+
 def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Licences of whole texts and of single lines.
 
@@ -135,16 +150,23 @@ def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     digests = known_digests(documents.sparkSession, known)
     longest, count = digests.agg(F.max("size"), F.count("*")).first()
+    few = count <= BROADCAST_TEXTS
+    sizes = [r["size"] for r in digests.select("size").distinct().collect()] if few else None
     digests = digests.select("digest", "license")
-    if count <= BROADCAST_TEXTS:
+    if few:
         digests = F.broadcast(digests)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = texts.select("doc_id", _digest(canonical(F.col("text"))).alias("digest")).join(digests, "digest", "left")
-    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    # A form that is longer than every known form needs no digest.
-    lines = lines.select("doc_id", canonical(F.col("line")).alias("form")).filter(
-        (F.col("form") != "") & (F.length("form") <= (longest or 0))
+    # Both look-ups use the form of the whole text, which is made once.
+    texts = computed_once(texts, "form", canonical_lines(F.col("text")))
+    forms = texts.select(
+        "doc_id",
+        _digest(F.trim(F.regexp_replace("form", "[ \n]+", " "))).alias("digest"),
+        F.transform(F.split("form", "\n"), lambda line: F.trim(line)).alias("lines"),
     )
+    kept = F.filter("lines", lambda line: (line != "") & _fits(line, longest, sizes))
+    forms = cut_lineage(forms.select("doc_id", "digest", kept.alias("lines")), "forms")
+    whole = forms.select("doc_id", "digest").join(digests, "digest", "left")
+    lines = forms.select("doc_id", F.explode("lines").alias("form"))
     notices = (
         lines.select("doc_id", _digest(F.col("form")).alias("digest"))
         .join(digests, "digest")

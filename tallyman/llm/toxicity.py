@@ -2,7 +2,8 @@
 
 Two models spell words character by character, one learnt from toxic and one from ordinary texts. The difference of a
 word's log-likelihoods tells how much it speaks for either class; a rare or inflected expression is judged by the
-parts it shares with others. The models of orders 3 to ``ORDER`` belong to their class, each backing off to the
+parts it shares with others. A word of more than ``LONGEST_PART`` bytes is learnt whole and judged in overlapping parts,
+each counted as a word, so an expression inside a long run of letters stands out as it does elsewhere. The models of orders 3 to ``ORDER`` belong to their class, each backing off to the
 continuation counts of the order below; orders 1 and 2 are shared, built from the counts of both classes.
 
 A logistic layer, fitted on rows that the models have not seen, turns length-normalised differences into a score: the
@@ -36,20 +37,48 @@ STANDS_OUT = 4.0
 THRESHOLD = 0.3
 REMEMBERED_WORDS = 1 << 20
 SPELLED_AT_ONCE = 1 << 15
-# Characters of a word that are spelled; the rest of a longer one, rarely a word at all, counts as one more ending.
-LONGEST_SPELLING = 64
+# A longer word, such as a sentence in a script without blanks, is judged in parts of this many bytes that overlap by half.
+LONGEST_PART = 64
 _BASE = 0x9E3779B97F4A7C15
 _EDGE = 32
 
 
+class Parts:
+    """Words cut into overlapping parts where they are long.
+
+    A part that does not open its word begins with ``lead`` bytes that are only context. Only ``last`` parts have an end
+    mark.
+    """
+
+    def __init__(self, words: Words):
+        sizes = words.ends - words.starts
+        step = LONGEST_PART // 2
+        counts = 1 + np.maximum(0, -((LONGEST_PART - sizes) // step))
+        before = np.append(0, np.cumsum(counts))
+        inner = np.arange(before[-1]) - np.repeat(before[:-1], counts)
+        starts, ends = np.repeat(words.starts, counts) + inner * step, np.repeat(words.ends, counts)
+        self.last = inner == np.repeat(counts, counts) - 1
+        self.lead = np.where(inner > 0, ORDER - 1, 0)
+        ends = np.where(self.last, ends, starts + LONGEST_PART)
+        self.words = Words(words.buffer, starts - self.lead, ends, before[words.bounds])
+
+    def hashes(self) -> np.ndarray:
+        place = (self.lead > 0) * np.uint64(1) + ~self.last * np.uint64(2)
+        return self.words.hashes() ^ place * np.uint64(_BASE)
+
+
 class Spelled:
-    """Characters of the chosen words, each word with its end mark; ``owner`` is the word's place among the chosen."""
+    """Characters of the chosen words; ``owner`` is the word's place among the chosen.
+
+    Each word has its end mark, unless ``last`` says that it is a part before the end.
+    """
 
-    def __init__(self, words: Words, which: np.ndarray):
+    def __init__(self, words: Words, which: np.ndarray, last: np.ndarray | None = None):
         starts = words.starts[which]
-        sizes = np.minimum(words.ends[which] - starts, LONGEST_SPELLING)
-        self.owner = np.repeat(np.arange(len(which), dtype=np.int32), sizes + 1)
-        first = np.cumsum(sizes + 1) - sizes - 1
+        sizes = words.ends[which] - starts
+        lengths = sizes + (1 if last is None else last[which])
+        self.owner = np.repeat(np.arange(len(which), dtype=np.int32), lengths)
+        first = np.cumsum(lengths) - lengths
         self.inner = np.arange(len(self.owner)) - first[self.owner]
         place = np.minimum(starts[self.owner] + self.inner, len(words.buffer) - 1)
         codes = np.where(self.inner == sizes[self.owner], _EDGE, words.buffer[place])
@@ -85,12 +114,12 @@ class Spelling:
     contexts: list[np.ndarray] = field(default_factory=list)
     masses: list[np.ndarray] = field(default_factory=list)
 
-    def differences(self, words: Words, which: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each chosen word as toxic less that as ordinary."""
+    def differences(self, parts: Parts, which: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each chosen part as toxic less that as ordinary."""
         found = np.empty(len(which))
         for low in range(0, len(which), SPELLED_AT_ONCE):
             part = which[low : low + SPELLED_AT_ONCE]
-            letters = Spelled(words, part)
+            letters = Spelled(parts.words, part, parts.last)
             p = np.full((len(letters.owner), 2), 1 / 257)
             for k, (runs, contexts) in enumerate(letters.runs()):
                 at, there = _lookup(self.contexts[k], contexts)
@@ -98,6 +127,7 @@ class Spelling:
                 at, there = _lookup(self.runs[k], runs)
                 p += np.where(there[:, None], self.shares[k][at], 0.0)
             value = np.log(p[:, 1]) - np.log(p[:, 0])
+            value[letters.inner < parts.lead[part][letters.owner]] = 0
             found[low : low + SPELLED_AT_ONCE] = np.bincount(letters.owner, value, minlength=len(part))
         return found
 
@@ -146,21 +176,21 @@ def estimate(words: Words, which: np.ndarray, times: np.ndarray) -> Spelling:
 
 
 class Memory:
-    """The differences of words seen lately; a new word takes the place of an old one with the same slot."""
+    """The differences of parts seen lately; a new one takes the place of an old one with the same slot."""
 
     def __init__(self):
         self.keys = np.zeros(REMEMBERED_WORDS, np.uint64)
         self.values = np.zeros(REMEMBERED_WORDS, np.float32)
 
-    def differences(self, spelling: Spelling, words: Words) -> np.ndarray:
-        hashes = words.hashes()
+    def differences(self, spelling: Spelling, parts: Parts) -> np.ndarray:
+        hashes = parts.hashes()
         slots = (hashes >> np.uint64(13)) & np.uint64(REMEMBERED_WORDS - 1)
         values = self.values[slots]
         missing = np.flatnonzero(self.keys[slots] != hashes)
         if len(missing):
             _, first, place = np.unique(hashes[missing], return_index=True, return_inverse=True)
             new = missing[first]
-            found = spelling.differences(words, new)
+            found = spelling.differences(parts, new)
             values[missing] = found[place]
             self.keys[slots[new]] = 0  # if two new words share a slot, the key and value of one are kept together
             self.keys[slots[new]], self.values[slots[new]] = hashes[new], found
@@ -176,13 +206,15 @@ class Scorer:
     constant: float | None = None  # the score of all texts where there is no model
 
     def features(self, words: Words, memory: Memory) -> np.ndarray:
-        n = np.diff(words.bounds)
+        parts = Parts(words)
+        bounds = parts.words.bounds
+        n = np.diff(bounds)
         found = np.zeros((len(n), 4))
         some = n > 0
         if not some.any():
             return found
-        value = memory.differences(self.spelling, words)
-        starts = words.bounds[:-1][some]
+        value = memory.differences(self.spelling, parts)
+        starts = bounds[:-1][some]
         found[some, 0] = np.add.reduceat(value, starts) / n[some]
         found[some, 1] = np.maximum.reduceat(value, starts)
         out = np.maximum(value - STANDS_OUT, 0)

@@ -242,3 +242,32 @@ def test_toxicity_on_held_out_rows(spark, no_documents, odd_documents):
     assert toxicity.score(no_documents, scorer).count() == 0
     unlabelled = toxicity.fit(table, labels.limit(0))
     assert {r["score"] for r in toxicity.score(odd_documents, unlabelled).collect()} == {0.0}
+
+
+def test_toxic_expression_deep_in_a_word_without_blanks():
+    random.seed(21)
+    calm, rude = "山川草木花鳥風月春夏秋冬", "愚鈍卑劣醜悪"
+    some = lambda: "".join(random.choice(calm) for _ in range(60))
+    ordinary = [some() for _ in range(40)]
+    toxic = [t[:k] + rude + t[k:] for k, t in enumerate(some() for _ in range(40))]
+    scorer = toxicity.train(ordinary, toxic, 0.5)
+
+    def score(*texts):
+        return scorer.scores(scorer.features(toxicity._words_of(list(texts)), toxicity.Memory()))
+
+    plain = some() * 20
+    places = [30, 31, 150, 400, 1190]
+    clean, *found = score(plain, *(plain[:k] + rude + plain[k:] for k in places), "x" * 70 + rude, rude)
+    assert clean < 0.5 and min(found) > 0.5
+    # The parts of a long word count each of their bytes with the context that it has in the word.
+    words = toxicity._words_of(["ab" * 100])
+    parts = toxicity.Parts(words)
+    assert parts.words.starts.tolist() == [0, 27, 59, 91, 123, 155] and parts.words.ends.tolist() == [64, 96, 128, 160, 192, 200]
+    assert parts.last.tolist() == [False] * 5 + [True]
+
+
+def test_parts_of_a_word_at_and_around_the_longest():
+    sizes = [1, 63, 64, 65, 96, 97, 1000]
+    parts = toxicity.Parts(toxicity._words_of([" ".join("y" * n for n in sizes)]))
+    assert np.bincount(parts.last.cumsum() - parts.last).tolist() == [1, 1, 1, 2, 2, 3, 31]
+    assert (parts.words.ends - parts.words.starts - parts.lead <= 64).all() and parts.words.bounds.tolist() == [0, 41]

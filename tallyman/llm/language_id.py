@@ -6,9 +6,15 @@ layer are trained together by stochastic gradient descent in numpy. As everythin
 trained model is one table of class scores for each bucket, and a whole text is scored by one vectorised pass.
 
 The classifier is fitted on a bounded sample: the ``max_training_rows`` labelled rows with the lowest hash of their id.
-A fifth of the sample is kept back to fit a temperature (so that scores are probabilities) and the rejection
-threshold: the largest score that rejects at most ``reject_share`` of those rows, and never more than
-``reject_below``.
+A fifth of the sample is kept back to fit a temperature (so that scores are probabilities) and the rejection.
+
+A softmax only says which known language is nearest, so a text is rejected by how familiar its runs are: the mean log
+frequency of its runs in the learnt texts, of each run in the language that has it most. The bound lies halfway between
+the lowest hundredth of the texts kept back and the highest hundredth of texts that should go: the same texts judged
+without their own language, and with their letters shuffled. A short text is rejected only if it is below the bound by
+more than chance explains; the allowance, in errors of the mean, loses at most ``REJECT_SHARE`` of the texts kept back,
+which are also cut to 60 and 20 bytes for that. Where both kinds overlap, the bound goes down to the texts kept back.
+A text on which the softmax is undecided (below ``threshold``, at most ``REJECT_BELOW``) is rejected too.
 
 Definitions: a text that is null or has no letter gets ``und``, score 0 and is rejected. Without any labelled row
 every text gets that. Ties go to the first language in order of name. Extra columns are ignored.
@@ -34,6 +40,12 @@ RUNS = (1, 2, 3, 4)
 MAX_TRAINING_ROWS = 4000
 REJECT_SHARE = 0.0005
 REJECT_BELOW = 0.35
+# Buckets of the runs' frequencies; a multiple of BUCKETS, so that one hash serves both tables.
+FREQUENCY_BUCKETS = 1 << 18
+# Frequency of a run that was never seen.
+_UNSEEN = 1e-6
+# Errors of the mean that are allowed at least.
+_ALLOWED_ERRORS = 4
 BLOCK_BYTES = 1 << 20
 
 _ASCII_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -89,12 +101,16 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: np.ndarray | None = None  # log frequency of each bucket's runs
+    least_familiar: float = -np.inf
+    allowance: float = 0.0  # divided by the root of the number of runs
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the text is rejected."""
         forms = [letters(t) for t in texts]
         sums = np.zeros((len(texts), len(self.languages)))
         counts = np.zeros(len(texts))
+        familiar = np.zeros(len(texts))
         low = 0
         while low < len(forms):
             high, size = low, 0
@@ -108,12 +124,16 @@ class Model:
                 part = np.frombuffer(joined[a : a + BLOCK_BYTES + max(RUNS) - 1], np.uint8)
                 if not len(part):
                     continue
-                buckets, places = run_buckets(part, len(self.table))
+                runs, places = run_buckets(part, FREQUENCY_BUCKETS)
                 mine = places < BLOCK_BYTES
+                runs = runs[mine]
+                buckets = runs % len(self.table)
                 owner = np.searchsorted(edges, places[mine] + a, "right") - 1
                 counts[low:high] += np.bincount(owner, minlength=high - low)
                 for k in range(len(self.languages)):
-                    sums[low:high, k] += np.bincount(owner, self.table[buckets[mine], k], minlength=high - low)
+                    sums[low:high, k] += np.bincount(owner, self.table[buckets, k], minlength=high - low)
+                if self.familiar is not None:
+                    familiar[low:high] += np.bincount(owner, self.familiar[runs], minlength=high - low)
             low = high
         known = counts > 0
         logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
@@ -125,7 +145,9 @@ class Model:
         best = shares.argmax(axis=1)
         score = np.where(known, shares[np.arange(len(texts)), best], 0.0)
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
-        return names, score, ~known | (score < self.threshold)
+        n = np.maximum(counts, 1)
+        strange = familiar / n < self.least_familiar - self.allowance / np.sqrt(n)
+        return names, score, ~known | (score < self.threshold) | strange
 
 
 def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 4.0, seed: int = 7) -> Model:
@@ -176,9 +198,64 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 4.0
     model = Model(languages, vectors @ layer, bias, 1.0, 0.0)
     if len(kept_back):
         _calibrate(model, [pairs[i] for i in kept_back], random)
+        _calibrate_familiar(model, [pairs[i] for i in learning], [pairs[i] for i in kept_back], random)
     return model
 
 
+def _runs_of(form: bytes) -> Iterator[np.ndarray]:
+    """Buckets of a text's runs for their frequencies, a bounded stretch at a time."""
+    for a in range(0, len(form), BLOCK_BYTES):
+        runs, places = run_buckets(np.frombuffer(form[a : a + BLOCK_BYTES + max(RUNS) - 1], np.uint8), FREQUENCY_BUCKETS)
+        yield runs[places < BLOCK_BYTES]
+
+
+def _shuffled(form: bytes, random: np.random.Generator) -> bytes:
+    """The text with its letters in random order and its blanks where they were."""
+    symbols = form.decode("utf-8", "replace")
+    some = [c for c in symbols if c != " "]
+    mixed = iter(random.permutation(len(some)).tolist())
+    return "".join(" " if c == " " else some[next(mixed)] for c in symbols).encode()
+
+
+def _calibrate_familiar(
+    model: Model, learnt: list[tuple[bytes, int]], kept_back: list[tuple[bytes, int]], random: np.random.Generator
+) -> None:
+    """Frequencies of runs in the learnt texts, and the bound below which a text is of no learnt language."""
+    n_lang = len(model.languages)
+    # The largest share of each bucket among the languages, whose it is, and the largest of the others.
+    most, second = np.zeros(FREQUENCY_BUCKETS), np.zeros(FREQUENCY_BUCKETS)
+    whose = np.zeros(FREQUENCY_BUCKETS, np.int32)
+    for k in range(n_lang):
+        share = np.zeros(FREQUENCY_BUCKETS)
+        for runs in _runs_of(b"".join(form for form, of in learnt if of == k)):
+            share += np.bincount(runs, minlength=FREQUENCY_BUCKETS)
+        share /= max(share.sum(), 1)
+        second = np.maximum(second, np.minimum(most, share))
+        whose[share > most] = k
+        most = np.maximum(most, share)
+    model.familiar = np.log(most + _UNSEEN).astype(np.float32)
+
+    def mean(table: np.ndarray, form: bytes) -> tuple[float, int]:
+        total, n = 0.0, 0
+        for runs in _runs_of(form):
+            total, n = total + float(table[runs].sum(dtype=np.float64)), n + len(runs)
+        return total / max(n, 1), n
+
+    whole = np.array([mean(model.familiar, form)[0] for form, _ in kept_back])
+    strange = [mean(model.familiar, _shuffled(form, random))[0] for form, _ in kept_back]
+    for k in range(n_lang) if n_lang > 1 else ():
+        left_out = np.log(np.where(whose == k, second, most) + _UNSEEN)
+        strange += [mean(left_out, form)[0] for form, of in kept_back if of == k]
+    low, high = np.quantile(whole, 0.01), np.quantile(strange, 0.99)
+    model.least_familiar = float((low + high) / 2 if high < low else np.quantile(whole, REJECT_SHARE))
+    cut = [mean(model.familiar, form[:size]) for form, _ in kept_back for size in (len(form), 60, 20)]
+    values, n = np.array([m for m, _ in cut]), np.array([n for _, n in cut])
+    needed = (model.least_familiar - values) * np.sqrt(n)
+    short = n <= np.quantile(n, 0.6)  # of long texts the subject varies more than chance
+    error = float(np.std((values - np.median(whole))[short] * np.sqrt(n[short])))
+    model.allowance = float(max(_ALLOWED_ERRORS * error, np.quantile(needed, 1 - REJECT_SHARE)))
+
+
 def _calibrate(model: Model, pairs: list[tuple[bytes, int]], random: np.random.Generator) -> None:
     logits, truths = [], []
     for form, truth in pairs:

@@ -173,6 +173,23 @@ def test_language_id_on_held_out_rows(spark, sf_dir, odd_documents, no_documents
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+@pytest.mark.parametrize("unlearned", ["de", "fr"])
+def test_texts_of_an_unlearned_language_are_rejected(spark, unlearned):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"], r["lang"]) for r in table.filter("length(text) > 200").collect())
+    learnt = [r for r in rows if r[0] % 3 and r[2] != unlearned]
+    model = language_id.train([t for _, t, _ in learnt], [k for _, _, k in learnt], epochs=2)
+    known = [t for i, t, k in rows if i % 3 == 0 and k != unlearned]
+    unknown = [t for _, t, k in rows if k == unlearned]
+    shuffler = np.random.default_rng(3)
+    noise = [language_id._shuffled(language_id.letters(t), shuffler).decode() for t in known]
+    share = lambda texts: model.predict(texts)[2].mean()
+    assert share(unknown) > 0.95 and share(noise) > 0.95
+    assert share(known) == 0 and share([t[:40] for t in known]) < 0.01
+    others = ["Привет, как дела сегодня? " * 5, "今日は天気がいいですね。" * 9, "zxq vbk qqj xzz wvx kjq " * 9]
+    assert model.predict(others)[2].all()
+
+
 def test_language_scores_do_not_depend_on_neighbours(spark, sf_dir):
     texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).collect()]
     model = language_id.train(texts, ["de", "en"] * 10, epochs=1)

@@ -11,7 +11,8 @@ Documents are dealt into chunks by hash, and every step works on one chunk or on
 2. The chunk asks in how many strings of the corpus each of its minimisers occurs. Windows of a minimiser that
    occurs in a single string cannot repeat, so that string stays at home.
 3. The other strings go to their bucket. If a minimiser has more than ``HOT_STRINGS`` strings, its windows travel one
-   by one to the bucket of their own hash, so a common passage with many different surroundings spreads out.
+   by one to the bucket of their own hash, so a common passage with many different surroundings spreads out. Of each
+   such window a chunk sends the first only and decides the later ones itself, so a bucket gets it once a chunk.
 4. The chunk removes the ranges that the buckets found.
 
 Definitions: the order is by id (null first), then by text hash, then by start. Rows with the same id and text are one
@@ -96,6 +97,29 @@ def _alone(first: np.ndarray, end: np.ndarray, key: np.ndarray, words: Words, wi
     )
 
 
+def _once(chunk: Chunk, first: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which single windows are the first of their words in the chunk, and the ranges of the later ones.
+
+    Later windows that follow each other without a gap in one document make one range.
+    """
+    doc, text_key, start = chunk.places(first)
+    order = _order(doc, text_key, start)
+    opens, closes = chunk.words.starts[first].tolist(), chunk.words.ends[end - 1].tolist()
+    leader: dict[bytes, int] = {}
+    earliest = np.empty(len(first), np.int64)
+    for i in order.tolist():
+        earliest[i] = leader.setdefault(chunk.whole[opens[i] : closes[i]], i)
+    again = earliest != np.arange(len(first))
+    # Rows with the same id and text are one document; a window does not repeat itself.
+    other = (doc != doc[earliest]) | (text_key != text_key[earliest]) | (start != start[earliest])
+    gone = order[(again & other)[order]]
+    doc, text_key, start = doc[gone], text_key[gone], start[gone]
+    opens = np.append(True, (doc[1:] != doc[:-1]) | (text_key[1:] != text_key[:-1]) | (start[1:] > start[:-1] + 1))[: len(gone)]
+    at = np.flatnonzero(opens)
+    last = np.append(at[1:], len(gone))[: len(at)] - 1
+    return ~again, (doc[at], text_key[at], start[at], (start[last] + window).astype(np.int32))
+
+
 def _order(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.lexsort((start, text, doc))
 
@@ -130,6 +154,11 @@ class Chunk:
         self.decided = doc[removed], text_key[removed], start[removed], (start + (end - first).astype(np.int32))[removed]
         self.first, self.end, self.key, self.doubled = first[kept], end[kept], key[kept], doubled[kept]
 
+    def places(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document (two columns) and place in it of these words."""
+        text = self.words.text_of_word()[first]
+        return self.doc[text], self.text_key[text], (first - self.words.bounds[text]).astype(np.int32)
+
     def minimisers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct minimisers, the place of each string's one, and how many strings have each.
 
@@ -197,11 +226,16 @@ def _send(window: int, part: int, buckets: int):
         shared = kind > 0
         hot = np.unique(chunk.key[kind == 2])
         first, end, key = _alone(chunk.first[shared], chunk.end[shared], chunk.key[shared], words, window, hot)
+        # The single windows stand behind the strings. Of each, a bucket gets one a chunk.
+        strings = int((~np.isin(chunk.key[shared], hot)).sum())
+        once, ranges = _once(chunk, first[strings:], end[strings:], window)
+        sent = np.append(np.arange(strings), strings + np.flatnonzero(once))
+        first, end, key = first[sent], end[sent], key[sent]
+        decided = [np.concatenate(x) for x in zip(chunk.decided, ranges, strict=True)]
         bucket = _bucket_of(mixed(key), buckets)
         order = np.argsort(bucket, kind="stable")
         first, end, bucket = first[order], end[order], bucket[order]
-        text = words.text_of_word()[first]
-        doc, text_key, start = chunk.doc[text], chunk.text_key[text], (first - words.bounds[text]).astype(np.int32)
+        doc, text_key, start = chunk.places(first)
         opens, closes = words.starts[first].tolist(), words.ends[end - 1].tolist()
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = np.flatnonzero(np.diff(edges)).tolist()
@@ -211,9 +245,9 @@ def _send(window: int, part: int, buckets: int):
             joined = b"\n".join([chunk.whole[x:y] for x, y in zip(opens[sent], closes[sent], strict=True)])
             blobs.append(pack(doc[sent], text_key[sent], start[sent], joined))
         number = table.column("chunk")[0].as_py()
-        if len(chunk.decided[0]):  # negative buckets carry ranges that are already decided
+        if len(decided[0]):  # negative buckets carry ranges that are already decided
             rows.append(-1 - number)
-            blobs.append(pack(*chunk.decided))
+            blobs.append(pack(*decided))
         del chunk, words
         release_memory()
         return _message(rows, number, blobs)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -65,6 +66,53 @@ def test_substring_dedup_with_hot_minimisers(documents, corpus, monkeypatch):
     assert start.tolist() == [0, *range(30, 71)] and (end[1:] - start[1:] == 20).all() and len(set(key.tolist())) == 42
 
 
+def _hot_corpus() -> list[tuple[int, str]]:
+    random.seed(31)
+    fresh = (f"f{i}" for i in range(10**6))
+    passage = [f"p{i}" for i in range(45)]
+    some = lambda n: [next(fresh) for _ in range(n)]
+    rows = [(i, " ".join(some(25) + passage[random.randrange(3) :] + some(25))) for i in range(60)]
+    rows += [(100 + i, " ".join(passage[:25] + some(3) + passage[:25] + ["p0"] * (i % 3))) for i in range(6)]
+    return rows + [rows[3], (3, rows[7][1])] + [(200, "la " * 60)]
+
+
+def test_hot_windows_are_decided_in_the_chunk(spark, monkeypatch):
+    real, sent = substring_dedup._answer, []
+
+    def all_hot(table):
+        parts = [unpack(x) for x in table.column("packed").to_pylist()]
+        return table.set_column(2, "packed", pa.array([pack(np.full(len(c), 2, np.uint8)) for _, c in parts], pa.binary()))
+
+    rows = _hot_corpus()
+    text_keys = {t: k for k, t in enumerate(sorted({t for _, t in rows}))}
+    table = pa.table(
+        {
+            "chunk": pa.array([0] * len(rows), pa.int64()),
+            "doc": pa.array([i for i, _ in rows], pa.int64()),
+            "text_key": pa.array([text_keys[t] for _, t in rows], pa.int64()),
+            "text": [t for _, t in rows],
+        }
+    )
+    asked = substring_dedup._ask(20, 4, 8)(table)
+    message = substring_dedup._send(20, 4, 8)(table, all_hot(asked))
+    for bucket, packed in zip(message.column("bucket").to_pylist(), message.column("packed").to_pylist(), strict=True):
+        if bucket >= 0:
+            sent += unpack(packed)[3].split(b"\n")
+    assert len(sent) == len(set(sent)) > 1000 and {len(s.split()) for s in sent} == {20}
+    # Through the whole query, with every shared minimiser hot.
+    monkeypatch.setattr(substring_dedup, "_answer", all_hot)
+    unique = [r for n, r in enumerate(rows) if n not in (66, 67)]
+    for chunk_bytes in (1 << 22, 2000):
+        monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk_bytes)
+        found = substring_dedup.dedup(spark.createDataFrame(unique, "doc_id long, text string")).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found}
+        assert got == reference.without_repeats(unique)
+    twice = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    monkeypatch.setattr(substring_dedup, "_answer", real)
+    cold = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, twice)) == sorted(map(tuple, cold))
+
+
 def test_substring_dedup_odd_rows(odd_documents, no_documents):
     rows = substring_dedup.dedup(odd_documents).collect()
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -99, r["n_words"], r["n_removed"]) for r in rows)

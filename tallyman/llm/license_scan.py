@@ -7,6 +7,9 @@ documents are looked up, and so is every line of a document, since notices of on
 Everything is made of built-in column functions. The known texts are broadcast while they are few; a longer list is
 joined by a shuffle.
 
+Known as whole documents: 0BSD, Apache-2.0, BSD-2-Clause, BSD-3-Clause, BSL-1.0, CC0-1.0, GPL-2.0, GPL-3.0, ISC, LGPL-2.1,
+LGPL-3.0, MIT, MPL-2.0, Unlicense and Zlib; and one-line notices (``_SHORT_TEXTS``).
+
 Definitions: a null text has no digest and matches nothing, nor does a form without letters or digits. If several known
 texts have one form, the smallest name is reported. Lines are cut at line feeds; a repeated line counts each time.
 Rows that repeat an id share their lines' matches. Copyright lines are lines that begin, behind punctuation, with a
@@ -15,11 +18,15 @@ copyright sign, or with the word followed by a sign, a year or "by", or that res
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import computed_once
 from ..session import cut_lineage
+from .license_texts import FULL_TEXTS
 
 # Known texts up to this number are broadcast.
 BROADCAST_TEXTS = 5000
@@ -45,8 +52,8 @@ PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f©]+"
 # The same without the line feed.
 PUNCTUATION_IN_LINES = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f©]+"
 
-# Public licence texts and notices.
-KNOWN_TEXTS = (
+# Public licence notices and short texts.
+_SHORT_TEXTS = (
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-4.0 notice", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
@@ -107,6 +114,37 @@ required.
     ),
 )
 
+_TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License"),
+    "ISC": ("ISC License", "The ISC License"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+_END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def _known_texts() -> Iterator[tuple[str, str]]:
+    """The texts, and the forms in which they are commonly given: with a title, without the appendix, with bullets."""
+    whole = dict(FULL_TEXTS)
+    bsd = whole["BSD-3-Clause"]
+    third = bsd[bsd.index("3. Neither") : bsd.index("THIS SOFTWARE IS")]
+    whole["BSD-2-Clause"] = bsd.replace(third, "")
+    for name, text in (*_SHORT_TEXTS, *whole.items()):
+        forms = [text]
+        if name.startswith("BSD-"):
+            forms.append(re.sub(r"(?m)^[123]\. ", "* ", text))
+        if _END_OF_TERMS in text:
+            forms.append(text[: text.index(_END_OF_TERMS) + len(_END_OF_TERMS)])
+        # The plain text comes last and so is the one that a dictionary of the texts holds.
+        for form in reversed(forms):
+            yield from ((name, f"{title}\n\n{form}") for title in _TITLES.get(name, ()))
+            yield name, form
+
+
+KNOWN_TEXTS = tuple(_known_texts())
+
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its line feeds; lines may keep a blank at either end."""

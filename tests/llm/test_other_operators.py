@@ -95,6 +95,27 @@ def test_license_forms(spark):
     assert license_scan.scan(data.limit(0)).count() == 0
 
 
+def test_documents_that_are_whole_licenses(spark):
+    texts = dict(license_scan.FULL_TEXTS)
+    bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + texts["BSD-3-Clause"]
+    start, end = bsd.index("3. Neither"), bsd.index("THIS SOFTWARE IS")
+    rows = list(texts.items())
+    rows += [
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd),
+        ("BSD-2-Clause", bsd[:start] + bsd[end:]),
+        ("BSD-3-Clause", bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("Apache-2.0", texts["Apache-2.0"].split("   APPENDIX: How to apply")[0]),
+        ("GPL-3.0", texts["GPL-3.0"].upper().replace("    ", "\t")),
+        ("MIT", "MIT License\n\nCopyright (c) 2021 Some One\n\n" + MIT),
+        (None, texts["MPL-2.0"] + "\nand more"),
+        (None, texts["GPL-2.0"][:5000]),
+    ]
+    data = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(data).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+    assert {"Apache-2.0", "BSL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(texts)
+
+
 def test_long_lists_of_licenses_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "BROADCAST_TEXTS", 0)
     data = spark.createDataFrame([(1, MIT), (2, "x")], "doc_id long, text string")

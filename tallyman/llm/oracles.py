@@ -101,3 +101,43 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r.low AS component_id, e.v
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
 JOIN (SELECT id, min(other) AS low FROM reach GROUP BY id) r ON r.id = e.vec_id
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, string_split_regex(p, '[ \t]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents WHERE text IS NOT NULL)
+), filled AS (
+  SELECT piece, lang, list_filter(ws, lambda x: x <> '') AS ws FROM pieces
+), words AS (
+  SELECT piece, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM filled
+), runs AS (
+  SELECT lang, w, lead(w) OVER one AS w2, lead(w, 2) OVER one AS w3 FROM words WINDOW one AS (PARTITION BY piece ORDER BY i)
+), f AS (
+  SELECT lang, w AS phrase, 1 AS size, count(*) AS f FROM runs GROUP BY ALL
+  UNION ALL SELECT lang, w || ' ' || w2, 2, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3, 3, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL
+), candidates AS (
+  SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2 AND f >= 10
+), cuts AS (
+  SELECT c.*, k, array_to_string(ws[:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest
+  FROM candidates c, range(1, 3) AS r(k) WHERE k < size
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase
+                             ORDER BY (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f), k) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, array_to_string(ws[:2], ' ') AS phrase, a FROM candidates WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(ws[2:], ' '), a FROM candidates WHERE size = 3) GROUP BY ALL
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+FROM ranked JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import (
     bpe,
     chat_format,
+    collocations,
     decontaminate,
     embedding_dedup,
     language_id,
@@ -101,3 +102,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_dedup", oracles.MINHASH_DEDUP)
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op11_collocations", oracles.COLLOCATIONS)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -141,3 +141,59 @@ WITH pieces AS (
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
 FROM ranked JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) USING (lang) WHERE rank <= 2000
 """
+
+# Costs of the cheapest edits up to each row, by state: s0 nothing yet, s1 after the system message, s2 after a user's and
+# s3 after an assistant's. A state is (cost, audit, lines); structs compare by cost, then by audit.
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1
+           THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc
+), drawn AS (
+  SELECT c.*, xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+           lambda x: ord(x)::BIGINT), lambda c, b: xor(c >> 8, bits.crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind
+  FROM conversations c, bits
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM drawn, range(2) AS r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS initial,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+  FROM judged GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0, 'a': '', 't': []::VARCHAR[]} AS s0, {'c': 99999999, 'a': '', 't': []::VARCHAR[]} AS s1,
+         {'c': 3, 'a': 'I', 't': ['user:']} AS s2, {'c': 6, 'a': 'II', 't': ['user:', 'assistant:']} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, least(s3, {'c': s2.c + 3, 'a': s2.a || 'I', 't': list_append(s2.t, 'assistant:')}) FROM (
+    SELECT conv_id, i, s0, s1, s3, least(s2, {'c': s0.c + 3, 'a': s0.a || 'I', 't': list_append(s0.t, 'user:')},
+      {'c': s1.c + 3, 'a': s1.a || 'I', 't': list_append(s1.t, 'user:')}, {'c': s3.c + 3, 'a': s3.a || 'I', 't': list_append(s3.t, 'user:')}) AS s2
+    FROM (
+      SELECT w.conv_id, j.i,
+        {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t} AS s0,
+        least({'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t}, {'c': s0.c + keep + CASE initial WHEN 's' THEN 0 ELSE 99999999 END, 'a': s0.a || 'K', 't': list_append(s0.t, line)}) AS s1,
+        least({'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t},
+          {'c': s0.c + keep + as_u, 'a': s0.a || 'K', 't': list_append(s0.t, line)}, {'c': s1.c + keep + as_u, 'a': s1.a || 'K', 't': list_append(s1.t, line)},
+          {'c': s3.c + keep + as_u, 'a': s3.a || 'K', 't': list_append(s3.t, line)},
+          {'c': s0.c + keep + 3, 'a': s0.a || 'R', 't': list_append(s0.t, 'user:' || text)}, {'c': s1.c + keep + 3, 'a': s1.a || 'R', 't': list_append(s1.t, 'user:' || text)},
+          {'c': s3.c + keep + 3, 'a': s3.a || 'R', 't': list_append(s3.t, 'user:' || text)}) AS s2,
+        least({'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t},
+          {'c': s2.c + keep + CASE initial WHEN 'a' THEN 0 ELSE 99999999 END, 'a': s2.a || 'K', 't': list_append(s2.t, line)},
+          {'c': s2.c + keep + 3, 'a': s2.a || 'R', 't': list_append(s2.t, 'assistant:' || text)}) AS s3
+      FROM walk w JOIN (SELECT *, role || ':' || text AS line, CASE initial WHEN 'u' THEN 0 ELSE 99999999 END AS as_u,
+                          CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 3 ELSE 99999999 END AS keep FROM judged) j
+        ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1))
+)
+SELECT w.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, least(s0, s3).c::BIGINT AS cost,
+       least(s0, s3).a AS audit, sha256(array_to_string(least(s0, s3).t, chr(10))) AS repaired_sha256
+FROM walk w LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(c.rows, 0)
+"""

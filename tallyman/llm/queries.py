@@ -12,6 +12,7 @@ from . import (
     bpe,
     chat_format,
     collocations,
+    conversation_repair,
     decontaminate,
     embedding_dedup,
     language_id,
@@ -107,3 +108,8 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_collocations", oracles.COLLOCATIONS)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair", oracles.CONVERSATION_REPAIR)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))

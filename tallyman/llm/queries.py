@@ -15,6 +15,7 @@ from . import (
     conversation_repair,
     decontaminate,
     embedding_dedup,
+    html_extract,
     language_id,
     license_scan,
     lm_score,
@@ -113,3 +114,9 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_repair", oracles.CONVERSATION_REPAIR)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_html_extract")
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))

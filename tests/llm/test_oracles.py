@@ -13,4 +13,4 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(QUERIES) - set(ORACLE) == {"op2_bpe", "op3_language_id", "op5_lm_score", "op9_toxicity"}
+    assert set(QUERIES) - set(ORACLE) == {"op2_bpe", "op3_language_id", "op5_lm_score", "op9_toxicity", "op13_html_extract"}

@@ -152,10 +152,16 @@ def _longer(relation: pa.Table, frequent: pa.Table) -> pa.Table:
     return pa.table({"chunk": relation.column("chunk"), "codes": pa.array([pack(joined)], pa.binary()), "pairs": _one_list(items)})
 
 
-def _numbered(groups: DataFrame, min_count: int) -> DataFrame:
-    """The groups that are frequent, numbered; written, so that the numbers stay."""
-    kept = groups.filter(F.col("f") >= min_count).withColumn("id", F.monotonically_increasing_id())
-    return cut_lineage(kept, "phrases")
+def _frequent(occurring: DataFrame, keys: list[str], min_count: int) -> DataFrame:
+    """The rows (one for each chunk and phrase, ``n`` occurrences) of frequent phrases, with their number ``id`` and count ``f``.
+
+    One shuffle serves the count and the semi-join: a phrase has at most one row a chunk, and those meet in a window.
+    Exactly one row of each phrase has ``row`` equal to ``id``. The result is written, so that the numbers stay.
+    """
+    same = Window.partitionBy(*keys)
+    rows = occurring.repartition(*keys).withColumn("row", F.monotonically_increasing_id())
+    counted = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("row").over(same)})
+    return cut_lineage(counted.filter(F.col("f") >= min_count).drop("n"), "frequent")
 
 
 def frequent_phrases(
@@ -173,26 +179,24 @@ def frequent_phrases(
         "occurrences",
     )
     totals = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    counts = relation.select("lang", F.inline("words")).groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    groups = _numbered(counts, min_count)
-    asked = relation.select("chunk", "lang", F.posexplode("words")).select("chunk", "pos", "lang", "col.word")
-    found = asked.join(groups, ["lang", "word"]).select(F.col("chunk").alias("asker"), "pos", "id")
-    known = groups.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
+    words = relation.select("chunk", "lang", F.posexplode("words")).select("chunk", "pos", "lang", "col.word", "col.n")
+    found = _frequent(words, ["lang", "word"], min_count)
+    word = F.col("word")
+    known = found.filter(F.col("row") == F.col("id")).select("id", "lang", word.alias("phrase"), word.alias("last"), "f")
     phrases = known.withColumn("n_words", F.lit(1))
     for size in range(2, max_words + 1):
+        marks = found.select(F.col("chunk").alias("asker"), "pos", "id")
         relation = cut_lineage(
-            relation.select("chunk", "codes").groupBy("chunk").cogroup(found.groupBy("asker")).applyInArrow(
+            relation.select("chunk", "codes").groupBy("chunk").cogroup(marks.groupBy("asker")).applyInArrow(
                 _longer, "chunk long, codes binary, pairs array<struct<left:long,right:long,n:long>>"
             ),
             "occurrences",
         )
-        counts = relation.select(F.inline("pairs")).groupBy("left", "right").agg(F.sum("n").alias("f"))
-        groups = _numbered(counts, min_count)
-        asked = relation.select("chunk", F.posexplode("pairs")).select("chunk", "pos", "col.left", "col.right")
-        found = asked.join(groups, ["left", "right"]).select(F.col("chunk").alias("asker"), "pos", "id")
+        pairs = relation.select("chunk", F.posexplode("pairs")).select("chunk", "pos", "col.left", "col.right", "col.n")
+        found = _frequent(pairs, ["left", "right"], min_count)
         heads = known.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"))
         tails = known.select(F.col("id").alias("right"), "last")
-        named = groups.join(heads, "left").join(tails, "right")
+        named = found.filter(F.col("row") == F.col("id")).join(heads, "left").join(tails, "right")
         known = cut_lineage(named.select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f"), "phrases")
         phrases = phrases.unionByName(known.withColumn("n_words", F.lit(size)))
     return phrases.select("lang", "phrase", "n_words", "f"), totals

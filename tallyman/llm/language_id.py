@@ -37,6 +37,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 RUNS = (1, 2, 3, 4)
+MAX_TRAINING_BYTES = 1 << 17
 MAX_TRAINING_ROWS = 4000
 REJECT_SHARE = 0.0005
 REJECT_BELOW = 0.35
@@ -277,16 +278,21 @@ def _calibrate(model: Model, pairs: list[tuple[bytes, int]], random: np.random.G
     loss = [-np.log(np.maximum(shares(t)[np.arange(len(truths)), truths], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     best = np.sort(shares(model.temperature).max(axis=1))
-    model.threshold = float(min(best[int(len(best) * REJECT_SHARE)], REJECT_BELOW))
+    model.threshold = float(min(best[0], REJECT_BELOW))  # no text kept back is below it
 
 
 def fit(documents: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Learn from rows with a text and a language; the sample is bounded by ``max_training_rows``."""
-    labelled = documents.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    """Learn from rows with a text and a language; the sample is bounded by ``max_training_rows`` of ``MAX_TRAINING_BYTES``.
+
+    Of rows that repeat an id the one with the least text is learnt from; a row without id is not.
+    """
+    labelled = documents.filter((F.octet_length("text") <= MAX_TRAINING_BYTES) & F.col("lang").isNotNull())
     # The rows are drawn without their texts, which are then read for those rows alone.
     drawn = labelled.select("doc_id", F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(max_training_rows)
     rows = labelled.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id").select("doc_id", "text", "lang")
-    sample = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows.limit(2 * max_training_rows).collect())
+    least = F.min(F.struct("text", "lang")).alias("row")
+    rows = rows.groupBy("doc_id").agg(least).select("doc_id", "row.text", "row.lang")  # one for each drawn id
+    sample = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows.collect())
     return train([t for _, t, _ in sample], [k for _, _, k in sample])
 
 

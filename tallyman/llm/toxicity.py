@@ -2,19 +2,21 @@
 
 Two models spell words character by character, one learnt from toxic and one from ordinary texts. The difference of a
 word's log-likelihoods tells how much it speaks for either class; a rare or inflected expression is judged by the
-parts it shares with others. A word of more than ``LONGEST_PART`` bytes is learnt whole and judged in overlapping parts,
-each counted as a word, so an expression inside a long run of letters stands out as it does elsewhere. The models of orders 3 to ``ORDER`` belong to their class, each backing off to the
-continuation counts of the order below; orders 1 and 2 are shared, built from the counts of both classes.
+parts it shares with others. A word is one word whatever its length: its value is the sum over its bytes, and that of the
+strongest stretch of three cells of ``CELL`` bytes where it has more, so an expression inside a long run of letters
+stands out as it does elsewhere. The models of orders 3 to ``ORDER`` belong to their class, each backing off to the
+continuation counts of the order below; orders 1 and 2 are shared, built from the larger of both classes' counts.
 
 A logistic layer, fitted on rows that the models have not seen, turns length-normalised differences into a score: the
 mean over the words, the strongest word, and the words that stand out, relative to the text's length. Its weights
 restore the classes' real frequencies.
 
 The models are fitted on bounded samples: of each class, the ``max_training_rows`` labelled rows with the lowest hash
-of their id.
+of their id, as far as their text has at most ``MAX_TRAINING_BYTES``.
 
 Definitions: a label is the largest of a document's labels; null labels are none. A null or empty text gets the score of
-a text without evidence. Without labels of both classes every score is the share of toxic labels (0 without labels).
+a text without evidence. With fewer than ``LEAST_TEXTS`` texts of either class there is no model, and every score is the
+share of toxic labels (0 without labels). Of rows that repeat an id the least text is learnt from.
 """
 
 from __future__ import annotations
@@ -31,41 +33,56 @@ from pyspark.sql import functions as F
 from .tokens import LETTER_WORDS, Words, mixed, powers, split_words, text_blocks
 
 MAX_TRAINING_ROWS = 2000
+MAX_TRAINING_BYTES = 1 << 17
+LEAST_TEXTS = 3
 ORDER = 6
 SHARED_ORDER = 2
 STANDS_OUT = 4.0
 THRESHOLD = 0.3
 REMEMBERED_WORDS = 1 << 20
 SPELLED_AT_ONCE = 1 << 15
-# A longer word, such as a sentence in a script without blanks, is judged in parts of this many bytes that overlap by half.
-LONGEST_PART = 64
+# Words are spelled in cells of this many bytes, each with the letters before it as context.
+CELL = 32
 _BASE = 0x9E3779B97F4A7C15
 _EDGE = 32
 
 
 class Parts:
-    """Words cut into overlapping parts where they are long.
+    """Words cut into cells.
 
-    A part that does not open its word begins with ``lead`` bytes that are only context. Only ``last`` parts have an end
+    A cell that does not open its word begins with ``lead`` bytes that are only context. Only ``last`` cells have an end
     mark.
     """
 
     def __init__(self, words: Words):
         sizes = words.ends - words.starts
-        step = LONGEST_PART // 2
-        counts = 1 + np.maximum(0, -((LONGEST_PART - sizes) // step))
+        counts = np.maximum(1, -(-sizes // CELL))
         before = np.append(0, np.cumsum(counts))
         inner = np.arange(before[-1]) - np.repeat(before[:-1], counts)
-        starts, ends = np.repeat(words.starts, counts) + inner * step, np.repeat(words.ends, counts)
+        starts, ends = np.repeat(words.starts, counts) + inner * CELL, np.repeat(words.ends, counts)
         self.last = inner == np.repeat(counts, counts) - 1
         self.lead = np.where(inner > 0, ORDER - 1, 0)
-        ends = np.where(self.last, ends, starts + LONGEST_PART)
+        ends = np.where(self.last, ends, starts + CELL)
         self.words = Words(words.buffer, starts - self.lead, ends, before[words.bounds])
+        self.first, self.counts = before[:-1], counts
 
     def hashes(self) -> np.ndarray:
         place = (self.lead > 0) * np.uint64(1) + ~self.last * np.uint64(2)
         return self.words.hashes() ^ place * np.uint64(_BASE)
 
+    def word_values(self, values: np.ndarray) -> np.ndarray:
+        """A value for each word from those of its cells: the largest sum of three cells in a row, or of all if there are fewer.
+        """
+        if (self.counts == 1).all():
+            return values
+        total = np.concatenate([[0.0], np.cumsum(values, dtype=float)])
+        reach = np.minimum(np.arange(len(values)) + 3, np.repeat(self.first + self.counts, self.counts))
+        sums = total[reach] - total[:-1]
+        # Stretches that the word's end cuts short are parts of the one before them.
+        inner = np.arange(len(values)) - np.repeat(self.first, self.counts)
+        sums[(inner > 0) & (inner > np.repeat(self.counts, self.counts) - 3)] = -np.inf
+        return np.maximum.reduceat(sums, self.first)
+
 
 class Spelled:
     """Characters of the chosen words; ``owner`` is the word's place among the chosen.
@@ -206,14 +223,14 @@ class Scorer:
     constant: float | None = None  # the score of all texts where there is no model
 
     def features(self, words: Words, memory: Memory) -> np.ndarray:
-        parts = Parts(words)
-        bounds = parts.words.bounds
+        bounds = words.bounds
         n = np.diff(bounds)
         found = np.zeros((len(n), 4))
         some = n > 0
-        if not some.any():
+        if self.constant is not None or not some.any():
             return found
-        value = memory.differences(self.spelling, parts)
+        parts = Parts(words)
+        value = parts.word_values(memory.differences(self.spelling, parts))
         starts = bounds[:-1][some]
         found[some, 0] = np.add.reduceat(value, starts) / n[some]
         found[some, 1] = np.maximum.reduceat(value, starts)
@@ -244,7 +261,7 @@ def _spelling_of(ordinary: list[str], toxic: list[str]) -> Spelling:
 
 def train(ordinary: list[str], toxic: list[str], toxic_share: float) -> Scorer:
     """Models from all texts, the logistic layer from features of texts that their model has not seen."""
-    if len(ordinary) < 3 or len(toxic) < 3:
+    if min(len(ordinary), len(toxic)) < LEAST_TEXTS:
         return Scorer(Spelling(), constant=toxic_share)
     # Each third is read by models of the other two; the model that is kept learns from all.
     x, y = [], []
@@ -282,8 +299,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TR
     for value in (0, 1):
         drawn = marks.filter(F.col("toxic") == value).select("doc_id", F.xxhash64("doc_id").alias("draw"))
         drawn = drawn.orderBy("draw", "doc_id").limit(max_training_rows).select("doc_id")
-        rows = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-        rows = rows.limit(2 * max_training_rows).collect()
+        rows = documents.filter(F.octet_length("text") <= MAX_TRAINING_BYTES).join(F.broadcast(drawn), "doc_id")
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # one for each drawn id
         texts[value] = [text for _, text in sorted((r["doc_id"], r["text"]) for r in rows)]
     return train(texts[0], texts[1], share)
 

@@ -324,15 +324,118 @@ def test_toxic_expression_deep_in_a_word_without_blanks():
     places = [30, 31, 150, 400, 1190]
     clean, *found = score(plain, *(plain[:k] + rude + plain[k:] for k in places), "x" * 70 + rude, rude)
     assert clean < 0.5 and min(found) > 0.5
-    # The parts of a long word count each of their bytes with the context that it has in the word.
-    words = toxicity._words_of(["ab" * 100])
-    parts = toxicity.Parts(words)
-    assert parts.words.starts.tolist() == [0, 27, 59, 91, 123, 155] and parts.words.ends.tolist() == [64, 96, 128, 160, 192, 200]
-    assert parts.last.tolist() == [False] * 5 + [True]
 
 
-def test_parts_of_a_word_at_and_around_the_longest():
-    sizes = [1, 63, 64, 65, 96, 97, 1000]
-    parts = toxicity.Parts(toxicity._words_of([" ".join("y" * n for n in sizes)]))
-    assert np.bincount(parts.last.cumsum() - parts.last).tolist() == [1, 1, 1, 2, 2, 3, 31]
-    assert (parts.words.ends - parts.words.starts - parts.lead <= 64).all() and parts.words.bounds.tolist() == [0, 41]
+def plain_differences(ordinary, toxic, words):
+    """Class-conditional Kneser-Ney with dictionaries: order 6, orders 1 and 2 from the larger count of both classes."""
+    sequence = lambda w: [32] * 5 + list(w.encode()) + [32]
+    counts = [{} for _ in range(7)]
+    for mark, texts in enumerate((ordinary, toxic)):
+        for word in " ".join(texts).split():
+            s = sequence(word)
+            for i in range(5, len(s)):
+                counts[6].setdefault(tuple(s[i - 5 : i + 1]), [0, 0])[mark] += 1
+    for k in range(6, 0, -1):
+        if k <= 2:
+            counts[k] = {g: [max(n)] * 2 for g, n in counts[k].items()}
+        if k > 1:
+            for gram, n in counts[k].items():
+                shorter = counts[k - 1].setdefault(gram[1:], [0, 0])
+                for c in (0, 1):
+                    shorter[c] += n[c] > 0
+    off = [[0, 0] for _ in range(7)]
+    total = [{} for _ in range(7)]
+    for k in range(1, 7):
+        for c in (0, 1):
+            once, twice = (sum(n[c] == times for n in counts[k].values()) for times in (1, 2))
+            off[k][c] = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+        for gram, n in counts[k].items():
+            row = total[k].setdefault(gram[:-1], [0, 0, 0, 0])
+            for c in (0, 1):
+                row[c] += n[c]
+                row[2 + c] += n[c] > 0
+
+    def log_likelihood(word, c):
+        s, found = sequence(word), 0.0
+        for i in range(5, len(s)):
+            p = 1 / 257
+            for k in range(1, 7):
+                gram = tuple(s[i - k + 1 : i + 1])
+                sums = total[k].get(gram[:-1], [0] * 4)
+                if sums[c]:
+                    p = max(counts[k].get(gram, [0, 0])[c] - off[k][c], 0) / sums[c] + off[k][c] * sums[2 + c] / sums[c] * p
+            found += np.log(p)
+        return found
+
+    return [log_likelihood(w, 1) - log_likelihood(w, 0) for w in words]
+
+
+def test_toxicity_models_equal_plain_python():
+    random.seed(8)
+    some = lambda letters, n: " ".join("".join(random.choices(letters, k=random.randrange(1, 9))) for _ in range(n))
+    ordinary, toxic = [some("abcde", 30) for _ in range(10)], [some("cdefg", 30) for _ in range(10)]
+    words = [*some("abcdefgh", 40).split(), "abc" * 30, "g" * 64, "é語", ordinary[0].split()[0]]
+    tested = toxicity._words_of([" ".join(words)])
+    parts = toxicity.Parts(tested)
+    cells = toxicity._spelling_of(ordinary, toxic).differences(parts, np.arange(len(parts.last)))
+    found = np.add.reduceat(cells, parts.first)
+    assert np.allclose(found, plain_differences(ordinary, toxic, words), rtol=1e-3, atol=1e-3)
+
+
+@pytest.mark.parametrize(("calm", "rude", "constant"), [(0, 0, 0.0), (5, 0, 0.0), (0, 5, 1.0), (5, 2, 2 / 7), (2, 5, 5 / 7)])
+def test_too_few_labels_give_their_share(calm, rude, constant):
+    scorer = toxicity.train(["a b c"] * calm, ["d e f"] * rude, rude / max(1, calm + rude))
+    texts = toxicity._words_of(["a word", "", "x" * 100, "d"])
+    assert scorer.scores(scorer.features(texts, toxicity.Memory())).tolist() == [constant] * 4
+
+
+def test_values_of_long_words():
+    words = toxicity._words_of(["a " + "b" * 32 + " " + "c" * 33 + " " + "d" * 97 + " " + "e" * 160])
+    parts = toxicity.Parts(words)
+    assert parts.counts.tolist() == [1, 1, 2, 4, 5] and parts.words.bounds.tolist() == [0, 13]
+    assert (parts.words.ends - parts.words.starts - parts.lead).tolist() == [1, 32, 32, 1, 32, 32, 32, 1, *[32] * 5]
+    values = np.array([2.0, -3, 1, -5, 1, 2, 3, -9, -1, 5, -1, 5, -1])
+    assert parts.word_values(values).tolist() == [2, -3, -4, 6, 9]
+
+
+def test_a_letter_more_changes_little():
+    random.seed(4)
+    calm = [" ".join("".join(random.choices("abcde", k=12)) for _ in range(20)) for _ in range(60)]
+    rude = [t + " ebdaceb" for t in calm]
+    scorer = toxicity.train(calm, rude, 0.5)
+    line = "".join(random.choices("abcde", k=300))
+    sizes = [31, 32, 33, 63, 64, 65, 96, 97, 128, 129]
+    texts = [line[: n // 2] + "ebdaceb" + line[n // 2 : n - 7] for n in sizes]
+    features = scorer.features(toxicity._words_of(texts), toxicity.Memory())
+    for low, high in ((0, 2), (3, 5), (6, 7), (8, 9)):
+        assert np.abs(np.diff(features[low : high + 1, :2], axis=0)).max() < 0.5
+
+
+def test_repeated_ids_and_long_texts_in_training(spark):
+    rows = [(i % 40, f"word{i % 7} text {i}", "en") for i in range(400)] + [(99, "long " * 40000, "en"), (None, "none", "de")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(99, 1)], "doc_id long, toxic int")
+    one, other = (toxicity.fit(documents.repartition(n), labels) for n in (2, 5))
+    assert np.array_equal(one.weights, other.weights)
+    assert language_id.fit(documents).languages == ["en"]
+
+
+def test_languages_equal_plain_averages(corpus):
+    texts = [t for _, t in corpus if t] * 3
+    model = language_id.train(texts, [("x", "y", "z")[len(t) % 3] for t in texts])
+    names, score, _ = model.predict([t for _, t in corpus])
+    for (_, text), name, value in zip(corpus, names, score, strict=True):
+        form = language_id.letters(text)
+        if not form:
+            assert (name, value) == ("und", 0)
+            continue
+        logits = np.zeros(3)
+        runs = [r for part in language_id._runs_of(form) for r in part.tolist()]
+        spans = [(i, k) for k in language_id.RUNS for i in range(len(form) - k + 1) if b" " not in form[i : i + k][1:-1]]
+        spans = [(i, k) for i, k in spans if form[i : i + k] not in (b" ", b"  ")]
+        assert len(runs) == len(spans)
+        for run in runs:
+            logits += model.table[run % len(model.table)]
+        shares = np.exp((logits / len(runs) + model.bias) / model.temperature)
+        shares /= shares.sum()
+        assert (name, value) == (model.languages[int(shares.argmax())], pytest.approx(shares.max(), rel=1e-5))

@@ -441,7 +441,9 @@ def repair(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     ``repaired_sha256`` (of the lines ``role:text``).
     """
     blocks = cut_lineage(_ordered(cut_lineage(_faults(rows), "messages")).mapInArrow(_blocks, _BLOCK), "blocks")
-    light = blocks.drop("messages").repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    # Codes are small and costly, so their tasks are not merged by size.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = blocks.drop("messages").repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "block")
     edits = cut_lineage(light.mapInArrow(_repair(stretch), _EDITS), "edits")
 
     nothing = {"turn": "long", "role": "string", "digest": "binary", "as_role": "string", "before": "array<string>", "text": "string",

@@ -223,7 +223,9 @@ def learn(pages: list[str], layouts: int = LAYOUTS, seed: int = 13) -> Labeller:
 def fit(pages: DataFrame, max_training_pages: int = MAX_TRAINING_PAGES) -> Labeller:
     """Learn from the pages with the lowest hash; at most ``max_training_pages`` of ``MAX_TRAINING_BYTES`` each."""
     small = pages.filter(F.octet_length("html").between(1, MAX_TRAINING_BYTES)).select("html", F.xxhash64("html").alias("draw"))
-    rows = small.orderBy("draw", "html").limit(max_training_pages).collect()
+    # The pages are drawn by their hashes; only those are read, and copies of one page count once.
+    drawn = [r["draw"] for r in small.select("draw").distinct().orderBy("draw").limit(max_training_pages).collect()]
+    rows = small.filter(F.col("draw").isin(drawn)).groupBy("draw").agg(F.min("html").alias("html")).orderBy("draw").collect()
     return learn([r["html"] for r in rows])
 
 

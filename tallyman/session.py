@@ -81,5 +81,54 @@ def cut_lineage(df: DataFrame, purpose: str = "step") -> DataFrame:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system its scheme names."""
+    files, hadoop_path = _file_system(spark, path)
+    return files.exists(hadoop_path)
+
+
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def child_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, or none if it does not exist."""
+    files, path = _file_system(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """The content of a small text file."""
+    files, hadoop_path = _file_system(spark, path)
+    stream = files.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place as a whole; False if there is one already."""
+    folder, _, name = path.rpartition("/")
+    draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    files, source = _file_system(spark, draft)
+    stream = files.create(source, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    jvm = spark._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(source, jvm.org.apache.hadoop.fs.Path(path), how)
+    except Exception:
+        files.delete(source, False)
+        if path_exists(spark, path):
+            return False
+        raise
+    return True
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    files, hadoop_path = _file_system(spark, path)
+    files.delete(hadoop_path, False)

@@ -1,8 +1,7 @@
 """Resumable backfill of the relational tables into order documents, one key range at a time.
 
-The ranges are cut once and stored next to the progress, so that a run after a failure continues with the
-first range that has no result. Every range is an ordinary distributed job whose output folder is replaced
-when the range runs again.
+The ranges are cut once and stored with the progress. Every range is an ordinary distributed job; its documents count from
+the commit that also moves the progress (``sources.tables``), so a failure at any point leaves neither gaps nor copies.
 """
 
 from __future__ import annotations
@@ -13,130 +12,119 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.legacy import nest_orders, not_deleted
-from ..schemas import BACKFILL_PROGRESS
-from ..session import path_exists
+from .tables import State, Store
 
 ACTIONS = ("START", "CONTINUE", "STATUS")
+_NOT_STARTED = {
+    "status": "NOT_STARTED", "last_processed_id": None, "total_processed": 0, "started_at": None, "updated_at": None, "error": None,
+}
+
+
+def _now() -> str:
+    return dt.datetime.now(dt.UTC).isoformat()
 
 
 class Backfill:
     def __init__(self, spark: SparkSession, root: str, orders: DataFrame, items: DataFrame, ranges: int = 64):
         self.spark = spark
-        self.root = root.rstrip("/")
+        self.store = Store(spark, root)
         self.orders, self.items = orders, items
         self.ranges = ranges
 
-    # ---- progress: one row, a new folder per change ----
-
-    def _progress_path(self, number: int) -> str:
-        return f"{self.root}/progress/step={number}"
-
-    def _steps(self) -> int:
-        number = 0
-        while path_exists(self.spark, f"{self._progress_path(number)}/_SUCCESS"):
-            number += 1
-        return number
-
     def progress(self) -> dict[str, object]:
-        steps = self._steps()
-        if steps == 0:
-            return {"status": "NOT_STARTED", "last_processed_id": None, "total_processed": 0, "started_at": None,
-                    "updated_at": None, "error": None}
-        return self.spark.read.schema(BACKFILL_PROGRESS).json(self._progress_path(steps - 1)).first().asDict()
+        return self.store.state()["notes"].get("progress", _NOT_STARTED)
 
-    def _save(self, progress: dict[str, object], **changes: object) -> dict[str, object]:
-        row = {**progress, **changes, "updated_at": dt.datetime.now(dt.UTC)}
-        frame = self.spark.createDataFrame([row], BACKFILL_PROGRESS)
-        frame.coalesce(1).write.mode("overwrite").json(self._progress_path(self._steps()))
-        return row
+    def _save(self, folder: str | None = None, **changes: object) -> dict[str, object]:
+        """Commit new progress, together with the folder of the documents that it counts."""
 
-    # ---- ranges ----
+        def change(state: State) -> None:
+            old = state["notes"].get("progress", _NOT_STARTED)
+            if folder is not None and old["last_processed_id"] != seen:
+                raise RuntimeError("another run has moved the backfill on")
+            state["notes"]["progress"] = {**old, **changes, "updated_at": _now()}
+            if folder is not None:
+                state["lists"].setdefault("documents", []).append(self.store.relative(folder))
+
+        seen = self.progress()["last_processed_id"]
+        return self.store.commit(change)["notes"]["progress"]
 
     def bounds(self) -> list[str]:
-        """Upper ids of the ranges, cut by a range partitioning of the ids and stored on first use."""
-        path = f"{self.root}/ranges"
-        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+        """Upper ids of the ranges, cut by a range partitioning of the ids and stored on first use: at most ``ranges``."""
+        stored = self.store.state()["notes"].get("bounds")
+        if stored is None:
             cut = (
                 not_deleted(self.orders).select("order_id")
                 .repartitionByRange(self.ranges, "order_id")
                 .groupBy(F.spark_partition_id().alias("part"))
                 .agg(F.max("order_id").alias("upper"))
             )
-            cut.coalesce(1).write.mode("overwrite").parquet(path)
-        # One id per range: at most ``ranges`` rows.
-        return sorted(row["upper"] for row in self.spark.read.parquet(path).collect())
-
-    def documents_path(self, number: int) -> str:
-        return f"{self.root}/documents/range={number}"
+            found = sorted(row["upper"] for row in cut.collect())
+            stored = self.store.commit(lambda state: state["notes"].setdefault("bounds", found))["notes"]["bounds"]
+        return stored
 
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/documents")
+        """The documents of all committed ranges."""
+        found = self.store.read_list("documents")
+        return nest_orders(self.orders, self.items).limit(0) if found is None else found
 
-    def _write_range(self, number: int, low: str | None, high: str | None) -> tuple[int, str | None]:
-        """Write the documents of one range; returns their number and largest id."""
+    def _copy_range(self, low: str | None, high: str | None, **changes: object) -> tuple[int, dict[str, object]]:
+        """Write the documents of one range and commit them; returns their number and the progress."""
 
         def inside(df: DataFrame) -> DataFrame:
             kept = df if high is None else df.where(F.col("order_id") <= high)
             return kept if low is None else kept.where(F.col("order_id") > low)
 
-        path = self.documents_path(number)
-        nest_orders(inside(self.orders), inside(self.items)).write.mode("overwrite").parquet(path)
-        written = self.spark.read.parquet(path).agg(F.count("*"), F.max("order_id")).first()
-        return written[0], written[1]
+        folder = self.store.folder("documents")
+        nest_orders(inside(self.orders), inside(self.items)).write.parquet(folder)
+        written, newest = self.spark.read.parquet(folder).agg(F.count("*"), F.max("order_id")).first()
+        total = self.progress()["total_processed"] + written
+        return written, self._save(
+            folder, **{"error": None, "last_processed_id": high or newest, "total_processed": total, **changes}
+        )
 
     def run(self, action: str = "CONTINUE", max_ranges: int | None = None) -> dict[str, object]:
         """Process the ranges that are left, or the next ``max_ranges``; then whatever lies above the last range.
 
         Orders with larger ids that arrive later make a range of their own in the run that finds them; the job is
-        completed when there are none.
-        The result has status, processed_in_this_run, total_processed, last_processed_id and has_more.
+        completed when there are none. The result has status, processed_in_this_run, total_processed,
+        last_processed_id and has_more, which is true until the job is completed.
         """
         if action not in ACTIONS:
             raise ValueError(f"action must be one of {', '.join(ACTIONS)}")
         progress = self.progress()
         if action == "STATUS":
-            return self._result(progress, 0, progress["status"] == "IN_PROGRESS")
+            return self._result(progress, 0)
         if progress["status"] == "NOT_STARTED":
-            progress = self._save(progress, status="IN_PROGRESS", started_at=dt.datetime.now(dt.UTC))
+            progress = self._save(status="IN_PROGRESS", started_at=_now())
         processed = 0
         try:
             uppers = self.bounds()
             last = progress["last_processed_id"]
             left = [n for n, upper in enumerate(uppers) if last is None or upper > last]
-            if not left:
-                return self._later(progress, last or (uppers[-1] if uppers else None))
             todo = left if max_ranges is None else left[:max_ranges]
             for n in todo:
-                written, _ = self._write_range(n, uppers[n - 1] if n else None, uppers[n])
+                written, progress = self._copy_range(uppers[n - 1] if n else None, uppers[n], status="IN_PROGRESS")
                 processed += written
-                progress = self._save(
-                    progress, status="IN_PROGRESS", error=None, last_processed_id=uppers[n],
-                    total_processed=progress["total_processed"] + written,
-                )
-            return self._result(progress, processed, len(todo) < len(left))
+            if len(todo) == len(left):
+                last = progress["last_processed_id"]
+                later = not_deleted(self.orders)
+                later = later if last is None else later.where(F.col("order_id") > last)
+                if later.limit(1).count():
+                    written, progress = self._copy_range(last, None, status="COMPLETED")
+                    processed += written
+                else:
+                    progress = self._save(status="COMPLETED", error=None)
+            return self._result(progress, processed)
         except Exception as error:
-            self._save(progress, status="FAILED", error=str(error)[:1000])
+            self._save(status="FAILED", error=str(error)[:1000])
             raise
 
-    def _later(self, progress: dict[str, object], last: str | None) -> dict[str, object]:
-        rows = not_deleted(self.orders)
-        rows = rows if last is None else rows.where(F.col("order_id") > last)
-        if rows.limit(1).count() == 0:
-            return self._result(self._save(progress, status="COMPLETED", error=None), 0, False)
-        # The folder's number follows the steps taken, so that no earlier result is replaced.
-        written, newest = self._write_range(self.ranges + self._steps(), last, None)
-        progress = self._save(
-            progress, status="IN_PROGRESS", error=None, last_processed_id=newest,
-            total_processed=progress["total_processed"] + written,
-        )
-        return self._result(progress, written, False)
-
     @staticmethod
-    def _result(progress: dict[str, object], processed: int, has_more: bool) -> dict[str, object]:
+    def _result(progress: dict[str, object], processed: int) -> dict[str, object]:
         return {
             "status": progress["status"],
             "processed_in_this_run": processed,
             "total_processed": progress["total_processed"],
             "last_processed_id": progress["last_processed_id"],
-            "has_more": has_more,
+            "has_more": progress["status"] in ("IN_PROGRESS", "FAILED"),
         }

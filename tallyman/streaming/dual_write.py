@@ -1,8 +1,11 @@
 """Dual write: a change feed applied to the relational tables, micro-batch by micro-batch.
 
-A micro-batch only appends its records to a change log, so its cost follows the batch and not the table.
-The current state is the last snapshot with the log applied; ``compact`` writes it as the next snapshot.
-Snapshots carry ``last_seq`` per order, so records older than what a snapshot holds are ignored later.
+A micro-batch only adds its records to a change log, so its cost follows the batch and not the table. The current state
+is the tables with the log applied; ``compact`` folds the log into the buckets of the tables that it touches. Orders
+carry ``last_seq``, so records older than what the tables hold are ignored later.
+
+Tables, log and the batches taken are one manifest (``sources.tables``): a batch counts when its commit does, and a batch
+that runs again after its commit is not taken again.
 """
 
 from __future__ import annotations
@@ -14,16 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.legacy import upsert_items, upsert_orders
-from ..session import path_exists
+from ..sources.tables import BUCKETS, BucketedTable, State, Store, is_applied, mark_applied
 from .feeds import FEED_INTERVAL, run_of, start
 
 
 class DualWrite:
-    """The two flat tables under ``root``: ``snapshot=N`` folders and the log of later batches."""
+    """The two flat tables under ``root``, bucketed by order, and the log of later batches."""
 
-    def __init__(self, spark: SparkSession, root: str, enabled: Callable[[], bool] = lambda: True):
+    def __init__(self, spark: SparkSession, root: str, enabled: Callable[[], bool] = lambda: True, buckets: int = BUCKETS):
         self.spark = spark
-        self.root = root.rstrip("/")
+        self.store = Store(spark, root)
+        self.orders = BucketedTable(self.store, "orders", ["order_id"], buckets)
+        self.items = BucketedTable(self.store, "items", ["order_id"], buckets)
         self.enabled = enabled
 
     def _flag(self) -> bool:
@@ -33,51 +38,46 @@ class DualWrite:
         except Exception:
             return False
 
-    def _snapshot(self, version: int, name: str) -> str:
-        return f"{self.root}/snapshot={version}/{name}"
-
-    def _log(self, version: int) -> str:
-        return f"{self.root}/log/after={version}"
-
     def version(self) -> int:
-        """Number of the newest complete snapshot."""
-        version = 0
-        while path_exists(self.spark, f"{self._snapshot(version + 1, 'items')}/_SUCCESS"):
-            version += 1
-        return version
+        """How often the log has been folded into the tables."""
+        return self.store.state()["notes"].get("folds", 0)
 
     def initialize(self, orders: DataFrame, items: DataFrame) -> None:
-        seen = orders.withColumn("last_seq", F.lit(None).cast("bigint"))
-        seen.write.mode("overwrite").parquet(self._snapshot(0, "orders"))
-        items.write.mode("overwrite").parquet(self._snapshot(0, "items"))
+        """Start from these tables; what was there before goes."""
+        everything = list(range(self.orders.buckets))
+        changes = [
+            self.orders.rewrite(everything, orders.withColumn("last_seq", F.lit(None).cast("bigint"))),
+            self.items.rewrite(everything, items),
+        ]
+
+        def change(state: State) -> None:
+            for each in changes:
+                each(state)
+            state["lists"].pop("log", None)
+            state["notes"]["folds"] = 0
+
+        self.store.commit(change)
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Log one micro-batch; a batch that runs again replaces its own folder. Skipped while the flag is off."""
-        if not self._flag():
+        """Log one micro-batch. Skipped while the flag is off, and if the batch has been committed."""
+        run = run_of(batch)
+        if not self._flag() or is_applied(self.store.state(), run, batch_id):
             return
-        folder = f"{self._log(self.version())}/run={run_of(batch)}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(folder)
+        folder = self.store.folder("log")
+        batch.write.parquet(folder)
+
+        def change(state: State) -> None:
+            state["lists"].setdefault("log", []).append(self.store.relative(folder))
+            mark_applied(state, run, batch_id)
+
+        self.store.commit(change)
 
     def start(self, changes: DataFrame, checkpoint: str, interval: str | None = FEED_INTERVAL) -> StreamingQuery:
         writer = changes.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint)
         return start(writer, interval)
 
-    def state(self) -> tuple[DataFrame, DataFrame]:
-        """Current orders (with ``last_seq``) and items.
-
-        A batch that was logged while the snapshot was being written lies in the log before it, so that is read too;
-        records that the snapshot holds are told by their number.
-        """
-        version = self.version()
-        orders = self.spark.read.parquet(self._snapshot(version, "orders"))
-        items = self.spark.read.parquet(self._snapshot(version, "items"))
-        logs = [p for p in (self._log(version - 1), self._log(version)) if path_exists(self.spark, p)]
-        if not logs:
-            return orders, items
-        log = self.spark.read.parquet(logs[0])
-        for path in logs[1:]:
-            log = log.unionByName(self.spark.read.parquet(path))
-        log = log.drop("run", "batch_id")
+    @staticmethod
+    def _applied(orders: DataFrame, items: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = orders.select("order_id", "last_seq")
         fresh = log.join(known, "order_id", "left").where(F.col("seq") > F.coalesce("last_seq", F.lit(-1)))
         newest = fresh.groupBy("order_id").agg(F.max("seq").alias("_seq"))
@@ -90,13 +90,30 @@ class DualWrite:
         )
         return merged, upsert_items(items, fresh.drop("last_seq"))
 
+    def state(self) -> tuple[DataFrame, DataFrame]:
+        """Current orders (with ``last_seq``) and items."""
+        state = self.store.state()
+        orders, items = self.orders.read(state=state), self.items.read(state=state)
+        log = self.store.read_list("log", state)
+        return (orders, items) if log is None else self._applied(orders, items, log)
+
     def compact(self) -> int:
-        """Write the current state as the next snapshot. Batches may be logged meanwhile."""
-        version = self.version()
-        if not path_exists(self.spark, self._log(version)):
-            return version
-        orders, items = self.state()
-        orders.write.mode("overwrite").parquet(self._snapshot(version + 1, "orders"))
-        # The items folder is written last: its success marker completes the snapshot.
-        items.write.mode("overwrite").parquet(self._snapshot(version + 1, "items"))
-        return version + 1
+        """Fold the log into the buckets it touches; returns :meth:`version`. Batches may be logged meanwhile."""
+        state = self.store.state()
+        log = self.store.read_list("log", state)
+        if log is None:
+            return self.version()
+        folded = state["lists"]["log"]
+        buckets = self.orders.touched(log)
+        orders, items = self._applied(self.orders.read(buckets, state), self.items.read(buckets, state), log)
+        changes = [self.orders.rewrite(buckets, orders), self.items.rewrite(buckets, items)]
+
+        def change(newest: State) -> None:
+            if newest["lists"].get("log", [])[: len(folded)] != folded:
+                raise RuntimeError("the log has been folded by another run")
+            for each in changes:
+                each(newest)
+            newest["lists"]["log"] = newest["lists"]["log"][len(folded) :]
+            newest["notes"]["folds"] = newest["notes"].get("folds", 0) + 1
+
+        return self.store.commit(change)["notes"]["folds"]

@@ -35,6 +35,8 @@ MAX_WORDS = 3
 MIN_COUNT = 10
 TOP = 2000
 INSIDE_PERCENT = 50
+# Answers to chunks that a task packs at a time.
+MARKS_AT_ONCE = 1 << 20
 # The best phrases of a language are chosen in this many parts first.
 RANKING_PARTS = 64
 
@@ -132,14 +134,16 @@ def _occurrences(chunk_bytes: int):
 def _longer(relation: pa.Table, frequent: pa.Table) -> pa.Table:
     """Semi-join a chunk's relation with the groups that are frequent, then join it with itself at the next position.
 
-    ``frequent`` has a row for each distinct phrase of the chunk (``pos``) that is frequent, with its number ``id``.
+    ``frequent`` holds, packed, which of the chunk's distinct phrases are frequent, and their numbers.
     """
     empty = pa.table({"chunk": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "pairs": pa.array([], pa.list_(_ITEM))})
     if not len(relation) or not len(frequent):
         return empty
     codes = unpack(relation.column("codes")[0].as_py())[0]
     ids = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)  # the last one is what -1 reads
-    ids[frequent.column("pos").to_numpy()] = frequent.column("id").to_numpy()
+    for marks in frequent.column("marks").to_pylist():
+        pos, numbers = unpack(marks)
+        ids[pos] = numbers
     kept = np.where(ids[codes] >= 0, codes, -1).astype(np.int64)
     at = np.flatnonzero((kept[:-1] >= 0) & (kept[1:] >= 0))
     if not len(at):
@@ -152,16 +156,58 @@ def _longer(relation: pa.Table, frequent: pa.Table) -> pa.Table:
     return pa.table({"chunk": relation.column("chunk"), "codes": pa.array([pack(joined)], pa.binary()), "pairs": _one_list(items)})
 
 
-def _frequent(occurring: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """The rows (one for each chunk and phrase, ``n`` occurrences) of frequent phrases, with their number ``id`` and count ``f``.
+def _answers(keys: list[tuple[str, pa.DataType]]):
+    """Rows of frequent phrases to one row for each phrase, and packed rows that tell each chunk its phrases' numbers."""
+    schema = pa.schema([*keys, ("f", pa.int64()), ("id", pa.int64()), ("asker", pa.int64()), ("marks", pa.binary())])
 
-    One shuffle serves the count and the semi-join: a phrase has at most one row a chunk, and those meet in a window.
-    Exactly one row of each phrase has ``row`` equal to ``id``. The result is written, so that the numbers stay.
+    def filled(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        chunk, pos, ids = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((pos, chunk))
+        chunk, pos, ids = chunk[order], pos[order], ids[order]
+        starts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        marks = [pack(p, i) for p, i in zip(np.split(pos, starts[1:]), np.split(ids, starts[1:]), strict=True)]
+        return filled({"asker": pa.array(chunk[starts]), "marks": pa.array(marks, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            column = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
+            first = pc.equal(column("row"), column("id"))
+            yield filled({n: column(n).filter(first) for n in (*(k for k, _ in keys), "f", "id")})
+            waiting.append(tuple(column(n).to_numpy() for n in ("chunk", "pos", "id")))
+            size += len(batch)
+            if size >= MARKS_AT_ONCE:
+                yield packed(waiting)
+                waiting, size = [], 0
+        if size:
+            yield packed(waiting)
+
+    return run
+
+
+def _frequent(occurring: DataFrame, keys: list[str], min_count: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent phrases (``keys``, count ``f``, number ``id``), and for each chunk the numbers of those it has.
+
+    ``occurring`` has one row for each chunk and phrase, with ``n`` occurrences. One shuffle serves the count and the
+    semi-join: the rows of a phrase, at most one a chunk, meet in a window. The answers are packed and written, so
+    that the numbers stay.
     """
     same = Window.partitionBy(*keys)
     rows = occurring.repartition(*keys).withColumn("row", F.monotonically_increasing_id())
     counted = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("row").over(same)})
-    return cut_lineage(counted.filter(F.col("f") >= min_count).drop("n"), "frequent")
+    kinds = {"string": pa.string(), "bigint": pa.int64()}
+    types = [(k, kinds[occurring.schema[k].dataType.simpleString()]) for k in keys]
+    schema = ", ".join(f"{k} {occurring.schema[k].dataType.simpleString()}" for k in keys)
+    answers = counted.filter(F.col("f") >= min_count).drop("n").mapInArrow(
+        _answers(types), f"{schema}, f long, id long, asker long, marks binary"
+    )
+    answers = cut_lineage(answers, "frequent")
+    return answers.filter("id IS NOT NULL").drop("asker", "marks"), answers.filter("asker IS NOT NULL").select("asker", "marks")
 
 
 def frequent_phrases(
@@ -180,12 +226,10 @@ def frequent_phrases(
     )
     totals = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
     words = relation.select("chunk", "lang", F.posexplode("words")).select("chunk", "pos", "lang", "col.word", "col.n")
-    found = _frequent(words, ["lang", "word"], min_count)
-    word = F.col("word")
-    known = found.filter(F.col("row") == F.col("id")).select("id", "lang", word.alias("phrase"), word.alias("last"), "f")
+    groups, marks = _frequent(words, ["lang", "word"], min_count)
+    known = groups.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     phrases = known.withColumn("n_words", F.lit(1))
     for size in range(2, max_words + 1):
-        marks = found.select(F.col("chunk").alias("asker"), "pos", "id")
         relation = cut_lineage(
             relation.select("chunk", "codes").groupBy("chunk").cogroup(marks.groupBy("asker")).applyInArrow(
                 _longer, "chunk long, codes binary, pairs array<struct<left:long,right:long,n:long>>"
@@ -193,10 +237,10 @@ def frequent_phrases(
             "occurrences",
         )
         pairs = relation.select("chunk", F.posexplode("pairs")).select("chunk", "pos", "col.left", "col.right", "col.n")
-        found = _frequent(pairs, ["left", "right"], min_count)
+        groups, marks = _frequent(pairs, ["left", "right"], min_count)
         heads = known.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"))
         tails = known.select(F.col("id").alias("right"), "last")
-        named = found.filter(F.col("row") == F.col("id")).join(heads, "left").join(tails, "right")
+        named = groups.join(heads, "left").join(tails, "right")
         known = cut_lineage(named.select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f"), "phrases")
         phrases = phrases.unionByName(known.withColumn("n_words", F.lit(size)))
     return phrases.select("lang", "phrase", "n_words", "f"), totals

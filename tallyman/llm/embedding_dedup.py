@@ -198,9 +198,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
         & F.exists(vector, lambda x: x != 0)
     )
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(usable, F.lit(False)).alias("usable"))
-    keyed = rows.filter("usable").select("vec_id", "embedding", F.xxhash64("embedding").alias("vector_key"))
+    keyed = rows.filter("usable").select("vec_id", "embedding", F.xxhash64("embedding").alias("vector_hash"))
     classes = cut_lineage(
-        keyed.groupBy("vector_key", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "classes"
+        keyed.groupBy("vector_hash", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "classes"
     )
     count = classes.count()
     projections, tables = plan(count, cosine, recall, width)
@@ -231,8 +231,10 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     found = cut_lineage(compared, "found")
     groups = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
+    # The hash deals the rows, the vector itself tells them apart.
+    vector_key = F.struct("vector_hash", "embedding").alias("vector_key")
     resolved = (
-        classes.select("vector_key", "class_id", "copies")
+        classes.select(vector_key, "class_id", "copies")
         .join(links, "class_id", "left")
         .join(groups.withColumnRenamed("id", "class_id"), "class_id", "left")
         .select(
@@ -242,7 +244,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
             F.col("copies").alias("n_rows"),
         )
     )
-    joined = lookup_join(keyed.select("vec_id", "vector_key"), resolved, "vector_key", max(1, count)).drop("vector_key")
+    joined = lookup_join(keyed.select("vec_id", vector_key), resolved, "vector_key", max(1, count)).drop("vector_key")
     alone = rows.filter(~F.col("usable")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )

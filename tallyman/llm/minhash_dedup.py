@@ -203,9 +203,9 @@ def near_duplicates(
     total = max(1, sketched.count())
     whole_set = ["n_shingles", "set_1", "set_2"]
     filled = sketched.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    keyed = filled.withColumn("set_key", F.xxhash64(*whole_set))
+    keyed = filled.withColumn("set_key", F.struct(*whole_set))
     classes = cut_lineage(
-        keyed.groupBy("set_key", *whole_set).agg(
+        keyed.groupBy("set_key").agg(
             F.min("doc_id").alias("class_id"), F.count("*").alias("n_rows"), F.first("bands").alias("bands")
         ),
         "classes",
@@ -244,8 +244,6 @@ def near_duplicates(
     resolved = classes.join(found, "class_id", "left").select(
         "set_key", F.coalesce("component", "class_id").alias("component_id"), "n_rows"
     )
-    # Two sets with one key are not told apart here; their digests differ only by chance of 2 ** -64.
-    resolved = resolved.groupBy("set_key").agg(F.min("component_id").alias("component_id"), F.sum("n_rows").alias("n_rows"))
     grouped = lookup_join(keyed.select("doc_id", "n_shingles", "set_key"), resolved, "set_key", total).drop("set_key")
     alone = sketched.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")

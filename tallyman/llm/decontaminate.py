@@ -3,9 +3,10 @@
 All windows of the benchmark go into one Aho-Corasick automaton, with which each normalised text is scanned once. Word
 positions lead back to character offsets in the original text.
 
-The automaton is broadcast, so its size is bounded: the benchmark is cut into blocks of about ``block_bytes`` of text
-by a hash of its items, and the scan is repeated for each block. A benchmark below the bound is one block and one scan;
-nothing is dropped above it.
+Spark makes the windows. The automaton has at most one node for each byte of them, so its size is bounded by cutting the
+windows into blocks of about ``block_bytes`` by their hash; the bound holds for any benchmark. One block at a time is
+collected, broadcast, scanned with and given up; the hits of each are written to the shared folder and merged by document.
+A usual benchmark is one block and one scan.
 
 Definitions: words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. An item with fewer words
 than a window is one window; items and documents that are null or without words have none. Rows that repeat an item id
@@ -25,8 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 WINDOW = 10
-BLOCK_BYTES = 4 << 20
+# Bytes of windows and item ids in a block; an automaton takes up to about 50 times as much in each Python worker.
+BLOCK_BYTES = 6 << 20
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -38,14 +42,32 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def automaton_of(items: list[tuple[str, str | None]], window: int = WINDOW) -> ahocorasick.Automaton | None:
-    """Windows of all items, each with its number of words and the items that have it."""
-    owners: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        words = words_of(text)
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if words else 0):
-            owners.setdefault(b" ".join(words[i : i + size]), (size, set()))[1].add(item)
+def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The distinct windows of each item: ``key`` (words joined by blanks, a character a byte), ``size`` and ``item``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                size = min(window, len(words))
+                keys = {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "key": pa.array(sorted(keys), pa.binary()),
+                        "size": pa.array([size] * len(keys), pa.int32()),
+                        "item": pa.array([item] * len(keys), pa.string()),
+                    }
+                )
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    return items.mapInArrow(run, "key binary, size int, item string").distinct()
+
+
+def automaton_of(rows: list[tuple[bytes, int, str]]) -> ahocorasick.Automaton | None:
+    """An automaton of windows, each with its number of words and the items that have it."""
+    owners: dict[bytes, tuple[int, list[str]]] = {}
+    for key, size, item in rows:
+        owners.setdefault(key, (size, []))[1].append(item)
     if not owners:
         return None
     automaton = ahocorasick.Automaton()
@@ -78,128 +100,136 @@ def scan(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tup
 _current: dict[str, ahocorasick.Automaton | None] = {}
 
 
-def _automaton(shared, block: str, window: int) -> ahocorasick.Automaton | None:
+def _automaton(shared, block: str) -> ahocorasick.Automaton | None:
     if block not in _current:
         _current.clear()
-        _current[block] = automaton_of(shared.value, window)
+        _current[block] = automaton_of(shared.value)
     return _current[block]
 
 
-def _scanner(shared, block: str, window: int):
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+_FOUND = (
+    "row long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>, spans array<struct<from:int,to:int>>"
+)
+
+
+def _scanner(shared, block: str, everything: bool):
+    """Hits of each row: ranges of words and of characters, and items. Rows without hits only if ``everything`` is asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared, block, window)
+        automaton = _automaton(shared, block)
         for batch in batches:
-            at = batch.schema.get_field_index
-            starts = batch.column(at("starts")).to_pylist()
-            ends = batch.column(at("ends")).to_pylist()
-            items = batch.column(at("items")).to_pylist()
-            n_words = []
-            for i, text in enumerate(batch.column(at("text")).to_pylist()):
+            kept, n_words, starts, ends, items, spans = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
+                ranges, found = scan(automaton, words) if automaton and words else ([], set())
+                if not (ranges or everything):
+                    continue
+                places = [m.span() for m in _WORD.finditer(text)] if ranges else []
+                kept.append(i)
                 n_words.append(len(words))
-                ranges, found = scan(automaton, words) if automaton and words else ([], ())
-                if found:
-                    starts[i] = starts[i] + [a for a, _ in ranges]
-                    ends[i] = ends[i] + [b for _, b in ranges]
-                    items[i] = sorted({*items[i], *found})
-            columns = {name: batch.column(at(name)) for name in ("doc_id", "text")}
-            columns |= {
-                "n_words": pa.array(n_words, pa.int64()),
-                "starts": pa.array(starts, pa.list_(pa.int32())),
-                "ends": pa.array(ends, pa.list_(pa.int32())),
-                "items": pa.array(items, pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
+                starts.append([a for a, _ in ranges])
+                ends.append([b for _, b in ranges])
+                items.append(sorted(found))
+                spans.append([{"from": places[a][0], "to": places[b - 1][1]} for a, b in ranges])
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "row": batch.column(0).take(rows),
+                    "doc_id": batch.column(1).take(rows),
+                    "n_words": pa.array(n_words, pa.int64()),
+                    "starts": pa.array(starts, pa.list_(pa.int32())),
+                    "ends": pa.array(ends, pa.list_(pa.int32())),
+                    "items": pa.array(items, pa.list_(pa.string())),
+                    "spans": pa.array(spans, _SPANS),
+                }
+            )
 
     return run
 
 
-def _report(with_spans: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index
-            n_hit, digests, counts, spans = [], [], [], []
-            texts = batch.column(at("text")).to_pylist() if with_spans else [None] * len(batch)
-            rows = zip(*(batch.column(at(n)).to_pylist() for n in ("n_words", "starts", "ends", "items")), texts, strict=True)
-            for total, starts, ends, items, text in rows:
-                counts.append(len(items))
-                digests.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-                if not starts:
-                    n_hit.append(0)
-                    spans.append([])
-                    continue
-                steps = np.zeros(total + 1, np.int32)
-                np.add.at(steps, starts, 1)
-                np.add.at(steps, ends, -1)
-                inside = np.cumsum(steps[:-1]) > 0
-                n_hit.append(int(inside.sum()))
-                if with_spans:
-                    places = [m.span() for m in _WORD.finditer(text)]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-                    spans.append(
-                        [{"from": places[a][0], "to": places[b - 1][1]} for a, b in edges.reshape(-1, 2).tolist()]
-                    )
-            columns = {
-                "doc_id": batch.column(at("doc_id")).cast(pa.int64()),
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge the ranges and items that the blocks have found in a document."""
+    for batch in batches:
+        at = batch.schema.get_field_index
+        n_hit, digests, counts, all_items, all_spans = [], [], [], [], []
+        for starts, ends, items, spans in zip(*(batch.column(at(n)).to_pylist() for n in ("starts", "ends", "items", "spans")), strict=True):
+            merged: list[list[int]] = []
+            for a, b, span in sorted(zip(starts, ends, ((s["from"], s["to"]) for s in spans), strict=True)):
+                if merged and a <= merged[-1][1]:
+                    if b > merged[-1][1]:
+                        merged[-1][1], merged[-1][3] = b, span[1]
+                else:
+                    merged.append([a, b, *span])
+            names = sorted(set(items))
+            n_hit.append(sum(b - a for a, b, _, _ in merged))
+            counts.append(len(names))
+            digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+            all_items.append(names)
+            all_spans.append([{"from": low, "to": high} for _, _, low, high in merged])
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": batch.column(at("doc_id")),
                 "n_words": batch.column(at("n_words")),
                 "n_hit": pa.array(n_hit, pa.int64()),
                 "n_items": pa.array(counts, pa.int64()),
                 "items_sha256": pa.array(digests, pa.string()),
                 "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_()),
-                "items": batch.column(at("items")),
+                "items": pa.array(all_items, pa.list_(pa.string())),
+                "spans": pa.array(all_spans, _SPANS),
             }
-            if with_spans:
-                span = pa.struct([("from", pa.int32()), ("to", pa.int32())])
-                columns["spans"] = pa.array(spans, pa.list_(span))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return run
+        )
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
-    """Broadcast items, about ``block_bytes`` of text at a time."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[int, Iterator]:
+    """The number of blocks, and their windows as broadcasts, made one after the other."""
+    rows = cut_lineage(windows(benchmark, window), "windows")
+    size = rows.agg(F.sum(F.octet_length("key") + F.octet_length("item") + 2)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        yield benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
+
+    def each() -> Iterator:
+        for block in range(blocks):
+            part = rows.filter(F.pmod(F.xxhash64("key", "item"), F.lit(blocks)) == block)
+            yield benchmark.sparkSession.sparkContext.broadcast([(bytes(r["key"]), r["size"], r["item"]) for r in part.collect()])
+
+    return blocks, each()
 
 
 def contamination(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
-    with_spans: bool = True,
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Counts, items and character spans (``from``, ``to`` in the original text) of benchmark passages.
 
     Columns: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` (of the ids, sorted and joined by
-    commas), ``contaminated``, ``items`` and, if asked for, ``spans``.
+    commas), ``contaminated``, ``items`` and ``spans``.
     """
-    none = F.array()
-    rows = documents.select(
-        "doc_id",
-        "text",
-        F.lit(0).cast("long").alias("n_words"),
-        none.cast("array<int>").alias("starts"),
-        none.cast("array<int>").alias("ends"),
-        none.cast("array<string>").alias("items"),
-    )
-    schema = "doc_id long, text string, n_words long, starts array<int>, ends array<int>, items array<string>"
-    for shared in _blocks(benchmark, block_bytes):
-        rows = rows.mapInArrow(_scanner(shared, uuid.uuid4().hex, window), schema)
-    report = (
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-        + (", spans array<struct<from: int, to: int>>" if with_spans else "")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks, parts = _blocks(benchmark, window, block_bytes)
+    if blocks == 1:
+        found = rows.mapInArrow(_scanner(next(parts), uuid.uuid4().hex, True), _FOUND)
+    else:
+        rows = cut_lineage(rows, "rows")  # their numbers are kept over all scans
+        scans = []
+        for shared in parts:
+            scans.append(cut_lineage(rows.mapInArrow(_scanner(shared, uuid.uuid4().hex, not scans), _FOUND), "hits"))
+            shared.destroy()
+        found = scans[0]
+        for more in scans[1:]:
+            found = found.unionByName(more)
+        together = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        found = found.groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *map(together, ("starts", "ends", "items", "spans"))
+        )
+    return found.mapInArrow(
+        _report,
+        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, "
+        "spans array<struct<from:int,to:int>>",
     )
-    return rows.mapInArrow(_report(with_spans), report)
 
 
-def _clean(shared, block: str, window: int):
+def _clean(shared, block: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared, block, window)
+        automaton = _automaton(shared, block)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             lines = (f" {b' '.join(words_of(t)).decode('latin-1')} " for t in texts)
@@ -211,6 +241,10 @@ def _clean(shared, block: str, window: int):
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any benchmark passage, with all their columns."""
-    for shared in _blocks(benchmark, block_bytes):
-        documents = documents.mapInArrow(_clean(shared, uuid.uuid4().hex, window), documents.schema)
+    blocks, parts = _blocks(benchmark, window, block_bytes)
+    for shared in parts:
+        documents = documents.mapInArrow(_clean(shared, uuid.uuid4().hex), documents.schema)
+        if blocks > 1:
+            documents = cut_lineage(documents, "clean")
+            shared.destroy()
     return documents

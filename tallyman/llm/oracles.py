@@ -26,6 +26,7 @@ LEFT JOIN kept k USING (doc_id)
 
 def decontaminate(window: int = 10) -> str:
     fold = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    raw = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     hits = "\n  UNION ALL\n".join(
         f"""  SELECT d.doc_id, d.i, {n} AS n, b.item_id
   FROM (SELECT doc_id, i, string_agg(word, ' ') OVER span AS k, count(*) OVER span AS n FROM doc_words
@@ -42,15 +43,29 @@ item_windows AS (
   FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least({window}, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0)
 ), hits AS (
 {hits}
+), inside AS (
+  SELECT DISTINCT doc_id, i + step AS i FROM (SELECT doc_id, i, unnest(range(n)) AS step FROM hits)
 ), hit_words AS (
-  SELECT doc_id, count(DISTINCT i + step) AS n FROM (SELECT doc_id, i, unnest(range(n)) AS step FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n FROM inside GROUP BY doc_id
+), parts AS (
+  SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS p FROM (
+    SELECT doc_id, regexp_extract_all(text, '{raw}+|[{raw[2:]}+') AS ps FROM documents SEMI JOIN hit_words USING (doc_id))
+), placed AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, upto - length(part) AS low, upto AS high
+  FROM (SELECT doc_id, p, part, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM parts)
+  WHERE regexp_matches(part, '{raw}')
+), spans AS (
+  SELECT doc_id, string_agg(low || '-' || high, ',' ORDER BY low) AS spans FROM (
+    SELECT doc_id, min(low)::BIGINT AS low, max(high)::BIGINT AS high FROM (
+      SELECT doc_id, low, high, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM inside JOIN placed USING (doc_id, i))
+    GROUP BY doc_id, run) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
-       sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items m USING (doc_id)
+       sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, coalesce(s.spans, '') AS spans
+FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items m USING (doc_id) LEFT JOIN spans s USING (doc_id)
 """
 
 

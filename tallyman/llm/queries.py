@@ -85,7 +85,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_decontaminate", oracles.decontaminate())
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontaminate.contamination(documents, benchmark, with_spans=False).drop("items")
+    found = decontaminate.contamination(documents, benchmark).drop("items")
+    span = F.transform("spans", lambda s: F.concat_ws("-", s["from"], s["to"]))
+    return found.withColumn("spans", F.array_join(span, ","))
 
 
 @query("op8_embedding_dedup", oracles.EMBEDDING_DEDUP)

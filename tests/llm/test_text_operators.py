@@ -261,10 +261,30 @@ def test_decontamination_equals_plain_python(spark, documents, corpus, block_byt
     spans = {r["doc_id"]: r["spans"] for r in rows}
     cut = [texts[long][s["from"] : s["to"]] for s in spans[long]]
     assert cut == [" ".join(words[100:140])]
+    assert all(s["to"] - s["from"] >= 1 for found in spans.values() for s in found)
+    assert {i for i, found in spans.items() if found} == {i for i, e in expected.items() if e[4]}
     clean = {r["doc_id"] for r in decontaminate.clean(documents, benchmark, block_bytes=block_bytes).collect()}
     assert clean == {i for i, e in expected.items() if not e[4]}
 
 
+def test_blocks_of_a_large_benchmark_are_bounded(spark):
+    random.seed(5)
+    vocabulary = [f"w{n:05d}" for n in range(20000)]
+    items = [(i, " ".join(random.choices(vocabulary, k=200))) for i in range(300)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    blocks, parts = decontaminate._blocks(benchmark, 10, 1 << 20)
+    sizes = []
+    for shared in parts:
+        sizes.append(sum(len(key) for key, _, _ in shared.value))
+        shared.destroy()
+    assert blocks == len(sizes) >= 4 and max(sizes) < 1.2 * (1 << 20) and sum(sizes) == 300 * 191 * 69
+    text = "X " + items[7][1][:350].upper() + ". " + items[250][1][70:300]
+    documents = spark.createDataFrame([(1, text), (2, items[7][1][:60]), (2, None)], "doc_id long, text string")
+    found = decontaminate.contamination(documents, benchmark, block_bytes=1 << 20).orderBy("doc_id", "n_words").collect()
+    assert [(r["doc_id"], r["n_words"], r["items"]) for r in found] == [(1, 84, ["250", "7"]), (2, 0, []), (2, 9, [])]
+    assert [tuple(s) for s in found[0]["spans"]] == [(2, len(text))] and found[0]["n_hit"] == 83
+
+
 def test_decontamination_of_nothing(spark, odd_documents, no_documents):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(odd_documents, benchmark).filter("contaminated").count() == 0

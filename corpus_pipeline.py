@@ -4,7 +4,8 @@ Each stage takes the documents that the one before it kept and returns a DataFra
 and read again. All but the last return the columns of ``documents``.
 
 1. ``language_id``: documents in which no known language is recognised go. The classifier learns from the labelled rows.
-2. ``minhash_dedup``: of documents that are near copies of each other the one with the smallest id stays.
+2. ``minhash_dedup``: of documents that are near copies of each other the one with the smallest id stays. Rows that repeat
+   an id, or have none, are judged by their own texts; of identical rows one stays.
 3. ``substring_dedup``: words covered by a run of 20 words that occurs earlier are removed from the text, and ``n_chars``
    follows. A document of which nothing is left stays with an empty text; other documents keep their text as it is.
 4. ``decontaminate``: documents with a benchmark passage go.
@@ -33,8 +34,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    copies = minhash_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("_row", F.col("doc_id"))
+    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        # Rows are told apart by their place in the order of ids and texts instead.
+        ordered = docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+        keyed = cut_lineage(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = minhash_dedup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    copies = rows.filter("NOT kept").select(F.col("doc_id").alias("_row"))
+    return keyed.join(copies, "_row", "left_anti").select(docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ class Intake:
         checked = validate_requests(parse_requests(batch)).drop("document").persist()
         try:
             rejected(checked).write.mode("overwrite").parquet(f"{self.root}/rejected/run={run}/batch_id={batch_id}")
-            first = idempotent_intake(accepted(checked)).where("created")
+            # A request that is delivered twice in one batch is one request.
+            first = idempotent_intake(accepted(checked)).where("created").dropDuplicates(KEYS)
             taken = self.table.lookup(first, state)
             added = self.table.append(build_orders(first.join(taken, KEYS, "left_anti")))
             seen = state["version"]

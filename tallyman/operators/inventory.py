@@ -11,6 +11,10 @@ from ..schemas import RESERVATION_MINUTES, SHORTAGE
 from ..session import cut_lineage
 
 
+# Contended lines of a store that are decided in one task; a store with more takes rounds.
+STORE_LINES = 2000
+
+
 def stock_on_hand(inventory: DataFrame) -> DataFrame:
     """``store_sku`` and what can still be promised; missing numbers count as zero."""
     return inventory.select(
@@ -67,38 +71,93 @@ def cumulative_demand(lines: DataFrame) -> DataFrame:
     )
 
 
+def _contended(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Lines summed by order and stock row, with the stock row's ``room``, whether it is ``contended``, and what the order
+    would hold of it (nothing where ``keeps`` is false)."""
+    if "keeps" not in lines.columns:
+        lines = lines.withColumn("keeps", F.lit(True))
+    merged = lines.groupBy("order_id", "order_ts", "store_sku").agg(
+        F.sum("quantity").alias("quantity"), F.bool_and(F.coalesce("keeps", F.lit(False))).alias("keeps")
+    )
+    demand = merged.groupBy("store_sku").agg(F.sum("quantity").alias("demand"))
+    rooms = demand.join(stock_on_hand(inventory), "store_sku", "left").select(
+        "store_sku", "demand", F.coalesce("available", F.lit(0)).cast("bigint").alias("room")
+    )
+    return merged.join(rooms, "store_sku").select(
+        "order_id", "order_ts", "store_sku", "quantity", "room", (F.col("demand") > F.col("room")).alias("contended"),
+        F.when(F.col("keeps"), F.col("quantity")).otherwise(F.lit(0)).alias("held"),
+    )
+
+
+def _decided_by_store(work: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verdicts on the orders of stores with few contended lines, and the lines of the others.
+
+    Orders of different stores never compete. A store's orders are tried one by one in one expression, over the room that
+    is left in each of its contended stock rows; ``STORE_LINES`` bounds what such a row gathers. Orders with lines
+    of several stores are left to the rounds, together with their stores.
+    """
+    store = F.substring_index("store_sku", "#", 1)
+    placed = work.withColumn("store", store)
+    mixed = placed.groupBy("order_id").agg(F.min("store").alias("low"), F.max("store").alias("high")).where("low != high")
+    touched = placed.join(mixed.select("order_id"), "order_id", "left_semi").select("store").distinct()
+    small = placed.groupBy("store").count().where(F.col("count") <= STORE_LINES).join(touched, "store", "left_anti")
+    few = placed.join(small.select("store"), "store", "left_semi")
+    rooms = few.groupBy("store").agg(F.map_from_entries(F.collect_set(F.struct("store_sku", "room"))).alias("rooms"))
+    tried = few.groupBy("store", "order_id", "order_ts").agg(
+        F.collect_list(F.struct("store_sku", "quantity")).alias("asked"),
+        F.map_from_entries(F.collect_list(F.struct("store_sku", "held"))).alias("held"),
+    )
+    queues = tried.groupBy("store").agg(
+        F.sort_array(F.collect_list(F.struct("order_ts", "order_id", "asked", F.map_entries("held").alias("held")))).alias("queue")
+    )
+
+    def step(done: Column, order: Column) -> Column:
+        left = done["rooms"]
+        fits = F.forall(order["asked"], lambda line: left[line["store_sku"]] >= line["quantity"])
+        held = F.map_from_entries(order["held"])
+        after = F.when(fits, F.transform_values(left, lambda sku, room: room - F.coalesce(held[sku], F.lit(0)))).otherwise(left)
+        verdict = F.struct(order["order_id"].alias("order_id"), fits.alias("reserved"))
+        return F.struct(after.alias("rooms"), F.array_append(done["verdicts"], verdict).alias("verdicts"))
+
+    nothing = F.array().cast("array<struct<order_id:string,reserved:boolean>>")
+    walked = queues.join(rooms, "store").select(
+        F.inline(F.aggregate("queue", F.struct("rooms", nothing.alias("verdicts")), step)["verdicts"])
+    )
+    return walked, placed.join(small.select("store"), "store", "left_anti").drop("store")
+
+
 def reserve_in_order(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """First come, first served reservation: per order ``reserved``, as if orders were tried one by one.
 
-    An order takes stock only if all its lines fit, so a rejected order must not count against later ones.
+    An order takes stock only if all its lines fit, so a rejected order must not count against later ones. Lines may have
+    ``keeps``: an order without it is asked like others but gives its stock back at once, so it does not count either.
+
     Before any ordering, orders with a line above what its stock row holds are rejected, and lines of stock rows that
-    suffice for everybody are set aside; only orders with lines of contended stock rows compete. Each round looks at the undecided lines with two bounds on the demand ahead of them: at least that of
+    suffice for everybody are set aside; only orders with lines of contended stock rows compete. Stores with few of those
+    are decided at once, each on its own. Larger ones take rounds: each looks at the undecided lines with two bounds on the
+    demand ahead of them: at least that of
     the orders accepted earlier, at most that plus all undecided ones. An order whose lines fit under the
     upper bound is accepted; one with a line that misses even the lower bound is rejected. The earliest
     undecided order is always decided, so the rounds end; decided lines leave the working set.
     """
-    merged = lines.groupBy("order_id", "order_ts", "store_sku").agg(F.sum("quantity").alias("quantity"))
-    stock = stock_on_hand(inventory)
-    demand = merged.groupBy("store_sku").agg(F.sum("quantity").alias("demand"))
-    rooms = demand.join(stock, "store_sku", "left").select(
-        "store_sku", "demand", F.coalesce("available", F.lit(0)).cast("bigint").alias("room")
-    )
-    asked = merged.join(rooms, "store_sku").withColumn("contended", F.col("demand") > F.col("room"))
+    asked = _contended(lines, inventory)
     first = asked.groupBy("order_id").agg(
         F.when(F.bool_or(F.col("quantity") > F.col("room")), F.lit(False))
         .when(~F.bool_or("contended"), F.lit(True)).alias("reserved")
     )
     judged = cut_lineage(asked.join(first, "order_id"))
     decided = judged.where(F.col("reserved").isNotNull()).select("order_id", "reserved").distinct()
-    work = judged.where(F.col("reserved").isNull() & F.col("contended")).drop("demand", "contended")
+    work = judged.where(F.col("reserved").isNull() & F.col("contended")).drop("contended")
+    walked, work = _decided_by_store(work)
+    decided = decided.unionByName(walked)
     if work.isEmpty():
         return decided
     while True:
         # ``room`` already excludes orders accepted in earlier rounds that come before the line.
         work = work.withColumns(
             {
-                "undecided": F.when(F.col("reserved").isNull(), F.col("quantity")).otherwise(0),
-                "accepted": F.when(F.col("reserved"), F.col("quantity")).otherwise(0),
+                "undecided": F.when(F.col("reserved").isNull(), F.col("held")).otherwise(0),
+                "accepted": F.when(F.col("reserved"), F.col("held")).otherwise(0),
             }
         )
         totals = running_totals(
@@ -109,11 +168,11 @@ def reserve_in_order(lines: DataFrame, inventory: DataFrame) -> DataFrame:
             _order_buckets(),
         )
         open_lines = totals.where(F.col("reserved").isNull()).select(
-            "order_id", "order_ts", "store_sku", "quantity",
-            (F.col("room") - F.col("taken")).alias("room"), "ahead",
+            "order_id", "order_ts", "store_sku", "quantity", "held",
+            (F.col("room") - F.col("taken")).alias("room"), (F.col("ahead") - F.col("held")).alias("ahead"),
         )
         verdicts = open_lines.groupBy("order_id").agg(
-            F.bool_and(F.col("ahead") <= F.col("room")).alias("_fits"),
+            F.bool_and(F.col("ahead") + F.col("quantity") <= F.col("room")).alias("_fits"),
             F.bool_or(F.col("quantity") > F.col("room")).alias("_misses"),
         )
         verdict = F.when(F.col("_fits"), F.lit(True)).when(F.col("_misses"), F.lit(False))

@@ -152,7 +152,7 @@ SELECT w.customer_id, w.order_ts_id, o.order_id, o.status, CAST(o.total AS DOUBL
 FROM (SELECT customer_id, CASE WHEN orderkey % 30 = 0
                           THEN left(order_ts_id, 25) || 'ORD-X' || lpad(CAST(orderkey AS VARCHAR), 25, '0')
                           ELSE order_ts_id END AS order_ts_id
-      FROM orders_v WHERE orderkey % 10 = 0) w
+      FROM orders_v) w
 LEFT JOIN orders_v o ON o.customer_id = w.customer_id AND o.order_ts_id = w.order_ts_id
 """)
 def orders_by_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:

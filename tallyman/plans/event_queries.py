@@ -235,10 +235,10 @@ def lake_scan_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dead_letter_split", ("heads_v", "as_of_v"), """
 SELECT CASE WHEN orderkey % 30 = 0 THEN 'ORD-X' || lpad(CAST(orderkey AS VARCHAR), 25, '0') ELSE order_id END AS order_id,
-       CAST(orderkey / 10 % 5 AS INTEGER) AS attempt,
-       CASE WHEN CAST(orderkey / 10 % 5 AS INTEGER) < 3 THEN 'retry'
+       CAST(orderkey % 5 AS INTEGER) AS attempt,
+       CASE WHEN CAST(orderkey % 5 AS INTEGER) < 3 THEN 'retry'
             WHEN order_ts < as_of - INTERVAL 14 DAY THEN 'expired' ELSE 'dead_letter' END AS destination
-FROM heads_v, as_of_v WHERE orderkey % 10 = 0
+FROM heads_v, as_of_v
 """)
 def dead_letter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = events.split_failed(model.messages(spark, sf_dir), model.latest_order_time(spark, sf_dir))

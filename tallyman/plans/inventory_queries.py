@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inventory, rates
 from ..sources import model
+from .oracle_views import sequential_reservation
 from .registry import query
 
 RELEASE_AT = "1998-01-01 00:00:00"
@@ -65,12 +66,21 @@ def inventory_cumulative_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.select("order_id", "store_sku", "quantity", "cumulative")
 
 
-@query("reservation_fcfs")
+_IN_ORDER = sequential_reservation("h.status = 'PENDING'", "true")
+
+
+@query("reservation_fcfs", ("heads_v", "lines_v", "inventory_v"), _IN_ORDER + "SELECT order_id, reserved FROM verdicts")
 def reservation_fcfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.reserve_in_order(_open_lines(spark, sf_dir), model.inventory(spark, sf_dir))
 
 
-@query("inventory_after_reserve")
+@query("inventory_after_reserve", ("heads_v", "lines_v", "inventory_v"), _IN_ORDER + """
+SELECT i.store_sku, i.quantity_available,
+       CAST(CASE WHEN t.taken IS NULL THEN i.quantity_reserved ELSE coalesce(i.quantity_reserved, 0) + t.taken END AS INTEGER) AS quantity_reserved
+FROM inventory_v i LEFT JOIN (
+  SELECT store_sku, sum(quantity) AS taken FROM asked JOIN verdicts USING (order_id) WHERE reserved GROUP BY store_sku) t
+ON t.store_sku = i.store_sku
+""")
 def inventory_after_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, stock = _open_lines(spark, sf_dir), model.inventory(spark, sf_dir)
     verdicts = inventory.reserve_in_order(lines, stock)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import items_text
-from ..operators import fulfilment, inventory, mutations, notifications
+from ..operators import fulfilment, mutations, notifications
 from ..sources import model
 from .access_queries import shown
+from .oracle_views import sequential_reservation
 from .registry import query
 
 _SUMMARY = ("order_id", "customer_id", "status", "payment_state", "updated_at")
@@ -125,9 +126,8 @@ def orders_cancel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("payment_apply", ("orders_v",), """
 SELECT order_id, status,
-       CASE WHEN orderkey % 2 = 0 THEN CASE WHEN orderkey % 20 <> 0 AND orderkey % 70 <> 0 THEN 'CAPTURED' ELSE 'FAILED' END
-            ELSE payment_state END AS payment_state,
-       CASE WHEN orderkey % 2 = 0 THEN o_orderdate + INTERVAL 4 DAY ELSE updated_at END AS updated_at
+       CASE WHEN orderkey % 20 <> 0 AND orderkey % 70 <> 0 THEN 'CAPTURED' ELSE 'FAILED' END AS payment_state,
+       o_orderdate + INTERVAL 4 DAY AS updated_at
 FROM orders_v JOIN orders ON o_orderkey = orderkey
 """)
 def payment_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,34 +161,33 @@ def orders_bulk_put(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN orderkey % 30 = 0 THEN 'ORD-X' || lpad(CAST(orderkey AS VARCHAR), 25, '0') ELSE order_id END AS order_id,
        CASE WHEN orderkey % 30 = 0 THEN 'not_found' WHEN status <> 'PENDING' THEN 'already_processed' ELSE 'eligible' END AS outcome,
        CASE WHEN orderkey % 30 <> 0 THEN status END AS current_status,
-       CAST(orderkey / 10 % 5 AS INTEGER) AS attempt
-FROM heads_v WHERE orderkey % 10 = 0
+       CAST(orderkey % 5 AS INTEGER) AS attempt
+FROM heads_v
 """)
 def messages_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     classified = fulfilment.classify_messages(model.messages(spark, sf_dir), _light_orders(spark, sf_dir))
     return classified.select("order_id", "outcome", "current_status", "attempt")
 
 
-def _settled(spark: SparkSession, sf_dir: str) -> mutations.Mutation:
-    orders = model.orders(spark, sf_dir).drop("items")
-    snapshot = inventory.snapshot_check(
-        model.line_facts(spark, sf_dir, statuses=("PENDING",)), model.inventory(spark, sf_dir)
-    )
+def _fulfilled(spark: SparkSession, sf_dir: str) -> fulfilment.Fulfilment:
+    orders = _light_orders(spark, sf_dir)
+    totals = model.orders(spark, sf_dir).select("order_id", "total")
     payments = mutations.apply_payments(orders, model.payment_results(spark, sf_dir)).outcome
-    as_of = model.latest_order_time(spark, sf_dir)
-    return fulfilment.settle_orders(orders, model.messages(spark, sf_dir), snapshot, payments, as_of)
-
-
-_SETTLED = """
-, short AS (
-  SELECT l.orderkey, bool_and(coalesce(quantity_available, 0) - coalesce(quantity_reserved, 0) >= quantity) AS reserved
-  FROM lines_v l JOIN heads_v h ON h.orderkey = l.orderkey
-  LEFT JOIN inventory_v i ON i.store_sku = h.store_id || '#' || l.sku GROUP BY l.orderkey),
-ended AS (
-  SELECT o.*, coalesce(s.reserved, false) AS reserved,
-         o.orderkey % 2 = 0 AND o.orderkey % 20 <> 0 AND o.orderkey % 70 <> 0 AS paid
-  FROM orders_v o LEFT JOIN short s USING (orderkey)
-  WHERE orderkey % 10 = 0 AND orderkey % 30 <> 0 AND status = 'PENDING')
+    return fulfilment.fulfil_orders(
+        orders.join(totals, "order_id"),
+        model.messages(spark, sf_dir),
+        model.line_facts(spark, sf_dir, statuses=("PENDING",)),
+        model.inventory(spark, sf_dir),
+        payments,
+        model.latest_order_time(spark, sf_dir),
+    )
+
+
+_PAID = "{0}.orderkey % 20 <> 0 AND {0}.orderkey % 70 <> 0"
+_SETTLED = sequential_reservation("h.status = 'PENDING' AND h.orderkey % 30 <> 0", _PAID.format("h")) + f"""
+, ended AS (
+  SELECT o.*, coalesce(v.reserved, false) AS reserved, {_PAID.format("o")} AS paid
+  FROM orders_v o LEFT JOIN verdicts v ON v.order_id = o.order_id WHERE o.orderkey % 30 <> 0 AND o.status = 'PENDING')
 """
 
 
@@ -199,7 +198,7 @@ SELECT order_id, customer_id, CASE WHEN reserved AND paid THEN 'CONFIRMED' ELSE
 FROM ended
 """)
 def orders_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _settled(spark, sf_dir).outcome.select("order_id", "customer_id", "status", shown("total"), "reason")
+    return _fulfilled(spark, sf_dir).outcome.select("order_id", "customer_id", "status", shown("total"), "reason")
 
 
 @query("orders_settle_table", ("orders_v", "inventory_v", "as_of_v"), _SETTLED + """
@@ -208,7 +207,18 @@ SELECT o.order_id, CASE WHEN e.orderkey IS NULL THEN o.status WHEN e.reserved AN
 FROM orders_v o LEFT JOIN ended e ON e.orderkey = o.orderkey, as_of_v
 """)
 def orders_settle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _settled(spark, sf_dir).table.select("order_id", "status", "updated_at")
+    return _fulfilled(spark, sf_dir).orders.select("order_id", "status", "updated_at")
+
+
+@query("inventory_after_settle", ("orders_v", "inventory_v"), _SETTLED + """
+SELECT i.store_sku, i.quantity_available,
+       CAST(CASE WHEN t.taken IS NULL THEN i.quantity_reserved ELSE coalesce(i.quantity_reserved, 0) + t.taken END AS INTEGER) AS quantity_reserved
+FROM inventory_v i LEFT JOIN (
+  SELECT store_sku, sum(quantity) AS taken FROM asked JOIN ended USING (order_id) WHERE reserved AND paid GROUP BY store_sku) t
+ON t.store_sku = i.store_sku
+""")
+def inventory_after_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fulfilled(spark, sf_dir).stock.select("store_sku", "quantity_available", "quantity_reserved")
 
 
 def _notification_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,45 @@ FROM requests_v
 """)
 
 
+def sequential_reservation(where: str, keeps: str) -> str:
+    """Orders tried one by one: ``asked`` lines and ``verdicts``, over ``heads_v``, ``lines_v`` and ``inventory_v``.
+
+    Orders that can never fit and those that meet no scarce stock row are decided at once; the others are walked through
+    with a list of what each scarce row has left. An order that does not keep its stock takes nothing.
+    """
+    return f"""
+, asked AS (
+  SELECT l.order_id, h.order_ts, h.store_id || '#' || l.sku AS store_sku, CAST(l.quantity AS BIGINT) AS quantity, {keeps} AS keeps
+  FROM lines_v l JOIN heads_v h ON h.orderkey = l.orderkey WHERE {where}
+), rooms AS (
+  SELECT store_sku, sum(quantity) AS demand,
+         CAST(coalesce(any_value(quantity_available), 0) - coalesce(any_value(quantity_reserved), 0) AS BIGINT) AS room
+  FROM asked LEFT JOIN inventory_v USING (store_sku) GROUP BY store_sku
+), slots AS (
+  SELECT store_sku, room, row_number() OVER (ORDER BY store_sku) AS slot FROM rooms WHERE demand > room
+), hopeless AS (
+  SELECT DISTINCT order_id FROM asked JOIN rooms USING (store_sku) WHERE quantity > room
+), queue AS (
+  SELECT *, row_number() OVER (ORDER BY order_ts, order_id) AS turn FROM (
+    SELECT order_id, order_ts, any_value(keeps) AS keeps, list(slot ORDER BY slot) AS places, list(quantity ORDER BY slot) AS wanted
+    FROM asked JOIN slots USING (store_sku) WHERE order_id NOT IN (SELECT order_id FROM hopeless) GROUP BY order_id, order_ts)
+), walk AS (
+  SELECT CAST(0 AS BIGINT) AS turn, '' AS order_id, false AS reserved, (SELECT coalesce(list(room ORDER BY slot), []) FROM slots) AS free
+  UNION ALL
+  SELECT turn, order_id, reserved,
+         CASE WHEN reserved AND keeps
+              THEN list_transform(free, lambda r, i: r - coalesce(wanted[list_position(places, i)], 0)) ELSE free END
+  FROM (SELECT q.turn, q.order_id, q.keeps, q.places, q.wanted, w.free,
+               list_bool_and(list_transform(q.places, lambda s, i: w.free[s] >= q.wanted[i])) AS reserved
+        FROM walk w JOIN queue q ON q.turn = w.turn + 1)
+), verdicts AS (
+  SELECT order_id, reserved FROM walk WHERE turn > 0
+  UNION ALL SELECT DISTINCT order_id, order_id NOT IN (SELECT order_id FROM hopeless) FROM asked
+            WHERE order_id NOT IN (SELECT order_id FROM queue)
+)
+"""
+
+
 def with_views(needs: tuple[str, ...], body: str) -> str:
     """``body`` behind the common table expressions it needs, dependencies first."""
     ordered: list[str] = []
@@ -209,4 +248,4 @@ def with_views(needs: tuple[str, ...], body: str) -> str:
     if not ordered:
         return body.strip()
     text = ",\n".join(f"{name} AS (\n{VIEWS[name][1]}\n)" for name in ordered)
-    return f"WITH {text}\n{body.strip()}"
+    return f"WITH RECURSIVE {text}\n{body.strip()}"

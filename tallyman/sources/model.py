@@ -354,8 +354,8 @@ def _unknown_id(key: Column) -> Column:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue messages for every tenth order, the ones with ``% 30 = 0`` naming an unknown order."""
-    heads = order_heads(spark, sf_dir).where(F.col("orderkey") % 10 == 0)
+    """A queue message for every order, the ones with ``% 30 = 0`` naming an unknown order."""
+    heads = order_heads(spark, sf_dir)
     known = order_id_of(F.col("orderkey"))
     order_id = F.when(F.col("orderkey") % 30 == 0, _unknown_id(F.col("orderkey"))).otherwise(known)
     return heads.select(
@@ -363,7 +363,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "customer_id",
         sort_key(F.col("order_ts"), order_id).alias("order_ts_id"),
         F.lit("PROCESS_ORDER").alias("action"),
-        (F.col("orderkey") / 10 % 5).cast("int").alias("attempt"),
+        (F.col("orderkey") % 5).cast("int").alias("attempt"),
         F.col("order_ts").alias("timestamp"),
     )
 
@@ -378,9 +378,9 @@ def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes for every second order: approved unless ``% 20 = 0``, amount zero where ``% 70 = 0``."""
+    """A payment outcome for every order: approved unless ``% 20 = 0``, amount zero where ``% 70 = 0``."""
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(key % 2 == 0).select(
+    return table(spark, sf_dir, "orders").select(
         order_id_of(key).alias("order_id"),
         (key % 20 != 0).alias("approved"),
         F.when(key % 70 == 0, F.lit(0)).otherwise(F.lit(100)).cast("decimal(23,4)").alias("amount"),

@@ -102,20 +102,7 @@ def test_snapshot_check_cases(spark):
         ("short", "b", 10, 2), ("one", "c", 10, 1), ("nostock", "z", 1, 0)}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_reservation_equals_trying_orders_one_by_one(spark, seed):
-    rng = random.Random(seed)
-    stock = {f"S#{i}": rng.randrange(5, 60) for i in range(6)}
-    lines = []
-    for o in range(80):
-        skus = rng.sample(range(7), rng.randrange(1, 4))
-        skus = [0, *skus] if rng.random() < 0.5 else skus  # one hot stock row
-        lines += [line(f"o{o:03d}", o // 4, s, rng.randrange(1, 9)) for s in skus]
-    verdicts = inventory.reserve_in_order(
-        spark.createDataFrame([(a, b, c, str(d), e) for a, b, c, d, e in lines], LINES),
-        spark.createDataFrame([(k, v, None) for k, v in stock.items()], STOCK),
-    )
-    got = {r.order_id: r.reserved for r in verdicts.collect()}
+def one_by_one(lines, stock, kept=lambda order: True):
     left, want = dict(stock), {}
     for order in sorted({x[0] for x in lines}):
         need: dict[str, int] = {}
@@ -123,11 +110,63 @@ def test_reservation_equals_trying_orders_one_by_one(spark, seed):
             if o == order:
                 need[sku] = need.get(sku, 0) + q
         want[order] = all(left.get(k, 0) >= q for k, q in need.items())
-        if want[order]:
+        if want[order] and kept(order):
             for k, q in need.items():
                 left[k] -= q
+    return want, left
+
+
+@pytest.mark.parametrize("store_lines", [inventory.STORE_LINES, 100, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_reservation_equals_trying_orders_one_by_one(spark, seed, store_lines, monkeypatch):
+    monkeypatch.setattr(inventory, "STORE_LINES", store_lines)
+    rng = random.Random(seed)
+    stock = {f"{store}#{i}": rng.randrange(5, 60) for store in "ST" for i in range(6)}
+    lines = []
+    for o in range(110):
+        skus = rng.sample(range(7), rng.randrange(1, 4))
+        skus = [0, *skus] if rng.random() < 0.5 else skus  # one hot stock row
+        store = "T" if o % 5 == 0 else "S"
+        lines += [(f"o{o:03d}", AT + dt.timedelta(minutes=o // 4), f"{store}#{s}", str(s), rng.randrange(1, 9)) for s in skus]
+    if seed:  # an order of two stores ties them together
+        lines += [("o050", AT + dt.timedelta(minutes=12), f"{store}#1", "1", 3) for store in "ST"]
+    rows = spark.createDataFrame(lines, LINES)
+    verdicts = inventory.reserve_in_order(rows, spark.createDataFrame([(k, v, None) for k, v in stock.items()], STOCK))
+    got = {r.order_id: r.reserved for r in verdicts.collect()}
+    want, _ = one_by_one(lines, stock)
     assert got == want
     assert 0 < sum(want.values()) < len(want)
+    # Every third order gives its stock back at once.
+    given_back = rows.withColumn("keeps", F.substring("order_id", 2, 3).cast("int") % 3 != 0)
+    verdicts = inventory.reserve_in_order(given_back, spark.createDataFrame([(k, v, None) for k, v in stock.items()], STOCK))
+    kept, _ = one_by_one(lines, stock, lambda order: int(order[1:]) % 3 != 0)
+    assert {r.order_id: r.reserved for r in verdicts.collect()} == kept and sum(kept.values()) > sum(want.values())
+
+
+def test_fulfilment_gives_the_stock_of_failed_payments_back(spark):
+    rng = random.Random(9)
+    stock = {f"S#{i}": rng.randrange(5, 40) for i in range(4)}
+    lines = [line(f"o{o:03d}", o // 3, s, rng.randrange(1, 9)) for o in range(60) for s in rng.sample(range(4), 2)]
+    names = sorted({x[0] for x in lines})
+    status = {o: "SHIPPED" if o.endswith("7") else "PENDING" for o in names}
+    orders = spark.createDataFrame([(o, "C", status[o], 10.0, AT) for o in names],
+                                   "order_id string, customer_id string, status string, total double, updated_at timestamp")
+    messages = spark.createDataFrame([(o,) for o in names if not o.endswith("3")] + [("none",)], "order_id string")
+    paid = {o: rng.random() < 0.6 for o in names}
+    payments = spark.createDataFrame([(o, "CAPTURED" if p else "FAILED") for o, p in paid.items() if not o.endswith("5")],
+                                     "order_id string, payment_result string")
+    done = fulfilment.fulfil_orders(
+        orders, messages, spark.createDataFrame([(a, b, c, str(d), e) for a, b, c, d, e in lines], LINES),
+        spark.createDataFrame([(k, v, None) for k, v in stock.items()], STOCK), payments, F.lit(AT))
+    ok = lambda o: paid[o] and not o.endswith("5")
+    worked = [x for x in lines if status[x[0]] == "PENDING" and not x[0].endswith("3")]
+    want, left = one_by_one(worked, stock, ok)
+    reason = {o: None if r and ok(o) else "Payment processing failed" if r else "Inventory reservation failed" for o, r in want.items()}
+    assert {r.order_id: r.reason for r in done.outcome.collect()} == reason and len(set(reason.values())) == 3
+    assert {r.order_id for r in done.orders.where("status = 'CONFIRMED'").collect()} == {o for o, r in reason.items() if r is None}
+    assert {r.store_sku: r.quantity_available - (r.quantity_reserved or 0) for r in done.stock.collect()} == left
+    assert min(left.values()) >= 0
+    assert {r.order_id for r in done.held.collect()} == {o for o, r in reason.items() if r is None}
 
 
 def test_reservations_never_exceed_stock_and_release_gives_back(spark):

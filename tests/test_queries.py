@@ -9,7 +9,7 @@ from tallyman.plans.queries import ORACLE, QUERIES
 from tools.check_queries import compare, connect
 
 WITHOUT_SQL = {
-    "sortable_ids", "lake_write", "notifications_out", "reservation_fcfs", "inventory_after_reserve",
+    "sortable_ids", "lake_write", "notifications_out",
 }
 
 

@@ -35,20 +35,25 @@ def expires_at_epoch(as_of: Column, minutes: int) -> Column:
     return F.unix_timestamp(as_of) + F.lit(minutes * 60)
 
 
-def _base32(value: Column, width: int) -> Column:
-    digits = F.conv(value.cast("string"), 10, 32)
+def _base32(value: Column, width: int, base: int = 10) -> Column:
+    digits = F.conv(value.cast("string"), base, 32)
     return F.translate(F.lpad(digits, width, "0"), CONV_DIGITS, ID_DIGITS)
 
 
 def sortable_id(prefix: str, ts: Column, *key: Column) -> Column:
     """Time-ordered id: prefix, ten digits of milliseconds, sixteen digits (80 bits) from the key.
 
-    The tail comes from hashes of the key instead of a random draw, so a re-run task gives the same id.
+    The tail comes from the MD5 of the key's texts instead of a random draw, so a re-run task gives the same id.
     """
-    forty_bits = F.lit((1 << 40) - 1)
-    high = F.xxhash64(F.lit("high"), *key).bitwiseAND(forty_bits)
-    low = F.xxhash64(F.lit("low"), *key).bitwiseAND(forty_bits)
-    return F.concat(F.lit(prefix), _base32(F.unix_millis(ts), 10), _base32(high, 8), _base32(low, 8))
+    digest = F.md5(F.concat_ws("#", *[k.cast("string") for k in key]).cast("binary"))
+    high, low = F.substring(digest, 1, 10), F.substring(digest, 11, 10)
+    return F.concat(F.lit(prefix), _base32(F.unix_millis(ts), 10), _base32(high, 8, 16), _base32(low, 8, 16))
+
+
+def id_time(value: Column) -> Column:
+    """The time that a sortable id was made for; null for other texts."""
+    digits = F.translate(F.regexp_extract(value, "^[A-Z]+-([0-9A-Z]{10})[0-9A-Z]{16}$", 1), ID_DIGITS, CONV_DIGITS)
+    return F.when(digits != "", F.timestamp_millis(F.conv(digits, 32, 10).cast("bigint")))
 
 
 def is_order_id(value: Column) -> Column:

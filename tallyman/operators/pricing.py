@@ -27,20 +27,24 @@ def price_items(items: Column) -> Column:
 
 
 def subtotal(items: Column) -> Column:
-    """Sum of quantity times price, independent of the item order and rounded once at the end."""
+    """Sum of quantity times price with all its digits, independent of the item order."""
     zero = F.lit(0).cast("decimal(38,8)")
-    added = F.aggregate(items, zero, lambda acc, x: (acc + x["quantity"] * x["unit_price"]).cast("decimal(38,8)"))
-    return added.cast("decimal(18,2)")
+    return F.aggregate(items, zero, lambda acc, x: (acc + x["quantity"] * x["unit_price"]).cast("decimal(38,8)"))
 
 
 def tax_and_total(amount: Column, tax_rate: str = TAX_RATE) -> tuple[Column, Column]:
-    tax = (amount * F.lit(tax_rate).cast("decimal(5,4)")).cast("decimal(21,4)")
-    return tax, (amount + tax).cast("decimal(23,4)")
+    """Tax and total of an amount that has not been rounded; each is rounded once."""
+    exact = amount.cast("decimal(28,8)")
+    tax = exact * F.lit(tax_rate).cast("decimal(5,4)")
+    return tax.cast("decimal(21,4)"), (exact + tax).cast("decimal(23,4)")
 
 
 def price_orders(requests: DataFrame, tax_rate: str = TAX_RATE) -> DataFrame:
-    """Add line totals, subtotal, tax and total to rows that carry an ``items`` array."""
-    priced = requests.withColumn("subtotal", subtotal(F.col("items")))
-    priced = priced.withColumn("items", price_items(F.col("items")))
-    tax, total = tax_and_total(F.col("subtotal"), tax_rate)
-    return priced.withColumns({"tax": tax, "total": total})
+    """Add line totals, subtotal, tax and total to rows that carry an ``items`` array.
+
+    Records hold line totals and the subtotal in cents, tax and total in four digits. All are rounded from the exact sum.
+    """
+    exact = subtotal(F.col("items"))
+    tax, total = tax_and_total(exact, tax_rate)
+    priced = requests.withColumns({"subtotal": exact.cast("decimal(18,2)"), "tax": tax, "total": total})
+    return priced.withColumn("items", price_items(F.col("items")))

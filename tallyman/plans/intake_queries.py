@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rolling_hash
-from ..functions.keys import is_customer_id, is_iso_datetime, is_order_id, is_uuid, sortable_id, iso_millis
+from ..functions.keys import ID_DIGITS, id_time, is_customer_id, is_iso_datetime, is_order_id, is_uuid, iso_millis, sortable_id
 from ..functions.text import items_text
 from ..operators import intake, pricing
 from ..session import cut_lineage
@@ -210,9 +210,21 @@ def rolling_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.table(spark, sf_dir, "customer").select("c_custkey", rolling_hash(text).alias("hash"))
 
 
-@query("sortable_ids")
+def _digits(value: str, width: int) -> str:
+    """Base-32 digits of a number, in DuckDB."""
+    return (f"list_aggregate(list_transform(range({width}), lambda i: substr('{ID_DIGITS}', "
+            f"CAST((({value}) >> (5 * ({width - 1} - i))) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')")
+
+
+@query("sortable_ids", ("heads_v",), f"""
+SELECT orderkey, order_ts, 'ORD-' || tail AS order_id, 'RES-' || tail AS reservation_id, order_ts AS id_time FROM (
+  SELECT orderkey, order_ts, {_digits("CAST(epoch_ms(order_ts) AS BIGINT)", 10)}
+         || {_digits("CAST('0x' || substr(digest, 1, 10) AS BIGINT)", 8)} || {_digits("CAST('0x' || substr(digest, 11, 10) AS BIGINT)", 8)} AS tail
+  FROM (SELECT *, md5(CAST(orderkey AS VARCHAR)) AS digest FROM heads_v))
+""")
 def sortable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = model.order_heads(spark, sf_dir)
     new_id = sortable_id("ORD-", F.col("order_ts"), F.col("orderkey"))
     held = sortable_id("RES-", F.col("order_ts"), F.col("orderkey"))
-    return heads.select("orderkey", "order_ts", new_id.alias("order_id"), held.alias("reservation_id"))
+    made = heads.select("orderkey", "order_ts", new_id.alias("order_id"), held.alias("reservation_id"))
+    return made.withColumn("id_time", id_time(F.col("order_id")))

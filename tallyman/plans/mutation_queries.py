@@ -229,7 +229,7 @@ def _notification_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("notifications_build", ("orders_v", "as_of_v"), """
+_NOTIFIED = """
 SELECT 'ORDER_' || status AS type, 'Order ' || order_id || ' - ' || status AS subject, order_id, customer_id,
        strftime(as_of, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS timestamp,
        CASE status WHEN 'CONFIRMED' THEN 'Your order has been confirmed!'
@@ -244,7 +244,10 @@ SELECT 'ORDER_' || status AS type, 'Order ' || order_id || ' - ' || status AS su
          WHEN 'SHIPPED' THEN 'Track your package using the tracking number in your email.'
          WHEN 'DELIVERED' THEN 'We hope you enjoy your purchase. Please leave a review!' END AS next_step
 FROM orders_v, as_of_v
-""")
+"""
+
+
+@query("notifications_build", ("orders_v", "as_of_v"), _NOTIFIED)
 def notifications_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = notifications.build_notifications(
         _notification_events(spark, sf_dir), model.latest_order_time(spark, sf_dir)
@@ -255,7 +258,23 @@ def notifications_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("notifications_out")
+def _member(name: str, value: str) -> str:
+    """One member of a JSON object, or nothing for a null. The texts here need no escapes."""
+    return f"""coalesce(',"{name}":' || {value}, '')"""
+
+
+def _text(value: str) -> str:
+    return f"""'"' || {value} || '"'"""
+
+
+@query("notifications_out", ("orders_v", "as_of_v"), f"""
+SELECT subject, order_id, customer_id, substr(type, 7) AS status, type AS event_type,
+       '{{"type":"' || type || '"' || {_member("order_id", _text("order_id"))} || {_member("customer_id", _text("customer_id"))}
+       || {_member("status", _text("substr(type, 7)"))} || {_member("timestamp", _text("timestamp"))}
+       || ',"details":{{"message":"' || message || '"' || {_member("total", "CAST(exact_total AS VARCHAR)")}
+       || {_member("reason", _text("reason"))} || {_member("next_step", _text("next_step"))} || '}}}}' AS message
+FROM ({_NOTIFIED.replace("SELECT 'ORDER_'", "SELECT CASE status WHEN 'CONFIRMED' THEN total END AS exact_total, 'ORDER_'")})
+""")
 def notifications_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _notification_events(spark, sf_dir)
     as_of = model.latest_order_time(spark, sf_dir)

@@ -3,10 +3,13 @@ from __future__ import annotations
 import datetime as dt
 import random
 import re
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from tallyman.functions import hashing, keys, ordered, text
+from tallyman.functions.keys import id_time, is_order_id, sortable_id
+from tallyman.operators.pricing import price_orders
 
 
 def expected_hash(value: str) -> str:
@@ -72,3 +75,24 @@ def test_previous_value_across_buckets(spark):
     found = {(r.k, r.seq): r.before for r in got.collect()}
     assert found[("a", 0)] is None and found[("b", 7)] is None and found[("b", 8)] is None
     assert all(found[("a", n * n)] == f"v{n - 1}" for n in range(1, 30))
+
+
+def test_ids_tell_their_time(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 5, 1, 12, 0, 1), "k"), (dt.datetime(1999, 1, 2), "other")], "at timestamp, key string")
+    made = rows.select("at", sortable_id("ORD-", F.col("at"), F.col("key"), F.lit(7)).alias("id")).orderBy("at")
+    found = made.select("at", "id", id_time(F.col("id")).alias("time"), is_order_id(F.col("id")).alias("ok")).collect()
+    assert all(r["at"] == r["time"] and r["ok"] and len(r["id"]) == 30 for r in found)
+    assert found[0]["id"] < found[1]["id"]
+    odd = spark.createDataFrame([("ORD-short",), ("",), (None,)], "id string").select(id_time(F.col("id")).alias("time"))
+    assert {r["time"] for r in odd.collect()} == {None}
+
+
+def test_totals_are_rounded_once(spark):
+    item = "array<struct<sku:string,name:string,quantity:int,unit_price:decimal(18,6)>>"
+    rows = spark.createDataFrame([([("a", "A", 3, Decimal("1.005"))],), ([("a", "A", 1, Decimal("0.004"))],), ([],)], f"items {item}")
+    found = [(r["subtotal"], r["tax"], r["total"]) for r in price_orders(rows).collect()]
+    assert found == [
+        (Decimal("3.02"), Decimal("0.2412"), Decimal("3.2562")),
+        (Decimal("0.00"), Decimal("0.0003"), Decimal("0.0043")),
+        (Decimal("0.00"), Decimal("0.0000"), Decimal("0.0000")),
+    ]

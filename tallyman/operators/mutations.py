@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CANCELLABLE_STATUSES, CANCELLED, DECLINED, NOT_CANCELLABLE, NOT_FOUND, STATUS_CHANGED
+from ..session import cut_lineage
 
-# Updates of one key are folded in blocks of this many sequence numbers, never all in one array.
-FOLD_BLOCK = 16384
+# Updates of one key are folded in blocks of this many sequence numbers, and blocks in groups of this many.
+FOLD_BLOCK = 1024
+FOLD_FAN = 1024
 _STATE = "struct<status:string,touched_at:timestamp>"
 
 
@@ -61,10 +63,9 @@ def _matches(status: Column, expected: Column) -> Column:
 
 def _fold(updates: Column, start: Column) -> Column:
     """Status and time after applying a sorted array of updates; a null start stands for any other status."""
-    begin = F.struct(start.alias("status"), F.lit(None).cast("timestamp").alias("touched_at")).cast(_STATE)
     return F.aggregate(
         updates,
-        begin,
+        _begin(start),
         lambda acc, u: F.when(
             _matches(acc["status"], u["expected_status"]),
             F.struct(u["new_status"].alias("status"), u["requested_at"].alias("touched_at")),
@@ -72,53 +73,66 @@ def _fold(updates: Column, start: Column) -> Column:
     )
 
 
+def _advance(state: Column, step: Column) -> Column:
+    """The state behind a block, from the state before it and the block as a function of the status."""
+    result = F.coalesce(F.try_element_at(step["guarded"], state["status"]), step["otherwise"])
+    return F.struct(
+        F.coalesce(result["status"], state["status"]).alias("status"),
+        F.coalesce(result["touched_at"], state["touched_at"]).alias("touched_at"),
+    ).cast(_STATE)
+
+
+def _begin(status: Column) -> Column:
+    return F.struct(status.alias("status"), F.lit(None).cast("timestamp").alias("touched_at")).cast(_STATE)
+
+
+def _as_function(guards: Column, run: Callable[[Column], Column]) -> Column:
+    """A block as a function: the end for each status that it asks for, and the one for all others."""
+    ends = F.map_from_arrays(guards, F.transform(guards, run))
+    return F.struct(ends.alias("guarded"), run(F.lit(None).cast("string")).alias("otherwise"))
+
+
+def _block_of(number: Column, size: int) -> Column:
+    return F.call_function("div", number - F.pmod(number, F.lit(size)), F.lit(size).cast("bigint"))
+
+
 def update_status(target: DataFrame, updates: DataFrame) -> Mutation:
     """Guarded status updates, applied per order in ``seq`` order.
 
     ``updates`` has ``order_id``, ``seq``, ``expected_status`` (null for no guard), ``new_status`` and
     ``requested_at``. An update applies when the order exists and its status at that moment is the expected
-    one. Each block of updates is summarized as a function from status to status; the blocks of an order are
-    then chained, and every block finds out which of its updates applied from the status it started with.
+    one.
+
+    This is a parallel scan. A block of neighbouring updates is summarized as a function from status to status; such
+    functions are composed, ``FOLD_FAN`` neighbours at a time, until one is left for each order. From the order's status
+    the statuses before each block are handed down again, and every block finds out which of its updates applied. No
+    array holds more than one block or group, however sparse the numbers are; dense ones need a single level.
     """
+    lowest, highest = updates.agg(F.min("seq"), F.max("seq")).first()
     in_block = F.struct("seq", "expected_status", "new_status", "requested_at")
-    blocks = (
-        updates.withColumn("_block", F.floor(F.col("seq") / FOLD_BLOCK))
-        .groupBy("order_id", "_block")
-        .agg(F.array_sort(F.collect_list(in_block)).alias("_updates"))
-    )
+    number = F.col("seq").cast("bigint") - F.lit(lowest or 0)  # from 0 on, so that all blocks end in one
+    folded = updates.withColumn("block", _block_of(number, FOLD_BLOCK)).groupBy("order_id", "block")
+    folded = folded.agg(F.array_sort(F.collect_list(in_block)).alias("_updates"))
     guards = F.array_distinct(F.array_compact(F.transform("_updates", lambda u: u["expected_status"])))
-    steps = blocks.select(
-        "order_id",
-        "_block",
-        F.map_from_arrays(guards, F.transform(guards, lambda g: _fold(F.col("_updates"), g))).alias("_guarded"),
-        _fold(F.col("_updates"), F.lit(None).cast("string")).alias("_otherwise"),
-    )
-    chains = steps.groupBy("order_id").agg(
-        F.array_sort(F.collect_list(F.struct("_block"))).alias("_order"),
-        F.map_from_entries(
-            F.collect_list(F.struct("_block", F.struct("_guarded", "_otherwise").alias("_step")))
-        ).alias("_steps"),
-    )
-    begin = F.struct(
-        F.col("status").alias("status"),
-        F.lit(None).cast("timestamp").alias("touched_at"),
-        F.array().cast("array<struct<block:bigint,status:string>>").alias("starts"),
-    )
+    folded = folded.withColumn("step", _as_function(guards, lambda g: _fold(F.col("_updates"), g)))
+    last = 0 if lowest is None else (highest - lowest) // FOLD_BLOCK
+    levels = [folded]
+    while last:
+        levels[-1] = cut_lineage(levels[-1], "blocks")
+        last //= FOLD_FAN
+        child = F.struct("block", "step")
+        group = levels[-1].select("order_id", _block_of(F.col("block"), FOLD_FAN).alias("_group"), child.alias("child"))
+        in_order = F.array_sort(F.collect_list("child"), lambda a, b: F.when(a["block"] < b["block"], -1).otherwise(1))
+        group = group.groupBy("order_id", F.col("_group").alias("block")).agg(in_order.alias("children"))
+        asked = F.array_distinct(F.flatten(F.transform("children", lambda c: F.map_keys(c["step"]["guarded"]))))
+        through = lambda g: F.aggregate("children", _begin(g), lambda acc, c: _advance(acc, c["step"]))
+        levels.append(group.withColumn("step", _as_function(asked, through)))
 
-    def advance(acc: Column, entry: Column) -> Column:
-        step = F.try_element_at(F.col("_steps"), entry["_block"])
-        result = F.coalesce(F.try_element_at(step["_guarded"], acc["status"]), step["_otherwise"])
-        start = F.struct(entry["_block"].alias("block"), acc["status"].alias("status"))
-        return F.struct(
-            F.coalesce(result["status"], acc["status"]).alias("status"),
-            F.coalesce(result["touched_at"], acc["touched_at"]).alias("touched_at"),
-            F.concat(acc["starts"], F.array(start)).alias("starts"),
-        )
-
-    chained = target.select("order_id", "status").join(chains, "order_id").select(
-        "order_id", F.aggregate("_order", begin, advance).alias("_end")
+    # One block is left for each order.
+    top = target.select("order_id", "status").join(levels[-1].select("order_id", "block", "step"), "order_id")
+    ends = top.select("order_id", _advance(_begin(F.col("status")), F.col("step")).alias("_end")).select(
+        "order_id", F.col("_end.status").alias("_status"), F.col("_end.touched_at").alias("_touched")
     )
-    ends = chained.select("order_id", F.col("_end.status").alias("_status"), F.col("_end.touched_at").alias("_touched"))
     table = target.join(ends, "order_id", "left").select(
         *[
             F.coalesce("_status", "status").alias(c) if c == "status"
@@ -127,9 +141,20 @@ def update_status(target: DataFrame, updates: DataFrame) -> Mutation:
             for c in target.columns
         ]
     )
-    starts = chained.select("order_id", F.explode("_end.starts").alias("_s")).select(
-        "order_id", F.col("_s.block").alias("_block"), F.col("_s.status").alias("_start"), F.lit(True).alias("_known")
-    )
+    starts = top.select("order_id", "block", F.col("status").alias("_start"), F.lit(True).alias("_known"))
+    for level in levels[:0:-1]:
+        begin = F.struct(F.col("_start").alias("status"), F.array().cast("array<struct<block:bigint,status:string>>").alias("starts"))
+        passed = F.aggregate(
+            "children", begin,
+            lambda acc, c: F.struct(
+                _advance(_begin(acc["status"]), c["step"])["status"].alias("status"),
+                F.array_append(acc["starts"], F.struct(c["block"].alias("block"), acc["status"].alias("status"))).alias("starts"),
+            ),
+        )
+        handed = level.join(starts, ["order_id", "block"]).select("order_id", F.explode(passed["starts"]).alias("_s"))
+        starts = handed.select(
+            "order_id", F.col("_s.block").alias("block"), F.col("_s.status").alias("_start"), F.lit(True).alias("_known")
+        )
     walk = F.aggregate(
         "_updates",
         F.struct(
@@ -139,20 +164,18 @@ def update_status(target: DataFrame, updates: DataFrame) -> Mutation:
         lambda acc, u: F.struct(
             F.when(_matches(acc["status"], u["expected_status"]), u["new_status"])
             .otherwise(acc["status"]).alias("status"),
-            F.concat(
+            F.array_append(
                 acc["log"],
-                F.array(
-                    F.struct(
-                        u["seq"].alias("seq"),
-                        _matches(acc["status"], u["expected_status"]).alias("applied"),
-                        acc["status"].alias("status_before"),
-                    )
+                F.struct(
+                    u["seq"].cast("bigint").alias("seq"),
+                    _matches(acc["status"], u["expected_status"]).alias("applied"),
+                    acc["status"].alias("status_before"),
                 ),
             ).alias("log"),
         ),
     )
     outcome = (
-        blocks.join(starts, ["order_id", "_block"], "left")
+        levels[0].join(starts, ["order_id", "block"], "left")
         .select("order_id", "_known", F.explode(walk["log"]).alias("_l"))
         .select(
             "order_id",

@@ -34,6 +34,7 @@ def test_cancel_outcomes(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_guarded_updates_equal_a_sequential_replay(spark, monkeypatch, seed):
     monkeypatch.setattr(mutations, "FOLD_BLOCK", 4)
+    monkeypatch.setattr(mutations, "FOLD_FAN", 3 if seed else 64)
     rng = random.Random(seed)
     status = {f"o{i}": rng.choice([*ORDER_STATUSES, "ODD"]) for i in range(6)}
     updates = []
@@ -59,6 +60,26 @@ def test_guarded_updates_equal_a_sequential_replay(spark, monkeypatch, seed):
     assert {(r.order_id, r.seq): r.applied for r in changed.outcome.collect()} == applied
 
 
+def test_sparse_updates_of_one_order(spark):
+    """Numbers far apart: no block holds more than a few updates, and no array more than one group."""
+    n = 30000
+    status = F.element_at(F.array(*[F.lit(s) for s in ("PENDING", "CONFIRMED", "SHIPPED")]), (F.pmod(F.xxhash64("id"), F.lit(3)) + 1).cast("int"))
+    wanted = F.element_at(F.array(*[F.lit(s) for s in ("PENDING", "CONFIRMED", "SHIPPED")]), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) + 1).cast("int"))
+    updates = spark.range(n).select(
+        F.lit("o").alias("order_id"), (F.col("id") * 977 * 1_000_003 - 10**12).alias("seq"), status.alias("expected_status"),
+        wanted.alias("new_status"), F.lit(AT).alias("requested_at"))
+    rows = sorted((r.seq, r.expected_status, r.new_status) for r in updates.collect())
+    changed = mutations.update_status(orders_frame(spark, [("o", "PENDING"), ("other", "FAILED")]), updates)
+    now, applied = "PENDING", {}
+    for seq, expected, new in rows:
+        applied[seq] = expected == now
+        now = new if applied[seq] else now
+    assert {r.order_id: r.status for r in changed.table.collect()} == {"o": now, "other": "FAILED"}
+    assert {r.seq: r.applied for r in changed.outcome.collect()} == applied
+    nothing = mutations.update_status(orders_frame(spark, [("o", "PENDING")]), updates.limit(0))
+    assert nothing.outcome.count() == 0 and [r.status for r in nothing.table.collect()] == ["PENDING"]
+
+
 def test_insert_if_absent_and_bulk_put(spark):
     target = spark.createDataFrame([("c", "a", "SHIPPED", 0)], "customer_id string, order_id string, status string, n int")
     incoming = spark.createDataFrame(

@@ -44,3 +44,21 @@ def test_stages_of_an_empty_table(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir), name)
     assert docs.count() == 0
+
+
+def test_near_copies_where_ids_repeat(spark):
+    import random
+
+    random.seed(3)
+    some = lambda: [random.choice("abcdefgh") + random.choice("klmnopqr") + str(random.randrange(40)) for _ in range(120)]
+    base, other, third = some(), some(), some()
+    near = [*base[:60], "changed", *base[61:]]
+    rows = [(5, base), (7, near), (7, other), (7, other), (9, third), (None, third), (None, None), (8, [])]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t if t is None else " ".join(t), None, "s", 0) for i, t in rows], columns)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"] or 0, (r["text"] or "")[:12]) for r in kept.collect()))
+    head = lambda t: " ".join(t)[:12]
+    # A row without id comes first, so the third text stays there; the clean text under the repeated id stays once.
+    assert found == sorted([(5, head(base)), (7, head(other)), (0, head(third)), (0, ""), (8, "")])

@@ -201,12 +201,12 @@ class BucketedTable:
 
     # ---- writing ----
 
-    def rewrite(self, buckets: list[int], rows: DataFrame) -> Callable[[State], None]:
+    def rewrite(self, buckets: list[int], rows: DataFrame, state: State | None = None) -> Callable[[State], None]:
         """Write the new content of some buckets; returns the change for a commit.
 
-        The commit fails if another one has changed any of these buckets since.
+        ``state`` is what the rows were made from. The commit fails if another one has changed any of these buckets since.
         """
-        base = copy.deepcopy(self.entry(self.store.state())["runs"])
+        base = copy.deepcopy(self.entry(state or self.store.state())["runs"])
         schema = json.loads(rows.schema.json())
         runs = self._write(rows)
         stray = set(runs) - {str(b) for b in buckets}
@@ -223,6 +223,15 @@ class BucketedTable:
 
         return change
 
+    def update(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[State], None]:
+        """Apply changes to the buckets of their keys; ``merge`` makes the new rows from the stored ones and the changes.
+
+        Only those buckets are read and written. Returns the change for a commit.
+        """
+        state = self.store.state()
+        buckets = self.touched(changes)
+        return self.rewrite(buckets, merge(self.read(buckets, state), changes), state)
+
     def append(self, rows: DataFrame) -> Callable[[State], None]:
         """Write more rows; returns the change for a commit."""
         schema = json.loads(rows.schema.json())

@@ -106,7 +106,7 @@ class DualWrite:
         folded = state["lists"]["log"]
         buckets = self.orders.touched(log)
         orders, items = self._applied(self.orders.read(buckets, state), self.items.read(buckets, state), log)
-        changes = [self.orders.rewrite(buckets, orders), self.items.rewrite(buckets, items)]
+        changes = [self.orders.rewrite(buckets, orders, state), self.items.rewrite(buckets, items, state)]
 
         def change(newest: State) -> None:
             if newest["lists"].get("log", [])[: len(folded)] != folded:

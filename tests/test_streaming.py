@@ -86,6 +86,31 @@ def test_lake_delivery_round_trip_with_quarantine(spark, sf_dir, tmp_path):
     assert dead.count() == still.count()
 
 
+def test_both_sinks_from_one_pass(spark, sf_dir, tmp_path, monkeypatch):
+    records = model.raw_events(spark, sf_dir).select("record_id", "data").limit(400).cache()
+    parsed = []
+    real = stream_lake.flatten_events
+    monkeypatch.setattr(stream_lake, "flatten_events", lambda *a, **k: parsed.append(1) or real(*a, **k))
+    job = stream_lake.Delivery(spark, str(tmp_path / "out"), now())
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "_quarantine", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            job.write_batch(records, 0)
+    job.write_batch(records, 0)  # the batch runs again
+    assert len(parsed) == 2
+    batch = events.with_partitions(events.lake_rows(real(records, now())), now())
+    keys = ["event_type", "order_id", "total", "item_count", "year", "month", "day"]
+    assert same(job.lake().select(keys), batch.select(keys))
+    bad = events.quarantined(real(records, now()), now())
+    assert same(job.failed().select("record_id", "error_type"), bad.select("record_id", "error_type"))
+    assert {r.attempt for r in job.failed().collect()} == {1} and job.failed().count() + batch.count() == 400
+    # As a stream, with numbers of its own.
+    records.repartition(2).write.json(str(tmp_path / "in"))
+    streamed = stream_lake.Delivery(spark, str(tmp_path / "streamed"), now())
+    drain(streamed.start(stream_lake.stream_records(spark, str(tmp_path / "in"), files=1), str(tmp_path / "cp"), interval=None))
+    assert same(streamed.lake().select(keys), batch.select(keys)) and streamed.failed().count() == bad.count()
+
+
 def test_batch_lake_write_prunes_partitions(spark, sf_dir, tmp_path):
     records = model.raw_events(spark, sf_dir)
     rows = events.with_partitions(events.lake_rows(events.flatten_events(records, now())), now()).where("year = '1997'")

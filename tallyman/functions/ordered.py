@@ -1,8 +1,10 @@
 """Ordered per-key computations that do not put a whole key into one task.
 
-A plain window partitioned by the key sorts all rows of the key in one task. Here the order is first cut
-into buckets (expressions that never decrease along the order, such as the minute of a timestamp), each
+A plain window partitioned by the key sorts all rows of the key in one task. For a key with many rows the order is
+first cut into buckets (expressions that never decrease along the order, such as the minute of a timestamp), each
 bucket is computed on its own, and only one summary row per bucket is ordered within the key.
+
+Keys with few rows need none of that: ``split_hot`` sets them apart, and they take one window over one shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +14,52 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Keys are counted in slots, so that the counts have a bounded size; a key cannot have more rows than its slot.
+SLOTS = 1 << 16
+# Rows of a key that one task may sort.
+KEY_ROWS = 1_000_000
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], key_rows: int = KEY_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose keys have at most ``key_rows`` rows each, and the others (None without any).
+
+    Runs one job over the key columns, so ``df`` should be a stored table. Keys that share a slot with a hot one count as
+    hot, too, which costs time but changes no result. The driver gets at most ``SLOTS`` numbers.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+    counts = df.groupBy(slot.alias("slot")).count().where(F.col("count") > key_rows)
+    hot = [r["slot"] for r in counts.select("slot").collect()]
+    if not hot:
+        return df, None
+    return df.where(~slot.isin(hot)), df.where(slot.isin(hot))
+
+
+def running_totals_of_stored(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: Mapping[str, str],
+    buckets: Sequence[Column],
+    key_rows: int = KEY_ROWS,
+) -> DataFrame:
+    """:func:`running_totals` of a stored table, with buckets only for keys that have many rows."""
+    few, many = split_hot(df, keys, key_rows)
+    totals = running_totals(few, keys, order, values)
+    if many is None:
+        return totals
+    return totals.unionByName(running_totals(many, keys, order, values, buckets))
+
+
+def previous_value_of_stored(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, bucket: Column, key_rows: int = KEY_ROWS
+) -> DataFrame:
+    """:func:`previous_value` of a stored table, with buckets only for keys that have many rows."""
+    few, many = split_hot(df, keys, key_rows)
+    found = few.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+    if many is None:
+        return found
+    return found.unionByName(previous_value(many, keys, order, value, out, bucket))
+
 
 def running_totals(
     df: DataFrame,

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import iso_millis
-from ..functions.ordered import previous_value
+from ..functions.ordered import previous_value_of_stored
+from ..session import cut_lineage
 from ..functions.text import computed_once
 from ..schemas import ADDRESS, DETAIL, EVENT_LABELS, EVENT_SOURCE, FEED_OPS, IMAGE, ITEMS, TAGGED_IMAGE
 
@@ -98,9 +99,13 @@ def latest_per_key(changes: DataFrame) -> DataFrame:
 
 
 def with_previous_image(changes: DataFrame) -> DataFrame:
-    """Rebuild ``old_image`` from a feed that carries new images only (one record per order and ``seq``)."""
+    """Rebuild ``old_image`` from a feed that carries new images only (one record per order and ``seq``).
+
+    The feed is stored once: it is counted by order, then ordered in one shuffle.
+    """
     bucket = F.floor(F.col("seq") / SEQUENCE_BLOCK)
-    return previous_value(changes.drop("old_image"), ["order_id"], "seq", "new_image", "old_image", bucket)
+    stored = cut_lineage(changes.drop("old_image"))
+    return previous_value_of_stored(stored, ["order_id"], "seq", "new_image", "old_image", bucket)
 
 
 def _detail(event_type: str, image: Column, stamp: Column, fields: dict[str, Column]) -> Column:

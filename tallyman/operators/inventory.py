@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import sortable_id
-from ..functions.ordered import running_totals
+from ..functions.ordered import running_totals, running_totals_of_stored
 from ..schemas import RESERVATION_MINUTES, SHORTAGE
 from ..session import cut_lineage
 
@@ -65,9 +65,12 @@ def _order_buckets() -> list[Column]:
 
 
 def cumulative_demand(lines: DataFrame) -> DataFrame:
-    """Running demand per stock row in order of ``order_ts, order_id``."""
-    return running_totals(
-        lines, ["store_sku"], ["order_ts", "order_id"], {"cumulative": "quantity"}, _order_buckets()
+    """Running demand per stock row in order of ``order_ts, order_id``.
+
+    The lines are stored once: they are counted by stock row, then ordered in one shuffle.
+    """
+    return running_totals_of_stored(
+        cut_lineage(lines), ["store_sku"], ["order_ts", "order_id"], {"cumulative": "quantity"}, _order_buckets()
     )
 
 

@@ -62,8 +62,8 @@ SELECT l.order_id, h.store_id || '#' || l.sku AS store_sku, l.quantity,
 FROM lines_v l JOIN heads_v h ON h.orderkey = l.orderkey
 """)
 def inventory_cumulative_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    demand = inventory.cumulative_demand(model.line_facts(spark, sf_dir))
-    return demand.select("order_id", "store_sku", "quantity", "cumulative")
+    lines = model.line_facts(spark, sf_dir).select("order_id", "order_ts", "store_sku", "quantity")
+    return inventory.cumulative_demand(lines).select("order_id", "store_sku", "quantity", "cumulative")
 
 
 _IN_ORDER = sequential_reservation("h.status = 'PENDING'", "true")

@@ -77,6 +77,25 @@ def test_previous_value_across_buckets(spark):
     assert all(found[("a", n * n)] == f"v{n - 1}" for n in range(1, 30))
 
 
+def test_only_hot_keys_are_cut_into_buckets(spark):
+    rows = [("hot", n // 3, n, n % 10) for n in range(300)] + [(f"k{n % 40}", n // 3, n, n % 7) for n in range(200)]
+    df = spark.createDataFrame(rows, "k string, t int, n int, v int")
+    few, many = ordered.split_hot(df, ["k"], key_rows=100)
+    assert {r["k"] for r in many.select("k").distinct().collect()} == {"hot"}
+    assert few.count() + many.count() == 500
+    plain = ordered.running_totals(df, ["k"], ["t", "n"], {"s": "v"})
+    buckets = [F.floor(F.col("t") / 20), F.floor(F.col("t") / 5)]
+    for limit in (100, 1000):
+        got = ordered.running_totals_of_stored(df, ["k"], ["t", "n"], {"s": "v"}, buckets, limit)
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, got.select(plain.columns).collect()))
+        before = ordered.previous_value_of_stored(df, ["k"], "n", "v", "before", F.floor(F.col("n") / 50), limit)
+        found = {(r["k"], r["n"]): r["before"] for r in before.collect()}
+        assert all(found["hot", n] == (None if n == 0 else (n - 1) % 10) for n in range(300))
+        assert all(found[f"k{n % 40}", n] == (None if n < 40 else (n - 40) % 7) for n in range(200))
+    empty = df.limit(0)
+    assert ordered.running_totals_of_stored(empty, ["k"], ["t", "n"], {"s": "v"}, buckets, 1).count() == 0
+
+
 def test_ids_tell_their_time(spark):
     rows = spark.createDataFrame([(dt.datetime(2024, 5, 1, 12, 0, 1), "k"), (dt.datetime(1999, 1, 2), "other")], "at timestamp, key string")
     made = rows.select("at", sortable_id("ORD-", F.col("at"), F.col("key"), F.lit(7)).alias("id")).orderBy("at")

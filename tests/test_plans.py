@@ -15,7 +15,7 @@ from tools.check_queries import compare, connect
 
 # These run a job while they are built; their plans are checked through the operators they use.
 EAGER = {"lake_write", "lake_scan_day", "reservation_fcfs", "inventory_after_reserve", "requests_idempotent",
-         "orders_from_requests", "cdc_decode_images"}
+         "orders_from_requests"}
 
 
 def plan(df) -> str:
@@ -50,6 +50,12 @@ def test_order_queries_scan_lines_once(spark, sf_dir):
         assert plan(QUERIES[name](spark, sf_dir)).count("lineitem.parquet") == 1, name
 
 
+def test_running_totals_and_previous_images_take_one_shuffle(spark, sf_dir):
+    for name in ("inventory_cumulative_demand", "cdc_old_from_lag"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert text.count("Exchange ") == 1 and "lineitem" not in text, name
+
+
 def test_change_filter_builds_no_items(spark, sf_dir):
     for name in ("cdc_op_filter", "cdc_dedup"):
         assert "collect_list" not in plan(QUERIES[name](spark, sf_dir)), name

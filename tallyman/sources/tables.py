@@ -191,13 +191,20 @@ class BucketedTable:
 
     def lookup(self, keys: DataFrame, state: State | None = None) -> DataFrame:
         """Those of the keys that are stored."""
-        state = state or self.store.state()
-        entry = self.entry(state)
-        paths = [f"{self.store.root}/{f}" for f in self.runs_with(keys, state)] if entry["schema"] else []
         asked = keys.select(*self.keys).distinct()
-        if not paths:
-            return asked.limit(0)
-        return asked.join(self._open(paths, entry).select(*self.keys), self.keys, "left_semi")
+        stored = self._opened_for(keys, state or self.store.state())
+        return asked.limit(0) if stored is None else asked.join(stored.select(*self.keys), self.keys, "left_semi")
+
+    def fetch(self, keys: DataFrame, state: State | None = None) -> DataFrame | None:
+        """The stored rows of the keys, or None before anything is stored. Needs filters."""
+        stored = self._opened_for(keys, state or self.store.state())
+        return None if stored is None else stored.join(keys.select(*self.keys).distinct(), self.keys, "left_semi")
+
+    def _opened_for(self, keys: DataFrame, state: State) -> DataFrame | None:
+        entry = self.entry(state)
+        if entry["schema"] is None:
+            return None
+        return self._open([f"{self.store.root}/{f}" for f in self.runs_with(keys, state)], entry)
 
     # ---- writing ----
 
@@ -245,8 +252,11 @@ class BucketedTable:
 
         return change
 
-    def merge(self) -> int:
-        """Merge tiers that have ``fan`` folders, one job a tier; returns the number of folders that went."""
+    def merge(self, combine: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> int:
+        """Merge tiers that have ``fan`` folders, one job a tier; returns the number of folders that went.
+
+        ``combine`` may put rows of the same keys into one, as long as it does not matter which rows it gets together.
+        """
         gone = 0
         while True:
             state = self.store.state()
@@ -263,14 +273,14 @@ class BucketedTable:
                 for b, runs in entry["runs"].items() if sum(r["level"] == level for r in runs) >= self.fan
             }
             paths = [f"{self.store.root}/{r['folder']}" for runs in full.values() for r in runs]
-            merged = self._write(self._open(paths, entry), level + 1)
+            merged = self._write(combine(self._open(paths, entry)), level + 1)
 
             def change(state: State, full=full, merged=merged) -> None:
                 runs_of = self.entry(state)["runs"]
                 for b, old in full.items():
                     if any(r not in runs_of.get(b, []) for r in old):
                         raise ConflictError(f"bucket {b} of {self.name} has changed")
-                    runs_of[b] = [r for r in runs_of[b] if r not in old] + [merged[b]]
+                    runs_of[b] = [r for r in runs_of[b] if r not in old] + ([merged[b]] if b in merged else [])
 
             self.store.commit(change)
             gone += len(paths) - len(full)

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics
 from ..schemas import TO_PICK_STATUSES
+from ..session import cut_lineage, working_path
 from ..sources import model
+from ..streaming.reports import SalesReports
 from .registry import query
 
+# Buckets of a report that a query builds for itself.
+REPORT_BUCKETS = 8
+
 
 def _with_item_count(orders: DataFrame) -> DataFrame:
     return orders.withColumn("item_count", F.size("items"))
@@ -68,3 +73,26 @@ FROM orders_v GROUP BY ROLLUP (county_id, store_id)
 """)
 def sales_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.sales_rollup(model.orders(spark, sf_dir))
+
+
+@query("sales_incremental", ("changes_v",), """
+SELECT county_id, store_id, status, date_trunc('day', order_ts) AS period, count(*) AS orders,
+       CAST(sum(total) AS DOUBLE) AS revenue, CAST(sum(item_count) AS BIGINT) AS items
+FROM (SELECT county_id, store_id, new_status AS status, order_ts, total, item_count, op,
+             row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) AS rn
+      FROM changes_v WHERE has_new OR op = 'REMOVE')
+WHERE rn = 1 AND op <> 'REMOVE' GROUP BY ALL
+""")
+def sales_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feed in two batches, the later changes first."""
+    kept = ("order_ts", "county_id", "store_id", "status", "total", "items")
+    feed = cut_lineage(
+        model.changes(spark, sf_dir).select(
+            "order_id", "seq", "op",
+            F.when(F.col("new_image").isNotNull(), F.struct(*[F.col("new_image")[c].alias(c) for c in kept])).alias("new_image"),
+        )
+    )
+    reports = SalesReports(spark, working_path(spark, "sales"), REPORT_BUCKETS)
+    for number, batch in enumerate((feed.where("seq > 1"), feed.where("seq <= 1"))):
+        reports.write_batch(batch, number)
+    return reports.sales("day", ("county_id", "store_id", "status"))

@@ -61,49 +61,40 @@ def _asked(lines: DataFrame, inventory: DataFrame) -> DataFrame:
 def _by_store(work: DataFrame, store_lines: int) -> tuple[DataFrame, DataFrame]:
     """Verdicts on the orders of stores with few contended lines, and the lines of the others.
 
-    A store's orders are tried one by one in one expression, over the room that is left in its rows and the holds that
-    will end. Orders with lines of several stores are left to the rounds, together with their stores.
+    A store's orders are tried one by one in one expression, which carries the holds that have not ended. Orders with lines of several stores are left to the rounds, together with their stores.
     """
     placed = work.withColumn("store", F.substring_index("store_sku", "#", 1))
     mixed = placed.groupBy("order_id").agg(F.min("store").alias("low"), F.max("store").alias("high")).where("low != high")
     touched = placed.join(mixed.select("order_id"), "order_id", "left_semi").select("store").distinct()
     small = placed.groupBy("store").count().where(F.col("count") <= store_lines).join(touched, "store", "left_anti")
     few = placed.join(small.select("store"), "store", "left_semi")
-    rooms = few.groupBy("store").agg(F.map_from_entries(F.collect_set(F.struct("store_sku", "room"))).alias("rooms"))
     tried = few.groupBy("store", "order_id", "order_ts").agg(
-        F.collect_list(F.struct("until", "store_sku", F.col("quantity").cast("long").alias("quantity"))).alias("asked")
+        F.collect_list(F.struct("until", "store_sku", F.col("quantity").cast("long").alias("quantity"), "room")).alias("asked")
     )
     queues = tried.groupBy("store").agg(
         F.sort_array(F.collect_list(F.struct("order_ts", "order_id", "asked"))).alias("queue")
     )
+    nothing = F.lit(0).cast("long")
 
     def step(done: Column, order: Column) -> Column:
-        over = F.filter(done["holds"], lambda hold: hold["until"] <= order["order_ts"])
+        still = F.filter(done["holds"], lambda hold: hold["until"] > order["order_ts"])
 
-        def given(sku: Column) -> Column:
+        def held(sku: Column) -> Column:
             return F.aggregate(
-                over, F.lit(0).cast("long"),
-                lambda total, hold: total + F.when(hold["store_sku"] == sku, hold["quantity"]).otherwise(F.lit(0).cast("long")),
+                still, nothing, lambda total, hold: total + F.when(hold["store_sku"] == sku, hold["quantity"]).otherwise(nothing)
             )
 
-        left = F.transform_values(done["rooms"], lambda sku, room: room + given(sku))
-        fits = F.forall(order["asked"], lambda line: left[line["store_sku"]] >= line["quantity"])
-        taken = F.when(fits, F.filter(order["asked"], lambda line: line["until"] > order["order_ts"])).otherwise(
-            F.slice(order["asked"], 1, 0)
-        )
-        held = F.map_from_entries(F.transform(taken, lambda line: F.struct(line["store_sku"], line["quantity"])))
-        after = F.transform_values(left, lambda sku, room: room - F.coalesce(held[sku], F.lit(0).cast("long")))
-        still = F.filter(done["holds"], lambda hold: hold["until"] > order["order_ts"])
+        fits = F.forall(order["asked"], lambda line: held(line["store_sku"]) + line["quantity"] <= line["room"])
+        taken = F.filter(order["asked"], lambda line: fits & (line["until"] > order["order_ts"]))
         verdict = F.struct(order["order_id"].alias("order_id"), fits.alias("reserved"))
         return F.struct(
-            after.alias("rooms"), F.concat(still, taken).alias("holds"),
-            F.array_append(done["verdicts"], verdict).alias("verdicts"),
+            F.concat(still, taken).alias("holds"), F.array_append(done["verdicts"], verdict).alias("verdicts")
         )
 
-    holds = F.array().cast("array<struct<until:timestamp,store_sku:string,quantity:bigint>>")
+    holds = F.array().cast("array<struct<until:timestamp,store_sku:string,quantity:bigint,room:bigint>>")
     verdicts = F.array().cast("array<struct<order_id:string,reserved:boolean>>")
-    start = F.struct("rooms", holds.alias("holds"), verdicts.alias("verdicts"))
-    walked = queues.join(rooms, "store").select(F.inline(F.aggregate("queue", start, step)["verdicts"]))
+    start = F.struct(holds.alias("holds"), verdicts.alias("verdicts"))
+    walked = queues.select(F.inline(F.aggregate("queue", start, step)["verdicts"]))
     return walked, placed.join(small.select("store"), "store", "left_anti").drop("store")
 
 

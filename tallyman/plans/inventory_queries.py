@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import inventory, rates
+from ..operators import inventory, ledger, rates
 from ..sources import model
-from .oracle_views import sequential_reservation
+from .oracle_views import reservation_over_time, sequential_reservation
 from .registry import query
 
 RELEASE_AT = "1998-01-01 00:00:00"
@@ -88,6 +88,45 @@ def inventory_after_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.add_reservations(stock, held).select("store_sku", "quantity_available", "quantity_reserved")
 
 
+_HELD = reservation_over_time("true", """CASE WHEN h.payment_state = 'CAPTURED' THEN h.order_ts + INTERVAL 180 DAY
+                          WHEN h.payment_state = 'PENDING' THEN h.order_ts + INTERVAL 30 MINUTE
+                          WHEN h.payment_state = 'FAILED' THEN h.order_ts END""")
+
+
+def _held_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all orders. Stock of paid orders is back with a delivery half a year on, unpaid orders hold theirs for half
+    an hour, failed ones give it back at once, refunded ones keep it from sale."""
+    payment = F.col("payment_state")
+    until = (
+        F.when(payment == "CAPTURED", F.col("order_ts") + F.expr("interval 180 days"))
+        .when(payment == "PENDING", F.col("order_ts") + F.expr("interval 30 minutes"))
+        .when(payment == "FAILED", F.col("order_ts"))
+    )
+    heads = model.order_heads(spark, sf_dir).select("orderkey", "order_ts", "store_id", until.alias("until"))
+    lines = model.order_lines(spark, sf_dir).select("orderkey", "order_id", "sku", "quantity").join(heads, "orderkey")
+    return lines.select("order_id", "order_ts", F.concat_ws("#", "store_id", "sku").alias("store_sku"), "quantity", "until")
+
+
+@query("reservation_over_time", ("heads_v", "lines_v", "inventory_v"), _HELD + "SELECT order_id, reserved FROM verdicts")
+def reservation_over_time_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.reserve_over_time(_held_lines(spark, sf_dir), model.inventory(spark, sf_dir))
+
+
+@query("inventory_held_over_time", ("heads_v", "lines_v", "inventory_v"), _HELD + """
+, moves AS (
+  SELECT store_sku, order_ts AS "at", quantity FROM asked JOIN verdicts USING (order_id) WHERE reserved AND until > order_ts
+  UNION ALL
+  SELECT store_sku, until, -quantity FROM asked JOIN verdicts USING (order_id)
+  WHERE reserved AND until > order_ts AND until < TIMESTAMP '9999-12-31')
+SELECT store_sku, "at", CAST(sum(sum(quantity)) OVER (PARTITION BY store_sku ORDER BY "at") AS BIGINT) AS held
+FROM moves GROUP BY store_sku, "at"
+""")
+def inventory_held_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _held_lines(spark, sf_dir)
+    verdicts = ledger.reserve_over_time(lines, model.inventory(spark, sf_dir))
+    return ledger.held_over_time(lines, verdicts)
+
+
 @query("inventory_release", ("heads_v", "lines_v", "inventory_v"), f"""
 SELECT i.store_sku,
        CAST(CASE WHEN d.given IS NULL THEN i.quantity_reserved

@@ -233,6 +233,50 @@ def sequential_reservation(where: str, keeps: str) -> str:
 """
 
 
+def reservation_over_time(where: str, until: str) -> str:
+    """As :func:`sequential_reservation`, with holds that end: ``asked`` lines and ``verdicts``.
+
+    The walk carries every hold that has not ended; what is free of a row is its room less the holds on it.
+    """
+    return f"""
+, asked AS (
+  SELECT l.order_id, h.order_ts, h.store_id || '#' || l.sku AS store_sku, CAST(l.quantity AS BIGINT) AS quantity,
+         coalesce({until}, TIMESTAMP '9999-12-31') AS until
+  FROM lines_v l JOIN heads_v h ON h.orderkey = l.orderkey WHERE {where}
+), rooms AS (
+  SELECT store_sku, sum(quantity) AS demand,
+         CAST(coalesce(any_value(quantity_available), 0) - coalesce(any_value(quantity_reserved), 0) AS BIGINT) AS room
+  FROM asked LEFT JOIN inventory_v USING (store_sku) GROUP BY store_sku
+), scarce AS (
+  SELECT store_sku, room FROM rooms WHERE demand > room
+), hopeless AS (
+  SELECT DISTINCT order_id FROM asked JOIN rooms USING (store_sku) WHERE quantity > room
+), queue AS (
+  SELECT *, row_number() OVER (ORDER BY order_ts, order_id) AS turn FROM (
+    SELECT order_id, order_ts, any_value(until) AS until, list(store_sku ORDER BY store_sku) AS places,
+           list(quantity ORDER BY store_sku) AS wanted, list(room ORDER BY store_sku) AS room
+    FROM asked JOIN scarce USING (store_sku) WHERE order_id NOT IN (SELECT order_id FROM hopeless) GROUP BY order_id, order_ts)
+), walk AS (
+  SELECT CAST(0 AS BIGINT) AS turn, '' AS order_id, false AS reserved,
+         CAST([] AS STRUCT(place VARCHAR, quantity BIGINT, until TIMESTAMP)[]) AS holds
+  UNION ALL
+  SELECT turn, order_id, reserved,
+         CASE WHEN reserved THEN list_concat(holds, list_transform(places, lambda p, i: {{place: p, quantity: wanted[i], until: until}}))
+              ELSE holds END
+  FROM (SELECT turn, order_id, until, places, wanted, holds,
+               list_bool_and(list_transform(places, lambda p, i: wanted[i] <= room[i]
+                 - coalesce(list_sum(list_transform(list_filter(holds, lambda h: h.place = p), lambda h: h.quantity)), 0))) AS reserved
+        FROM (SELECT q.turn, q.order_id, q.until, q.places, q.wanted, q.room,
+                     list_filter(w.holds, lambda h: h.until > q.order_ts) AS holds
+              FROM walk w JOIN queue q ON q.turn = w.turn + 1))
+), verdicts AS (
+  SELECT order_id, reserved FROM walk WHERE turn > 0
+  UNION ALL SELECT DISTINCT order_id, order_id NOT IN (SELECT order_id FROM hopeless) FROM asked
+            WHERE order_id NOT IN (SELECT order_id FROM queue)
+)
+"""
+
+
 def with_views(needs: tuple[str, ...], body: str) -> str:
     """``body`` behind the common table expressions it needs, dependencies first."""
     ordered: list[str] = []

@@ -57,6 +57,11 @@ def test_running_totals_and_previous_images_take_one_shuffle(spark, sf_dir):
         assert text.count("Exchange ") == 1 and "lineitem" not in text, name
 
 
+@pytest.mark.parametrize("name", ["legacy_apply_changes", "legacy_soft_delete"])
+def test_flat_orders_nest_no_items(spark, sf_dir, name):
+    assert "collect_list" not in plan(QUERIES[name](spark, sf_dir))
+
+
 def test_change_filter_builds_no_items(spark, sf_dir):
     for name in ("cdc_op_filter", "cdc_dedup"):
         assert "collect_list" not in plan(QUERIES[name](spark, sf_dir)), name

@@ -57,7 +57,7 @@ def test_running_totals_and_previous_images_take_one_shuffle(spark, sf_dir):
         assert text.count("Exchange ") == 1 and "lineitem" not in text, name
 
 
-@pytest.mark.parametrize("name", ["legacy_apply_changes", "legacy_soft_delete"])
+@pytest.mark.parametrize("name", ["legacy_apply_changes", "legacy_upsert_orders", "legacy_soft_delete"])
 def test_flat_orders_nest_no_items(spark, sf_dir, name):
     assert "collect_list" not in plan(QUERIES[name](spark, sf_dir))
 

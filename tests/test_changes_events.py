@@ -186,3 +186,25 @@ def test_an_order_with_very_many_items_is_one_document(spark):
     rows = {r.order_id: r for r in legacy.nest_orders(orders, legacy_frames(spark, {}, items)[1]).collect()}
     assert len(rows) == 2 and len(rows["big"]["items"]) == 6000 and len(rows["small"]["items"]) == 1
     assert [float(rows[o].total) for o in ("big", "small")] == [5.0, 7.0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_are_derived_in_compiled_code(spark, sf_dir):
+    """A lambda in the feed or in the events would be evaluated row by row outside of the compiled stage."""
+    derived = changes.derive_events(model.changes(spark, sf_dir), ops=("INSERT", "MODIFY", "REMOVE"))
+    assert "lambda" not in plan_of(derived)
+
+
+def test_one_change_gives_all_its_events_with_their_own_fields(spark):
+    paid = image("O", "CONFIRMED", "CAPTURED", items=(("A", 2),))
+    rows = changes.derive_events(feed(spark, [("O", 2, "MODIFY", paid, image("O"))])).collect()
+    assert [r["detail"]["event_type"] for r in rows] == ["ORDER_STATUS_CHANGED", "ORDER_CONFIRMED", "PAYMENT_STATE_CHANGED"]
+    assert [r["detail_type"] for r in rows] == [EVENT_LABELS[r["detail"]["event_type"]] for r in rows]
+    told = [{k for k, v in r["detail"].asDict().items() if v is not None} for r in rows]
+    common = {"event_type", "order_id", "customer_id", "timestamp"}
+    assert told[0] == common | {"store_id", "county_id", "old_status", "new_status"}
+    assert told[1] == common | {"store_id", "county_id", "items", "shipping_address"}
+    assert told[2] == common | {"old_state", "new_state"}

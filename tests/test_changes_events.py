@@ -208,3 +208,8 @@ def test_one_change_gives_all_its_events_with_their_own_fields(spark):
     assert told[0] == common | {"store_id", "county_id", "old_status", "new_status"}
     assert told[1] == common | {"store_id", "county_id", "items", "shipping_address"}
     assert told[2] == common | {"old_state", "new_state"}
+
+
+def test_a_record_is_parsed_once_for_its_error(spark):
+    records = spark.createDataFrame([("R", "e30=")], "record_id string, data string")
+    assert plan_of(events.decode_records(records)).count("parseJson") == 1

@@ -9,16 +9,19 @@ from ..schemas import LAKE
 
 PARTITIONS = ("year", "month", "day")
 ROWS_PER_FILE = 5_000_000
+# Shuffle buckets of a delivery, more than there are days in a usual one: what the planner splits then holds about one day.
+DAY_BUCKETS = 4096
 
 
 def write_lake(rows: DataFrame, path: str, mode: str = "append", rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write rows that carry year, month and day.
 
     The rebalance hint brings the rows of a day together, so that a day gets few files, and lets the
-    adaptive planner split a day that is much larger than the others over several tasks.
+    adaptive planner split a day that is much larger than the others over several tasks. Small buckets are put together
+    into one task; a bucket of many days that is split would write a file for each of its days from every task.
     """
     (
-        rows.hint("rebalance", *PARTITIONS)
+        rows.hint("rebalance", DAY_BUCKETS, *PARTITIONS)
         .write.mode(mode)
         .partitionBy(*PARTITIONS)
         .option("compression", "gzip")

@@ -271,3 +271,22 @@ def test_messages_round_trip_and_jdbc_ranges(spark, sf_dir, tmp_path):
     assert spark.table("queue").count() == sent.count()
     assert relational.id_ranges(["m", "c"]) == [
         "order_id <= 'c'", "order_id > 'c' and order_id <= 'm'", "order_id > 'm'"]
+
+
+def test_files_of_the_lake_follow_its_days(spark, tmp_path):
+    """A shuffle partition that holds many days and is split must not write a file for each of its days from every task."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 80).cast("int"))
+    rows = spark.range(0, 16000, 1, 16).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("order_id"), F.date_format(day, "yyyy").alias("year"),
+        F.date_format(day, "MM").alias("month"), F.date_format(day, "dd").alias("day"),
+    )
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        lake.write_lake(rows, f"{tmp_path}/lake")
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert len(list((tmp_path / "lake").glob("*/*/*/*.json.gz"))) < 2 * 80
+    assert spark.read.json(f"{tmp_path}/lake").count() == 16000

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import inventory, ledger, rates
+from ..session import cut_lineage
 from ..sources import model
 from .oracle_views import reservation_over_time, sequential_reservation
 from .registry import query
@@ -122,7 +123,8 @@ SELECT store_sku, "at", CAST(sum(sum(quantity)) OVER (PARTITION BY store_sku ORD
 FROM moves GROUP BY store_sku, "at"
 """)
 def inventory_held_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _held_lines(spark, sf_dir)
+    # The lines are read for the verdicts and for what is held.
+    lines = cut_lineage(_held_lines(spark, sf_dir), "held-lines")
     verdicts = ledger.reserve_over_time(lines, model.inventory(spark, sf_dir))
     return ledger.held_over_time(lines, verdicts)
 

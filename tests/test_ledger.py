@@ -90,3 +90,16 @@ def test_no_orders_and_no_stock(spark):
     assert ledger.reserve_over_time(empty, stock_table(spark, {"S#a": 1})).count() == 0
     lines = spark.createDataFrame([("o", at(0), "S#z", 1, None), ("p", at(0), None, 1, None)], LINES)
     assert found(ledger.reserve_over_time(lines, stock_table(spark, {"S#a": 1}))) == {"o": False}
+
+
+def test_a_store_leaves_the_rounds_when_few_of_its_lines_are_left(spark, monkeypatch):
+    chain = [(f"o{n:02d}", at(n), "S#a", 3, at(n + 2)) for n in range(20)]
+    pairs = [(f"p{s}{n}", at(n), f"S#b{s}", 5, None) for s in range(8) for n in range(2)]
+    stock = {"S#a": 5} | {f"S#b{s}": 9 for s in range(8)}
+    stored = []
+    cut = ledger.cut_lineage
+    monkeypatch.setattr(ledger, "cut_lineage", lambda *args: stored.append(1) or cut(*args))
+    got = ledger.reserve_over_time(spark.createDataFrame(chain + pairs, LINES), stock_table(spark, stock), 30)
+    assert found(got) == one_by_one(chain + pairs, stock)
+    # Sums, demand, first verdicts and open lines, then two tables for each of two rounds; the chain alone would take twenty.
+    assert len(stored) <= 8

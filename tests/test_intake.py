@@ -139,3 +139,19 @@ def test_numbers_that_records_cannot_hold_are_errors_not_nulls(spark):
         [("items", "too_big")]]
     built = intake.build_orders(intake.accepted(validated)).orderBy("request_id").collect()
     assert [float(r.subtotal) for r in built] == [0.01, 3.02] and all(r.total is not None for r in built)
+
+
+def test_items_and_parts_of_a_request_are_read_by_one_cast_each(spark):
+    plan = checked(spark, [("{}", "key-00000001")])._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "array<variant>" not in plan and "$.unit_price" not in plan
+
+
+def test_odd_items_keep_their_places(spark):
+    items = [ITEM, None, 5, [], {}, {**ITEM, "sku": None, "quantity": "2", "unit_price": True}]
+    row = checked(spark, [(json.dumps({**REQUEST, "items": items}), "key-00000001")]).first()
+    assert [e.field for e in row.errors] == [
+        "items.1", "items.2", "items.3", *[f"items.4.{name}" for name in ITEM], "items.5.sku", "items.5.quantity",
+        "items.5.unit_price"]
+    assert {e.code for e in row.errors} == {"invalid_type"}
+    read = [None if x is None else x.asDict() for x in row.request["items"]]
+    assert len(read) == 6 and read[1] == read[2] == read[3] == dict.fromkeys(ITEM) and read[5]["sku"] is None

@@ -84,12 +84,13 @@ FROM (SELECT county_id, store_id, new_status AS status, order_ts, total, item_co
 WHERE rn = 1 AND op <> 'REMOVE' GROUP BY ALL
 """)
 def sales_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole feed in two batches, the later changes first."""
-    kept = ("order_ts", "county_id", "store_id", "status", "total", "items")
+    """The whole feed in two batches, the later changes first. Items are counted before the feed is stored, not stored with it."""
+    new = F.col("new_image")
+    kept = [new[c].alias(c) for c in ("order_ts", "county_id", "store_id", "status", "total")]
+    kept.append(F.size(new["items"]).alias("item_count"))
     feed = cut_lineage(
         model.changes(spark, sf_dir).select(
-            "order_id", "seq", "op",
-            F.when(F.col("new_image").isNotNull(), F.struct(*[F.col("new_image")[c].alias(c) for c in kept])).alias("new_image"),
+            "order_id", "seq", "op", F.when(new.isNotNull(), F.struct(*kept)).alias("new_image")
         )
     )
     reports = SalesReports(spark, working_path(spark, "sales"), REPORT_BUCKETS)

@@ -8,7 +8,8 @@ next manifest in place, which fails if another writer was first. Whatever fails
 * ``append`` adds a folder to the buckets that a batch touches. Folders are merged in tiers, ``FAN`` of one tier to one of
   the next, so a bucket of n batches has about ``FAN * log(n)`` folders and a row is written about ``log(n)`` times.
 * ``lookup`` finds the keys that are stored. Each folder of a bucket has a Bloom filter, kept as rows of bits; only folders
-  whose filter has a key are opened.
+  whose filter has a key are opened. A bucket asked for more than ``FILTERED_KEYS`` keys is opened without its filters: each
+  would say yes to one of them, if only by chance.
 
 The manifest grows with buckets and tiers, not with batches; the newest ``KEPT`` manifests stay, so finding the state is
 one listing. Folders that no manifest names are left to the caller's cleanup policy.
@@ -33,6 +34,8 @@ KEPT = 10
 RETRIES = 10
 BITS_PER_KEY = 16
 HASHES = 5
+# A filter of 16 to 32 bits a key says yes to one of at most 16,000 keys it does not have, so to one of so many almost surely.
+FILTERED_KEYS = 1 << 16
 
 State = dict[str, object]
 
@@ -163,13 +166,22 @@ class BucketedTable:
             run["filter"] = self.store.relative(f"{folder}-filter/_bucket={bucket}")
             run["bits"] = size
 
+    def _asked(self, keys: DataFrame) -> dict[int, int]:
+        """Buckets of the keys and about how many different keys each is asked for."""
+        distinct = F.approx_count_distinct(F.xxhash64(*self.keys)).alias("keys")
+        counted = keys.groupBy(self.bucket().alias("bucket")).agg(distinct)
+        return {r["bucket"]: r["keys"] for r in counted.collect()}
+
     def runs_with(self, keys: DataFrame, state: State | None = None) -> list[str]:
-        """Folders in which one of the keys may be stored; those without a key's bits are never opened."""
+        """Folders in which one of the keys may be stored; those without a key's bits are not opened for few keys."""
         entry = self.entry(state or self.store.state())
-        runs = {b: entry["runs"].get(str(b), []) for b in self.touched(keys)}
+        wanted = self._asked(keys)
+        runs = {b: entry["runs"].get(str(b), []) for b in sorted(wanted)}
+        opened = [run["folder"] for b, r in runs.items() if wanted[b] > FILTERED_KEYS for run in r]
+        runs = {b: r for b, r in runs.items() if wanted[b] <= FILTERED_KEYS}
         filters = [run["filter"] for r in runs.values() for run in r]
         if not filters:
-            return []
+            return opened
         spark = self.store.spark
         stored = spark.read.parquet(*[f"{self.store.root}/{f}" for f in filters]).withColumn(
             "run", F.regexp_extract(F.input_file_name(), r"([0-9a-f]{32})-filter/_bucket=", 1)
@@ -177,7 +189,7 @@ class BucketedTable:
         sizes = spark.createDataFrame(
             sorted({(run["folder"].split("/")[1], run["bits"]) for r in runs.values() for run in r}), "run string, size long"
         )
-        asked = keys.select(*self.keys).distinct().withColumn("bucket", self.bucket())
+        asked = keys.select(*self.keys).distinct().withColumn("bucket", self.bucket()).where(F.col("bucket").isin(*runs))
         asked = self._bits(asked.join(sizes.select("size").distinct()), F.col("size"))
         hits = (
             asked.join(stored.join(sizes, "run"), ["bucket", "size", "word"])
@@ -187,7 +199,7 @@ class BucketedTable:
             .where(F.col("count") == HASHES)
         )
         found = {(r["bucket"], r["run"]) for r in hits.select("bucket", "run").distinct().collect()}
-        return [run["folder"] for b, r in runs.items() for run in r if (b, run["folder"].split("/")[1]) in found]
+        return opened + [run["folder"] for b, r in runs.items() for run in r if (b, run["folder"].split("/")[1]) in found]
 
     def lookup(self, keys: DataFrame, state: State | None = None) -> DataFrame:
         """Those of the keys that are stored."""

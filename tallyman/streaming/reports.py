@@ -20,13 +20,18 @@ EVENT_CELL = ["year", "month", "day", "event_type"]
 
 
 def order_facts(changes: DataFrame) -> DataFrame:
-    """What the sales reports need of each change; ``live`` is false for a removal. Changes without images say nothing."""
+    """What the sales reports need of each change; ``live`` is false for a removal. Changes without images say nothing.
+
+    Images may hold ``item_count`` in place of ``items``.
+    """
     new, removed = F.col("new_image"), F.col("op") == "REMOVE"
+    counted = "item_count" in changes.schema["new_image"].dataType.names
+    item_count = new["item_count"] if counted else F.size(new["items"])
     told = changes.where(F.col("order_id").isNotNull() & (new.isNotNull() | removed))
     return told.select(
         "order_id", "seq", (~removed).alias("live"), new["order_ts"].alias("order_ts"),
         new["county_id"].alias("county_id"), new["store_id"].alias("store_id"), new["status"].alias("status"),
-        new["total"].cast("decimal(23,4)").alias("total"), F.size(new["items"]).cast("long").alias("item_count"),
+        new["total"].cast("decimal(23,4)").alias("total"), item_count.cast("long").alias("item_count"),
     )
 
 

@@ -107,3 +107,10 @@ def test_lake_reports_follow_the_lake(spark, sf_dir, tmp_path):
     assert same(kept.events_by_type(), analytics.lake_events_by_type(rows))
     assert same(kept.current_status(), analytics.lake_current_status(rows))
     assert kept.events_by_type().agg(F.sum("events")).first()[0] == rows.count()
+
+
+def test_facts_of_images_that_hold_counts_for_items(spark, sf_dir):
+    changes = model.changes(spark, sf_dir).where("orderkey < 300")
+    new = F.col("new_image")
+    light = changes.withColumn("new_image", new.withField("item_count", F.size(new["items"])).dropFields("items"))
+    assert same(reports.order_facts(light), reports.order_facts(changes))

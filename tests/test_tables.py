@@ -259,3 +259,17 @@ def test_intake_over_many_batches(spark, tmp_path, monkeypatch):
         job.write_batch(batch(8), 8)
     intake.Intake(spark, str(tmp_path), buckets=2, fan=3).write_batch(batch(8), 8)
     assert job.orders().count() == 18
+
+
+def test_many_keys_open_their_buckets_without_filters(spark, tmp_path, monkeypatch):
+    table = tables.BucketedTable(tables.Store(spark, str(tmp_path)), "t", ["key"], buckets=2, filters=True)
+    for n in range(2):
+        table.store.commit(table.append(rows(spark, n * 100, n * 100 + 100)))
+    monkeypatch.setattr(tables, "FILTERED_KEYS", 20)
+    asked = rows(spark, 50, 150).unionByName(rows(spark, 5000, 5100)).unionByName(rows(spark, 60, 61))
+    few = rows(spark, 33, 34)
+    few_runs = table.runs_with(few)
+    monkeypatch.setattr(table, "_bits", lambda *a: pytest.fail("filters were read"))
+    assert same(table.lookup(asked), rows(spark, 50, 150).select("key"))
+    assert same(table.fetch(asked), rows(spark, 50, 150).select(table.read().columns))
+    assert len(few_runs) == 1 and set(few_runs) < set(table.runs_with(asked))

@@ -67,6 +67,10 @@ def test_change_filter_builds_no_items(spark, sf_dir):
         assert "collect_list" not in plan(QUERIES[name](spark, sf_dir)), name
 
 
+def test_a_look_up_of_nearly_all_orders_restricts_heads_only(spark, sf_dir):
+    assert plan(QUERIES["orders_by_composite_key"](spark, sf_dir)).count("LeftSemi") == 1
+
+
 def test_status_queries_do_not_read_lines(spark, sf_dir):
     for name in ("orders_cancel", "payment_apply", "messages_eligible"):
         assert "lineitem" not in plan(QUERIES[name](spark, sf_dir))

@@ -8,7 +8,8 @@ number from the first count on, so the relations stay small and no phrase is tol
 
 A piece never crosses chunks, and a chunk sends a count for each distinct phrase, so neither a frequent word nor a hot
 language or source meets in one task. Memory follows the chunk (``CHUNK_BYTES``); a single piece that is longer than
-that is a chunk of its own.
+that is a chunk of its own. What a chunk lists is stored in rows of bounded size, and the stored tables in pages and row
+groups of bounded size, so what a task holds does not follow the number of chunks it handles.
 
 Definitions: A-Z are lowered; ``[.,;:!?\\x0A-\\x0D]`` end a piece, blanks and tabs a word. A null text is empty, a null
 language is ``und``. Repeated rows, and rows that share an id, count as often as they occur. Other columns are ignored.
@@ -35,6 +36,15 @@ MAX_WORDS = 3
 MIN_COUNT = 10
 TOP = 2000
 INSIDE_PERCENT = 50
+# Positions, and words or pairs, of a chunk that one stored row holds.
+ROW_POSITIONS = 1 << 17
+ROW_ITEMS = 1 << 15
+# Rows are large: the writer looks at its sizes after a few, where it would gather a hundred first.
+STORED = {
+    "parquet.block.size": str(2 << 20),
+    "parquet.page.size.row.check.min": "4",
+    "parquet.page.size.row.check.max": "1000",
+}
 # Answers to chunks that a task packs at a time.
 MARKS_AT_ONCE = 1 << 20
 # The best phrases of a language are chosen in this many parts first.
@@ -47,10 +57,31 @@ _KINDS[list(b".,;:!?\n\x0b\x0c\r")] = _BREAK
 
 _ITEM = pa.struct([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
 _WORDS = pa.struct([("word", pa.string()), ("n", pa.int64())])
+_CHUNK = [("chunk", pa.int64()), ("part", pa.int64()), ("codes", pa.binary())]
+_FIRST = pa.schema([*_CHUNK, ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.list_(_WORDS))])
+_LONGER = pa.schema([*_CHUNK, ("pairs", pa.list_(_ITEM))])
 
 
-def _one_list(items: pa.StructArray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
+def _stored(schema: pa.Schema, first: dict[str, object], codes: np.ndarray, items: pa.StructArray) -> Iterator[pa.RecordBatch]:
+    """A chunk as rows of bounded size: its codes in parts, then its items in parts; ``part`` is the place of the first one.
+
+    ``first`` is what the first row has besides; all rows have its ``chunk`` and ``lang``.
+    """
+    whole, listed = {f.name: first.get(f.name) for f in schema}, schema.names[-1]
+
+    def row(part: int, packed: bytes | None, some: pa.StructArray | None) -> pa.RecordBatch:
+        nonlocal whole
+        offsets = pa.array([0, 0 if some is None else len(some)], pa.int32())
+        lists = pa.nulls(1, schema.field(listed).type) if some is None else pa.ListArray.from_arrays(offsets, some)
+        values = whole | {"part": part, "codes": packed}
+        columns = [lists if f.name == listed else pa.array([values[f.name]], f.type) for f in schema]
+        whole = {name: value if name in ("chunk", "lang") else None for name, value in whole.items()}
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    for low in range(0, len(codes), ROW_POSITIONS):
+        yield row(low, pack(codes[low : low + ROW_POSITIONS]), None)
+    for low in range(0, len(items), ROW_ITEMS):
+        yield row(low, None, items[low : low + ROW_ITEMS])
 
 
 def stretches(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
@@ -74,13 +105,14 @@ def positions(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     word = kinds == _WORD
     edge = np.diff(np.concatenate([[False], word, [False]]).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    del edge
     if not len(starts):
         return pa.array([], pa.string()), np.zeros(0, np.int32)
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
     letters = LOWER[data[word]]
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
-    piece = np.cumsum(kinds == _BREAK, dtype=np.int32)[starts]
+    piece = np.searchsorted(np.flatnonzero(kinds == _BREAK), starts)
     place = np.arange(len(starts))
     place[1:] += np.cumsum(piece[1:] != piece[:-1])
     codes = np.full(place[-1] + 1, -1, np.int32)
@@ -89,22 +121,16 @@ def positions(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _occurrences(chunk_bytes: int):
-    """Rows of texts to one row for each chunk: its distinct words with counts, and the word at each position."""
+    """Rows of texts to rows for each chunk: its distinct words with counts, and the word at each position."""
 
     def chunk(lang: str, texts: list[bytes], number: Iterator[int]) -> Iterator[pa.RecordBatch]:
         for data in stretches(np.frombuffer(b"\n".join(texts), np.uint8), chunk_bytes):
             words, codes = positions(data)
             if len(codes):
                 counts = np.bincount(codes[codes >= 0], minlength=len(words))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "chunk": pa.array([next(number)], pa.int64()),
-                        "lang": pa.array([lang], pa.string()),
-                        "n_words": pa.array([counts.sum()], pa.int64()),
-                        "words": _one_list(pa.StructArray.from_arrays([words, pa.array(counts, pa.int64())], fields=list(_WORDS))),
-                        "codes": pa.array([pack(codes)], pa.binary()),
-                    }
-                )
+                items = pa.StructArray.from_arrays([words, pa.array(counts, pa.int64())], fields=list(_WORDS))
+                first = {"chunk": next(number), "lang": lang, "n_words": int(counts.sum())}
+                yield from _stored(_FIRST, first, codes, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -136,10 +162,10 @@ def _longer(relation: pa.Table, frequent: pa.Table) -> pa.Table:
 
     ``frequent`` holds, packed, which of the chunk's distinct phrases are frequent, and their numbers.
     """
-    empty = pa.table({"chunk": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "pairs": pa.array([], pa.list_(_ITEM))})
+    empty = _LONGER.empty_table()
     if not len(relation) or not len(frequent):
         return empty
-    codes = unpack(relation.column("codes")[0].as_py())[0]
+    codes = np.concatenate([unpack(part)[0] for part in relation.sort_by("part").column("codes").to_pylist()])
     ids = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)  # the last one is what -1 reads
     for marks in frequent.column("marks").to_pylist():
         pos, numbers = unpack(marks)
@@ -153,7 +179,7 @@ def _longer(relation: pa.Table, frequent: pa.Table) -> pa.Table:
     joined[at] = place
     left, right = ids[pairs // len(ids)], ids[pairs % len(ids)]
     items = pa.StructArray.from_arrays([pa.array(left), pa.array(right), pa.array(counts, pa.int64())], fields=list(_ITEM))
-    return pa.table({"chunk": relation.column("chunk"), "codes": pa.array([pack(joined)], pa.binary()), "pairs": _one_list(items)})
+    return pa.Table.from_batches(_stored(_LONGER, {"chunk": relation.column("chunk")[0].as_py()}, joined, items), _LONGER)
 
 
 def _answers(keys: list[tuple[str, pa.DataType]]):
@@ -206,7 +232,7 @@ def _frequent(occurring: DataFrame, keys: list[str], min_count: int) -> tuple[Da
     answers = counted.filter(F.col("f") >= min_count).drop("n").mapInArrow(
         _answers(types), f"{schema}, f long, id long, asker long, marks binary"
     )
-    answers = cut_lineage(answers, "frequent")
+    answers = cut_lineage(answers, "frequent", **STORED)
     return answers.filter("id IS NOT NULL").drop("asker", "marks"), answers.filter("asker IS NOT NULL").select("asker", "marks")
 
 
@@ -217,26 +243,35 @@ def frequent_phrases(
 
     Columns: ``lang``, ``phrase``, ``n_words`` (of the phrase), ``f``; and ``lang``, ``n``.
     """
+
+    def listed(relation: DataFrame, items: str, *keys: str) -> DataFrame:
+        rows = relation.filter(F.col(items).isNotNull()).select("chunk", "part", *keys, F.posexplode(items).alias("at", "col"))
+        return rows.withColumn("pos", (F.col("part") + F.col("at")).cast("int"))
+
     texts = documents.filter(F.octet_length("text") > 0).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     relation = cut_lineage(
         texts.mapInArrow(
-            _occurrences(chunk_bytes), "chunk long, lang string, n_words long, words array<struct<word:string,n:long>>, codes binary"
+            _occurrences(chunk_bytes),
+            "chunk long, part long, codes binary, lang string, n_words long, words array<struct<word:string,n:long>>",
         ),
         "occurrences",
+        **STORED,
     )
     totals = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    words = relation.select("chunk", "lang", F.posexplode("words")).select("chunk", "pos", "lang", "col.word", "col.n")
+    words = listed(relation, "words", "lang").select("chunk", "pos", "lang", "col.word", "col.n")
     groups, marks = _frequent(words, ["lang", "word"], min_count)
     known = groups.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     phrases = known.withColumn("n_words", F.lit(1))
     for size in range(2, max_words + 1):
+        placed = relation.filter("codes IS NOT NULL").select("chunk", "part", "codes")
         relation = cut_lineage(
-            relation.select("chunk", "codes").groupBy("chunk").cogroup(marks.groupBy("asker")).applyInArrow(
-                _longer, "chunk long, codes binary, pairs array<struct<left:long,right:long,n:long>>"
+            placed.groupBy("chunk").cogroup(marks.groupBy("asker")).applyInArrow(
+                _longer, "chunk long, part long, codes binary, pairs array<struct<left:long,right:long,n:long>>"
             ),
             "occurrences",
+            **STORED,
         )
-        pairs = relation.select("chunk", F.posexplode("pairs")).select("chunk", "pos", "col.left", "col.right", "col.n")
+        pairs = listed(relation, "pairs").select("chunk", "pos", "col.left", "col.right", "col.n")
         groups, marks = _frequent(pairs, ["left", "right"], min_count)
         heads = known.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"))
         tails = known.select(F.col("id").alias("right"), "last")

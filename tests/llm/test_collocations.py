@@ -85,3 +85,27 @@ def test_pieces_are_never_cut():
     parts = [p.tobytes() for p in op.stretches(data, 10)]
     assert b"".join(parts) == data.tobytes()
     assert parts == [b"one two three.", b" four five six seven,", b" eight"]
+
+
+def test_what_a_chunk_lists_is_stored_in_rows_of_bounded_size(spark, monkeypatch):
+    random.seed(5)
+    words = [f"w{i}" for i in range(200)]
+    lists = [[*random.choices(words, k=3500), *(f"rare{i}-{j}" for j in range(900))] for i in range(40)]
+    rows = [(" ".join(x), "en") for x in lists]
+    stored, cut = {}, op.cut_lineage
+
+    def measured(frame, *args, **options):
+        table = cut(frame, *args, **options)
+        for name, kind in table.dtypes:
+            if kind.startswith("array"):
+                n, most, total = table.selectExpr(f"count({name})", f"max(size({name}))", f"sum(size({name}))").first()
+                stored.setdefault(name, []).append((n, most, total))
+            if name == "codes":
+                assert table.selectExpr("max(octet_length(codes))").first()[0] <= 4 * op.ROW_POSITIONS
+                stored.setdefault(name, []).append(table.selectExpr("count(codes)").first()[0])
+        return table
+
+    monkeypatch.setattr(op, "cut_lineage", measured)
+    assert found(op.collocations(rows_of(spark, rows, 1))) == brute(rows)
+    assert [most <= op.ROW_ITEMS < total for _, most, total in (stored["words"][0], stored["pairs"][0])] == [True, True]
+    assert stored["codes"][:2] == [2, 2]
